@@ -46,7 +46,12 @@ SELECT event_type AS dataset_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day,
 FROM events GROUP BY 1, 2
 """
 
-PART_NAMES = "SELECT p_partkey, p_name FROM part"
+# Spellings of part names that differ in case, ending or an extra word.
+PART_NAMES = """
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN concat(p_name, 's') WHEN p_partkey % 11 = 0 THEN concat(p_name, ' x')
+       WHEN p_partkey % 13 = 0 THEN upper(p_name) ELSE p_name END AS p_name
+FROM part
+"""
 
 _SOURCES = {
     "dirty_customer": (DIRTY_CUSTOMER, ["customer"]),

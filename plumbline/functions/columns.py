@@ -74,6 +74,12 @@ def share(part: Column, whole: Column, if_empty: float) -> Column:
     return F.when(whole > 0, part.cast("double") / whole * 100).otherwise(F.lit(float(if_empty)))
 
 
+def mean2(value: Column) -> Column:
+    """The mean of values that have two decimals, to two decimals. It adds up decimals, so the result does
+    not depend on the order in which tasks deliver them."""
+    return round2(F.avg(value.cast("decimal(18,2)"))).cast("double")
+
+
 def round2(value: Column) -> Column:
     """Two decimals, ties to even."""
     return F.bround(value, 2)

@@ -11,7 +11,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import round2
+from plumbline.functions.columns import mean2, round2
 
 OVERALL_STEP = 5
 DIMENSION_STEP = 2
@@ -100,7 +100,7 @@ def score_statistics(scores: DataFrame) -> DataFrame:
         F.max_by("overall_score", "ts").alias("latest_score"),
         F.max("ts").alias("latest_timestamp"),
         F.max_by("total_records", "ts").alias("latest_record_count"),
-        round2(F.avg("overall_score")).alias("average_score"),
+        mean2(F.col("overall_score")).alias("average_score"),
         F.min("overall_score").alias("min_score"),
         F.max("overall_score").alias("max_score"),
         F.count(F.lit(1)).alias("total_assessments"),

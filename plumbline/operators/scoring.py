@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import round2
+from plumbline.functions.columns import mean2, round2
 
 # The weight of each dimension in the overall score, and of any other one.
 WEIGHTS = {
@@ -31,7 +31,7 @@ BY_COLUMN_METRICS = ("Column Completeness", "Column Uniqueness")
 def dimension_scores(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``(*keys, dimension, score)``: the mean of a dimension's metrics."""
     whole = metrics.where(F.col("column").isNull())
-    return whole.groupBy(*keys, "dimension").agg(round2(F.avg("value")).alias("score"))
+    return whole.groupBy(*keys, "dimension").agg(mean2(F.col("value")).alias("score"))
 
 
 def weight_of(dimension: Column) -> Column:

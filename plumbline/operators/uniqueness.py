@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import Shape, round2, share
+from plumbline.functions.columns import Shape, mean2, round2, share
 from plumbline.operators.check import metric
 from plumbline.operators.duplicates import surplus_rows
 from plumbline.operators.value_counts import distinct_counts
@@ -29,7 +29,7 @@ def column_uniqueness(df: DataFrame, shape: Shape, approximate: bool = False) ->
         "value", round2(share(F.col("distinct"), F.col("present"), 0))
     )
     rows = F.collect_list(F.struct("column", "value", "distinct", "present"))  # one entry per column
-    gathered = counted.agg(F.avg("value").alias("mean"), rows.alias("parts"))
+    gathered = counted.agg(mean2(F.col("value")).alias("mean"), rows.alias("parts"))
     parts = F.transform(
         "parts",
         lambda p: F.struct(
@@ -42,5 +42,5 @@ def column_uniqueness(df: DataFrame, shape: Shape, approximate: bool = False) ->
             F.lit(None).cast("map<string,string>").alias("detail"),
         ),
     )
-    head = metric(DIMENSION, BY_COLUMN, round2(F.col("mean")))
+    head = metric(DIMENSION, BY_COLUMN, F.col("mean"))
     return gathered.select(F.explode(F.concat(F.array(head), parts)).alias("m")).select("m.*")

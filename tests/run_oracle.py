@@ -28,7 +28,7 @@ for name, query in driver.queries().items():
             print(f"{name:30} {took:6.1f}s rows only: {table.num_rows}", flush=True)
             continue
         start = time.time()
-        expected = db.execute(oracle[name]).to_arrow_table()
+        expected = db.sql(oracle[name]).to_arrow_table()
         found = differences(table, expected)
         bad += bool(found)
         print(f"{name:30} {took:6.1f}s oracle {time.time() - start:5.1f}s {table.num_rows} rows", "OK" if not found else "\n   ".join(["DIFFERENT", *found]), flush=True)

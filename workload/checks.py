@@ -15,7 +15,7 @@ from plumbline.operators.rules import RULE_SCHEMA
 from plumbline.plans.assess import Assessment, assess, assess_groups, quartile_pairs
 from plumbline.sources.readers import dataset_info, sample_page
 from workload.sql import (
-    DIRTY, DIRTY_METRICS, TEXT, WEIGHT, big, fences, mixed_case, rnd, table_metrics, union, with_views,
+    DIRTY, DIRTY_METRICS, TEXT, WEIGHT, big, collection, fences, mixed_case, rnd, table_metrics, union, with_views,
 )
 from workload.views import table, view
 
@@ -28,18 +28,7 @@ LINEITEM = [
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 NUMERIC_LINE = LINEITEM[:8]
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(function):
-        QUERIES[name] = function
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return function
-
-    return add
+QUERIES, ORACLES, query = collection()
 
 
 def dirty(spark: SparkSession, sf: str) -> tuple[DataFrame, Shape]:
@@ -192,23 +181,18 @@ def _(spark, sf):
     counted AS (SELECT c, k, count(*) AS n FROM kinds GROUP BY c, k),
     flagged AS (SELECT c, min_by(k, (-n, k)) AS expected, sum(n) - max(n) AS violations, sum(n) AS present FROM counted
       GROUP BY c HAVING count(*) > 1)
-    SELECT c AS "column", expected, CAST(violations AS BIGINT) AS violations, CAST(present AS BIGINT) AS present,
-      round_even(100 - (SELECT count(*) FROM flagged) * 100.0 / 3, 2)::DOUBLE AS score FROM flagged""",
+    SELECT c AS "column", expected, CAST(violations AS BIGINT) AS violations, CAST(present AS BIGINT) AS checked,
+      CAST(NULL AS DOUBLE) AS score FROM flagged
+    UNION ALL SELECT NULL, NULL, count(*), 3, round_even(100 - count(*) * 100.0 / 3, 2)::DOUBLE FROM flagged""",
 )
 def _(spark, sf):
     raw = view(spark, sf, "mixed_orders")
     df = raw.select("order_id", F.try_parse_json("payload").alias("payload"), F.try_parse_json("note").alias("note"))
     rows = check(df, accuracy.types(Shape.of(df)))
-    return _flagged_types(rows)
-
-
-def _flagged_types(rows: DataFrame) -> DataFrame:
-    score = whole(rows, "name", F.col("value").alias("score"))
-    flagged = parts(
-        rows, "name", "column", F.col("detail")["expected"].alias("expected"),
-        F.col("numerator").alias("violations"), F.col("denominator").alias("present"),
+    return rows.select(
+        "column", F.col("detail")["expected"].alias("expected"), F.col("numerator").alias("violations"),
+        F.col("denominator").alias("checked"), F.col("value").alias("score"),
     )
-    return flagged.join(score, "name").drop("name")
 
 
 def _outliers(columns: list[str], source: str) -> str:
@@ -260,14 +244,13 @@ def _(spark, sf):
 @query(
     "case_consistency",
     V1
-    + "SELECT \"column\", score FROM ("
+    + "SELECT \"column\", CAST(NULL AS DOUBLE) AS score FROM ("
     + union(f"SELECT '{c}' AS \"column\", bool_or({mixed_case(c)}) AS hit FROM dirty_customer" for c in TEXT)
-    + f") p, (SELECT value AS score FROM ({DIRTY_METRICS}) WHERE name = 'Case Consistency') m WHERE hit",
+    + f") p WHERE hit UNION ALL SELECT NULL, value FROM ({DIRTY_METRICS}) WHERE name = 'Case Consistency'",
 )
 def _(spark, sf):
     df, shape = dirty(spark, sf)
-    rows = check(df, consistency.letter_case(shape))
-    return parts(rows, "name", "column").join(whole(rows, "name", F.col("value").alias("score")), "name").drop("name")
+    return check(df, consistency.letter_case(shape)).select("column", F.col("value").alias("score"))
 
 
 @query(
@@ -290,15 +273,15 @@ def _(spark, sf):
 @query(
     "cross_field_dates",
     V1
-    + f"""SELECT 'open_date > close_date' AS fields, count(*) FILTER (crossed) AS violations,
-    {rnd('(1 - count(*) FILTER (crossed) * 1.0 / count(*)) * 100')} AS score
+    + f"""SELECT unnest([NULL, 'open_date > close_date']) AS fields, count(*) FILTER (crossed) AS violations,
+    unnest([{rnd('(1 - count(*) FILTER (crossed) * 1.0 / count(*)) * 100')}, NULL]) AS score
     FROM (SELECT try_cast(open_date AS TIMESTAMP) > try_cast(close_date AS TIMESTAMP) AS crossed FROM dirty_customer)""",
 )
 def _(spark, sf):
     df, shape = dirty(spark, sf)
-    rows = check(df, consistency.date_order(shape))
-    violations = parts(rows, "name", F.col("column").alias("fields"), F.col("numerator").alias("violations"))
-    return violations.join(whole(rows, "name", F.col("value").alias("score")), "name").drop("name")
+    return check(df, consistency.date_order(shape)).select(
+        F.col("column").alias("fields"), F.col("numerator").alias("violations"), F.col("value").alias("score")
+    )
 
 
 # ---- uniqueness, validity
@@ -383,7 +366,7 @@ _RULE_ROWS = ", ".join(
     if on
 )
 _SCORES = f"""metrics AS ({DIRTY_METRICS}),
-scores AS (SELECT dimension, {rnd('avg(value)')} AS score FROM metrics GROUP BY dimension),
+scores AS (SELECT dimension, {rnd('avg(CAST(value AS DECIMAL(18, 2)))')} AS score FROM metrics GROUP BY dimension),
 overall AS (SELECT {rnd(f'sum(score * {WEIGHT}) / sum({WEIGHT})')} AS overall_score FROM scores),
 by_column AS (SELECT 'completeness' AS dimension, "column", value FROM ({_completeness(DIRTY, 'dirty_customer')})
   UNION ALL SELECT 'uniqueness', "column", value FROM ({_column_uniqueness(DIRTY, 'dirty_customer')})),
@@ -496,7 +479,7 @@ _REST = [c for c in DIRTY if c != "status"]
     "assess_groups",
     V1
     + _GROUPED.format(
-        avg=rnd("avg(value)"),
+        avg=rnd("avg(CAST(value AS DECIMAL(18, 2)))"),
         complete=rnd(f"({' + '.join(f'count({c})' for c in _REST)}) * 100.0 / (count(*) * {len(_REST)})"),
         mean=rnd(f"({' + '.join(rnd(f'count({c}) * 100.0 / count(*)') for c in _REST)}) / {len(_REST)}.0"),
         valid=rnd("(1 - count(*) FILTER (balance < 0) * 1.0 / count(*)) * 100"),

@@ -1,6 +1,6 @@
 """All queries with their oracles."""
 
-from workload import checks
+from workload import checks, dedup, monitoring, profiles
 
-QUERIES = {**checks.QUERIES}
-ORACLES = {**checks.ORACLES}
+QUERIES = {**checks.QUERIES, **profiles.QUERIES, **dedup.QUERIES, **monitoring.QUERIES}
+ORACLES = {**checks.ORACLES, **profiles.ORACLES, **dedup.ORACLES, **monitoring.ORACLES}

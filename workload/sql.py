@@ -11,6 +11,23 @@ DIRTY = ["customer_id", "customer_name", "email", "phone", "zip_code", "balance"
 NOT_TITLE = r"(^|[^\p{Lu}\p{Ll}\p{Lt}])\p{Ll}|[\p{Lu}\p{Ll}\p{Lt}][\p{Lu}\p{Lt}]"
 
 
+def collection():
+    """``(queries, oracles, query)``: ``query(name, oracle)`` registers the decorated function."""
+    queries: dict = {}
+    oracles: dict[str, str] = {}
+
+    def query(name: str, oracle: str | None = None):
+        def add(function):
+            queries[name] = function
+            if oracle is not None:
+                oracles[name] = oracle
+            return function
+
+        return add
+
+    return queries, oracles, query
+
+
 def rnd(expression: str, digits: int = 2) -> str:
     return f"round_even(CAST({expression} AS DOUBLE), {digits})"
 

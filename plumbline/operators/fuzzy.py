@@ -85,7 +85,7 @@ def _seat(todo: DataFrame, bins: int, columns: int, threshold: float, heads: int
         records, near = records_of(rows, columns), []
         for i, j in tile_pairs(rows.assign(part_a=0, part_b=0), "block"):
             at, _ = records.similar(i, j, threshold)
-            near.append((np.minimum(i[at], j[at]), np.maximum(i[at], j[at])))
+            near.append((i[at], j[at]))
         leader = np.arange(len(rows))
         if near:
             first, second = (np.concatenate(side) for side in zip(*near))

@@ -100,7 +100,15 @@ def tiled(texts: DataFrame, group: str, part: int = PART) -> Tiled:
 
 
 def tile_pairs(tile: pd.DataFrame, group: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Position pairs compared in a tile: between its two parts, or within each of its groups."""
+    """Position pairs compared in a tile: between its two parts, or within each of its groups. The first of
+    a pair is the text that occurs first, which decides whose windows count when both are equally long."""
+    ids = tile["first_row"].to_numpy()
+    for i, j in _unordered_pairs(tile, group):
+        flip = ids[i] > ids[j]
+        yield np.where(flip, j, i), np.where(flip, i, j)
+
+
+def _unordered_pairs(tile: pd.DataFrame, group: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     side_a, side_b = tile["part_a"].iat[0], tile["part_b"].iat[0]
     if side_a != side_b:
         part = tile["part"].to_numpy()
@@ -139,8 +147,6 @@ def similar_pairs(texts: DataFrame, group: str, columns: int, threshold: float |
         for i, j in tile_pairs(tile, group):
             at, score = records.similar(i, j, threshold)
             i, j = i[at], j[at]
-            flip = ids[i] > ids[j]
-            i, j = np.where(flip, j, i), np.where(flip, i, j)
             found.append(
                 pd.DataFrame({group: of[i], "a": ids[i], "b": ids[j], "n_a": n[i], "n_b": n[j], "similarity": score})
             )

@@ -13,9 +13,24 @@ AMOUNT_NAMES = ("amount", "balance", "value", "price", "cost", "revenue")
 DATE_NAMES = ("date", "time", "timestamp", "created", "updated")
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL spells it, dots and blanks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ref(name: str) -> Column:
-    """A column by its exact name, dots and blanks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """A column by its exact name."""
+    return F.col(quoted(name))
+
+
+def string(text: str) -> str:
+    """A string literal in SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def number(value: float | None) -> str:
+    """A double literal in SQL, exact to the last digit."""
+    return "CAST(NULL AS DOUBLE)" if value is None else f"double('{float(value)!r}')"
 
 
 def name_has(name: str, fragments: tuple[str, ...]) -> bool:
@@ -66,12 +81,17 @@ def nan_as_null(df: DataFrame) -> DataFrame:
     floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     if not floating:
         return df
-    return df.withColumns({n: F.when(~F.isnan(ref(n)), ref(n)) for n in floating})
+    return df.withColumns({n: F.expr(f"CASE WHEN NOT isnan({quoted(n)}) THEN {quoted(n)} END") for n in floating})
+
+
+def share(part: str, whole: str, if_empty: float) -> str:
+    """SQL for 100 * part / whole as a double, or ``if_empty`` when there is nothing to divide by."""
+    return f"if(({whole}) > 0, CAST({part} AS DOUBLE) / ({whole}) * 100, {number(if_empty)})"
 
 
-def share(part: Column, whole: Column, if_empty: float) -> Column:
-    """100 * part / whole as a double, or ``if_empty`` when there is nothing to divide by."""
-    return F.when(whole > 0, part.cast("double") / whole * 100).otherwise(F.lit(float(if_empty)))
+def rounded(value: str) -> str:
+    """SQL for two decimals, ties to even."""
+    return f"bround({value}, 2)"
 
 
 def mean2(value: Column) -> Column:

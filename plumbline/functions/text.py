@@ -1,4 +1,4 @@
-"""String predicates and keys written with built-in expressions only."""
+"""String predicates (as SQL, for use in measures) and keys, written with built-in expressions only."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import string
+
 # The accepted formats, by the name fragment of the columns they apply to.
 FORMATS = {
     "email": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$",
@@ -25,18 +27,18 @@ _NOT_TITLE = (
 )
 
 
-def is_blank(value: Column) -> Column:
+def is_blank(value: str) -> str:
     """Empty or white space only, in the Unicode sense; null stays null."""
-    return value.rlike(_BLANK)
+    return f"{value} RLIKE {string(_BLANK)}"
 
 
-def breaks_format(value: Column, kind: str) -> Column:
-    return ~value.rlike(FORMATS[kind])
+def breaks_format(value: str, kind: str) -> str:
+    return f"NOT {value} RLIKE {string(FORMATS[kind])}"
 
 
-def is_mixed_case(value: Column) -> Column:
+def is_mixed_case(value: str) -> str:
     """Neither all lower, nor all upper, nor title case."""
-    return (value != F.lower(value)) & (value != F.upper(value)) & value.rlike(_NOT_TITLE)
+    return f"({value} <> lower({value}) AND {value} <> upper({value}) AND {value} RLIKE {string(_NOT_TITLE)})"
 
 
 def text_of(value: Column) -> Column:

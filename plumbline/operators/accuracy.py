@@ -2,99 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from plumbline.functions.columns import Shape, ref, round2, share
+from plumbline.functions.columns import Shape, number, quoted, rounded, share, string
 from plumbline.functions.text import FORMATS, breaks_format
 from plumbline.operators.check import Check, metric, total
 
 DIMENSION = "accuracy"
 TYPES, RANGE, FORMAT = "Data Type Consistency", "Numeric Range Accuracy", "Format Accuracy"
 
-#: Classes a variant value may have, by the prefixes of its schema text.
+#: Classes a variant value may have, as a pattern of its schema text.
 VALUE_CLASSES = {
-    "bool": ("BOOLEAN",),
-    "dict": ("OBJECT",),
-    "float": ("DECIMAL", "DOUBLE", "FLOAT"),
-    "int": ("BIGINT",),
-    "list": ("ARRAY",),
-    "str": ("STRING",),
+    "bool": "BOOLEAN%",
+    "dict": "OBJECT%",
+    "float": "D%",
+    "int": "BIGINT%",
+    "list": "ARRAY%",
+    "str": "STRING%",
 }
 FENCE = 1.5
 
 
-def _is_class(value: Column, kind: str) -> Column:
-    text = F.schema_of_variant(value)
-    result: Column = F.lit(False)
-    for prefix in VALUE_CLASSES[kind]:
-        result = result | text.startswith(prefix)
-    return result
-
-
 def types(shape: Shape) -> Check:
     """Columns holding values of more than one type.
 
     A typed column cannot; a variant column can: its most frequent class is expected (by name on
-    ties) and the rest are violations.
+    ties) and the rest are violations. Single-precision values count as ``float`` with the others.
     """
-    kinds = list(VALUE_CLASSES)
-    counts = {n: [f"kind_{i}_{k}" for k in kinds] for i, n in enumerate(shape.names) if n in shape.variants}
-    measures = {
-        alias: F.count_if(_is_class(ref(n), kind))
-        for n, aliases in counts.items()
-        for kind, alias in zip(kinds, aliases)
-    }
-    flags, parts = [], []
-    for n, aliases in counts.items():
-        top = F.greatest(*[F.col(a) for a in aliases])
-        values = total([F.col(a) for a in aliases])
-        expected = F.coalesce(*[F.when(F.col(a) == top, F.lit(k)) for k, a in zip(kinds, aliases)])
-        flags.append((values > top).cast("bigint"))
+    measures, flags, parts = {"rows": "count(*)"}, [], []
+    for i, n in enumerate(shape.names):
+        if n not in shape.variants:
+            continue
+        counts = {kind: f"kind_{i}_{kind}" for kind in VALUE_CLASSES}
+        for kind, pattern in VALUE_CLASSES.items():
+            text = f"schema_of_variant({quoted(n)})"
+            test = f"{text} LIKE {string(pattern)}" + (f" OR {text} = 'FLOAT'" if kind == "float" else "")
+            measures[counts[kind]] = f"count_if({test})"
+        top, values = f"greatest({', '.join(counts.values())})", total(list(counts.values()))
+        expected = " ".join(f"WHEN {c} = {top} THEN '{kind}'" for kind, c in counts.items())
+        violations = f"({values} - {top})"
+        flags.append(f"if({violations} > 0, 1L, 0L)")
         parts.append(
             metric(
-                DIMENSION, TYPES, F.lit(None), values - top, values, column=n,
-                detail={"expected": expected}, when=values > top,
+                DIMENSION, TYPES, "NULL", violations, values, column=n,
+                detail={"expected": f"CASE {expected} END"}, when=f"{violations} > 0",
             )
         )
-    flagged, width = total(flags), F.lit(len(shape.names)).cast("bigint")
-    score = round2(100 - share(flagged, width, 0))
-    return Check(
-        {"rows": F.count(F.lit(1)), **measures},
-        (metric(DIMENSION, TYPES, score, flagged, width), *parts),
-    )
+    flagged, width = total(flags), f"{len(shape.names)}L"
+    score = rounded(f"100 - {share(flagged, width, 0)}")
+    return Check(measures, (metric(DIMENSION, TYPES, score, flagged, width), *parts))
 
 
-def is_outlier(name: str, quartiles: tuple[float, float] | None) -> Column:
+def is_outlier(name: str, quartiles: tuple[float, float] | None) -> str:
     """Strictly outside the fences one and a half interquartile ranges beyond the quartiles."""
     if quartiles is None:
-        return F.lit(False)
+        return "false"
     low, high = quartiles
     reach = FENCE * (high - low)
-    return (ref(name) < F.lit(low - reach)) | (ref(name) > F.lit(high + reach))
+    return f"({quoted(name)} < {number(low - reach)} OR {quoted(name)} > {number(high + reach)})"
 
 
 def outliers(shape: Shape, quartiles: dict[str, tuple[float, float] | None]) -> Check:
     """Outliers per numeric column over all rows. The score adds up the columns, so it may fall
     below zero."""
     counts = {n: f"outlier_{i}" for i, n in enumerate(shape.names) if n in shape.numerics}
-    found = total([F.col(c) for c in counts.values()])
-    rows = F.col("rows")
-    parts = [
-        metric(
-            DIMENSION, RANGE, round2(share(F.col(c), rows, 0)), F.col(c), rows, column=n,
-            when=F.col(c) > 0,
-            detail=None if quartiles.get(n) is None
-            else {"q1": F.lit(quartiles[n][0]), "q3": F.lit(quartiles[n][1])},
-        )
-        for n, c in counts.items()
-    ]
+    found = total(list(counts.values()))
+    parts = []
+    for n, c in counts.items():
+        ends = quartiles.get(n)
+        detail = None if ends is None else {"q1": number(ends[0]), "q3": number(ends[1])}
+        value = rounded(share(c, "rows", 0))
+        parts.append(metric(DIMENSION, RANGE, value, c, "rows", column=n, detail=detail, when=f"{c} > 0"))
+    score = rounded(f"100 - {share(found, 'rows', 0)}")
     return Check(
-        {
-            "rows": F.count(F.lit(1)),
-            **{c: F.count_if(is_outlier(n, quartiles.get(n))) for n, c in counts.items()},
-        },
-        (metric(DIMENSION, RANGE, round2(100 - share(found, rows, 0)), found, rows), *parts),
+        {"rows": "count(*)", **{c: f"count_if({is_outlier(n, quartiles.get(n))})" for n, c in counts.items()}},
+        (metric(DIMENSION, RANGE, score, found, "rows"), *parts),
     )
 
 
@@ -110,18 +90,13 @@ def formats(shape: Shape) -> Check:
         for kind in FORMATS
         if kind in n.lower()
     ]
-    checked = total([F.col(present) for *_, present in tests])
-    broken = total([F.col(bad) for _, _, bad, _ in tests])
-    parts = [
-        metric(
-            DIMENSION, FORMAT, round2(share(F.col(bad), F.col(present), 0)), F.col(bad), F.col(present),
-            column=n, detail={"expected_format": F.lit(kind)}, when=F.col(bad) > 0,
-        )
-        for n, kind, bad, present in tests
-    ]
-    measures = {"rows": F.count(F.lit(1))}
+    measures, parts = {"rows": "count(*)"}, []
     for n, kind, bad, present in tests:
-        measures[bad] = F.count_if(breaks_format(ref(n), kind))
-        measures[present] = F.count(ref(n))
-    value = round2((1 - share(broken, checked, 0) / 100) * 100)
-    return Check(measures, (metric(DIMENSION, FORMAT, value, broken, checked, when=checked > 0), *parts))
+        measures[bad] = f"count_if({breaks_format(quoted(n), kind)})"
+        measures[present] = f"count({quoted(n)})"
+        detail = {"expected_format": string(kind)}
+        value = rounded(share(bad, present, 0))
+        parts.append(metric(DIMENSION, FORMAT, value, bad, present, column=n, detail=detail, when=f"{bad} > 0"))
+    checked, broken = total([present for *_, present in tests]), total([bad for _, _, bad, _ in tests])
+    score = rounded(f"(1 - {share(broken, checked, 0)} / 100) * 100")
+    return Check(measures, (metric(DIMENSION, FORMAT, score, broken, checked, when=f"{checked} > 0"), *parts))

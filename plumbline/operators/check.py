@@ -1,7 +1,7 @@
 """What every single-pass check is made of: aggregate measures, and metric rows computed from them.
 
-A check contributes named aggregate expressions (``measures``) and struct expressions over those
-names (``metrics``). Any number of checks run in one ``agg``, so one scan of the table and one
+A check contributes named aggregates (``measures``) and struct expressions over those names
+(``metrics``), both as SQL text. Any number of checks run in one ``agg``, so one scan of the table and one
 shuffle of a single partial row per task serve them all; grouped runs use the same expressions.
 """
 
@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import ref, string
+
 METRIC_SCHEMA = (
     "dimension string, name string, column string, value double, numerator bigint, "
     "denominator bigint, detail map<string,string>"
@@ -21,50 +23,50 @@ METRIC_SCHEMA = (
 
 @dataclass(frozen=True)
 class Check:
-    measures: dict[str, Column] = field(default_factory=dict)
-    metrics: tuple[Column, ...] = ()
+    measures: dict[str, str] = field(default_factory=dict)
+    metrics: tuple[str, ...] = ()
 
 
 def metric(
     dimension: str,
     name: str,
-    value: Column,
-    numerator: Column | None = None,
-    denominator: Column | None = None,
+    value: str = "NULL",
+    numerator: str = "NULL",
+    denominator: str = "NULL",
     column: str | None = None,
-    detail: dict[str, Column] | None = None,
-    when: Column | None = None,
-) -> Column:
+    detail: dict[str, str] | None = None,
+    when: str | None = None,
+) -> str:
     """One metric row; ``column`` marks the part of a metric that one column contributes, and a
     false ``when`` leaves the row out."""
-    pairs = [part for key, text in (detail or {}).items() for part in (F.lit(key), text.cast("string"))]
-    row = F.struct(
-        F.lit(dimension).alias("dimension"),
-        F.lit(name).alias("name"),
-        F.lit(column).cast("string").alias("column"),
-        value.cast("double").alias("value"),
-        (F.lit(None) if numerator is None else numerator).cast("bigint").alias("numerator"),
-        (F.lit(None) if denominator is None else denominator).cast("bigint").alias("denominator"),
-        (F.create_map(*pairs) if pairs else F.lit(None)).cast("map<string,string>").alias("detail"),
+    pairs = ", ".join(f"{string(key)}, CAST({text} AS STRING)" for key, text in (detail or {}).items())
+    row = (
+        f"named_struct('dimension', {string(dimension)}, 'name', {string(name)}, "
+        f"'column', CAST({'NULL' if column is None else string(column)} AS STRING), "
+        f"'value', CAST({value} AS DOUBLE), 'numerator', CAST({numerator} AS BIGINT), "
+        f"'denominator', CAST({denominator} AS BIGINT), "
+        f"'detail', CAST({f'map({pairs})' if pairs else 'NULL'} AS MAP<STRING, STRING>))"
     )
-    return row if when is None else F.when(when, row)
+    return row if when is None else f"if({when}, {row}, NULL)"
 
 
-def total(columns: Sequence[Column]) -> Column:
+def total(terms: Sequence[str]) -> str:
     """Sum of expressions; zero for none."""
-    result: Column = F.lit(0).cast("bigint")
-    for column in columns:
-        result = result + column
-    return result
+    return f"({' + '.join(terms) or '0L'})"
+
+
+def table_of(stats: DataFrame, rows: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """One row per non-null struct of ``rows``, for every row of ``stats``."""
+    structs = F.expr(f"explode(array({', '.join(rows)}))").alias("__row")
+    return stats.select(*keys, structs).where(F.col("__row").isNotNull()).select(*keys, "__row.*")
 
 
 def run_checks(df: DataFrame, checks: Sequence[Check], keys: Sequence[str] = ()) -> DataFrame:
     """Metric rows of all ``checks`` from one aggregation, per group of ``keys`` if given."""
-    measures = {name: expr for check in checks for name, expr in check.measures.items()}
-    stats = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in measures.items()])
-    rows = F.array(*[row for check in checks for row in check.metrics])
-    return (
-        stats.select(*keys, F.explode(rows).alias("m"))
-        .where(F.col("m").isNotNull())
-        .select(*keys, "m.*")
+    measures = {name: sql for check in checks for name, sql in check.measures.items()}
+    held = [f"__group_{i}" for i in range(len(keys))]  # so that a key may have a measure's name
+    stats = df.groupBy(*[ref(k).alias(h) for k, h in zip(keys, held)]).agg(
+        *[F.expr(sql).alias(name) for name, sql in measures.items()]
     )
+    rows = table_of(stats, [row for check in checks for row in check.metrics], held)
+    return rows.withColumnsRenamed(dict(zip(held, keys)))

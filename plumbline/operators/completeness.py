@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from plumbline.functions.columns import Shape, ref, round2, share
+from plumbline.functions.columns import Shape, quoted, rounded, share
 from plumbline.functions.text import is_blank
 from plumbline.operators.check import Check, metric, total
 
@@ -12,45 +10,37 @@ DIMENSION = "completeness"
 OVERALL, BY_COLUMN, BLANKS = "Overall Completeness", "Column Completeness", "Empty String Rate"
 
 
-def _present(shape: Shape) -> dict:
-    return {
-        "rows": F.count(F.lit(1)),
-        **{f"present_{i}": F.count(ref(n)) for i, n in enumerate(shape.names)},
-    }
+def _present(shape: Shape) -> dict[str, str]:
+    return {"rows": "count(*)", **{f"present_{i}": f"count({quoted(n)})" for i, n in enumerate(shape.names)}}
 
 
 def overall(shape: Shape) -> Check:
     """Share of cells that hold a value."""
-    present = total([F.col(f"present_{i}") for i in range(len(shape.names))])
-    cells = F.col("rows") * len(shape.names)
-    detail = {"total_cells": cells, "non_null_cells": present, "null_cells": cells - present}
-    return Check(
-        _present(shape),
-        (metric(DIMENSION, OVERALL, round2(share(present, cells, 0)), present, cells, detail=detail),),
-    )
+    present = total([f"present_{i}" for i in range(len(shape.names))])
+    cells = f"rows * {len(shape.names)}"
+    detail = {"total_cells": cells, "non_null_cells": present, "null_cells": f"{cells} - {present}"}
+    value = rounded(share(present, cells, 0))
+    return Check(_present(shape), (metric(DIMENSION, OVERALL, value, present, cells, detail=detail),))
 
 
 def by_column(shape: Shape) -> Check:
     """Share of rows with a value per column; the metric is the mean of the rounded shares."""
-    rates = [round2(share(F.col(f"present_{i}"), F.col("rows"), 0)) for i in range(len(shape.names))]
+    rates = [rounded(share(f"present_{i}", "rows", 0)) for i in range(len(shape.names))]
     parts = [
-        metric(DIMENSION, BY_COLUMN, rate, F.col(f"present_{i}"), F.col("rows"), column=name)
+        metric(DIMENSION, BY_COLUMN, rate, f"present_{i}", "rows", column=name)
         for i, (name, rate) in enumerate(zip(shape.names, rates))
     ]
-    mean = round2(total(rates) / F.lit(float(max(len(rates), 1))))
+    mean = rounded(f"CAST({total(rates)} AS DOUBLE) / {max(len(rates), 1)}")
     return Check(_present(shape), (metric(DIMENSION, BY_COLUMN, mean), *parts))
 
 
 def blanks(shape: Shape) -> Check:
     """Text cells that are blank, over all cells; reported only when there are any."""
     counts = {n: f"blank_{i}" for i, n in enumerate(shape.names) if n in shape.strings}
-    found = total([F.col(c) for c in counts.values()])
-    cells = F.col("rows") * len(shape.names)
-    parts = [
-        metric(DIMENSION, BLANKS, F.lit(None), F.col(c), F.col("rows"), column=n, when=F.col(c) > 0)
-        for n, c in counts.items()
-    ]
+    found, cells = total(list(counts.values())), f"rows * {len(shape.names)}"
+    parts = [metric(DIMENSION, BLANKS, "NULL", c, "rows", column=n, when=f"{c} > 0") for n, c in counts.items()]
+    value = rounded(f"100 - {share(found, cells, 0)}")
     return Check(
-        {"rows": F.count(F.lit(1)), **{c: F.count_if(is_blank(ref(n))) for n, c in counts.items()}},
-        (metric(DIMENSION, BLANKS, round2(100 - share(found, cells, 0)), found, cells, when=found > 0), *parts),
+        {"rows": "count(*)", **{c: f"count_if({is_blank(quoted(n))})" for n, c in counts.items()}},
+        (metric(DIMENSION, BLANKS, value, found, cells, when=f"{found} > 0"), *parts),
     )

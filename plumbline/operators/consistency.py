@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import Shape, ref, round2, share
+from plumbline.functions.columns import Shape, quoted, rounded, share
 from plumbline.functions.text import is_mixed_case
 from plumbline.operators.check import Check, metric, total
 
 DIMENSION = "consistency"
 CASE, DATES, PAIRS = "Case Consistency", "Date Format Consistency", "Cross-Field Consistency"
+PARSED = "Date Parse Rate"
 
 # The column pairs whose first date must not be after the second.
 DATE_PAIRS = (("start_date", "end_date"), ("created_at", "updated_at"), ("open_date", "close_date"))
@@ -22,21 +21,23 @@ DATE_PAIRS = (("start_date", "end_date"), ("created_at", "updated_at"), ("open_d
 def letter_case(shape: Shape) -> Check:
     """Text columns holding any value that is neither lower, upper nor title case."""
     flags = {n: f"mixed_{i}" for i, n in enumerate(shape.names) if n in shape.strings}
-    hit = {n: F.coalesce(F.col(f), F.lit(False)) for n, f in flags.items()}
-    flagged, width = total([h.cast("bigint") for h in hit.values()]), F.lit(len(shape.names)).cast("bigint")
-    parts = [metric(DIMENSION, CASE, F.lit(None), column=n, when=h) for n, h in hit.items()]
+    flagged = total([f"if(coalesce({f}, false), 1L, 0L)" for f in flags.values()])
+    width = f"{len(shape.names)}L"
+    parts = [metric(DIMENSION, CASE, column=n, when=f"coalesce({f}, false)") for n, f in flags.items()]
+    score = rounded(f"100 - {share(flagged, width, 0)}")
     return Check(
-        {"rows": F.count(F.lit(1)), **{f: F.bool_or(is_mixed_case(ref(n))) for n, f in flags.items()}},
-        (metric(DIMENSION, CASE, round2(100 - share(flagged, width, 0)), flagged, width), *parts),
+        {"rows": "count(*)", **{f: f"bool_or({is_mixed_case(quoted(n))})" for n, f in flags.items()}},
+        (metric(DIMENSION, CASE, score, flagged, width), *parts),
     )
 
 
-def parsed_time(shape: Shape, name: str) -> Column:
-    """The value as a timestamp, null where it is not one."""
+def parsed_time(shape: Shape, name: str) -> str:
+    """SQL for the value as a timestamp, null where it is not one."""
     if name in shape.strings:
-        return F.try_to_timestamp(ref(name))
-    kinds = shape.of_type(T.DateType, T.TimestampType, T.TimestampNTZType)
-    return ref(name).cast("timestamp") if name in kinds else F.lit(None).cast("timestamp")
+        return f"try_to_timestamp({quoted(name)})"
+    if name in shape.of_type(T.DateType, T.TimestampType, T.TimestampNTZType):
+        return f"CAST({quoted(name)} AS TIMESTAMP)"
+    return "CAST(NULL AS TIMESTAMP)"
 
 
 def date_formats(shape: Shape) -> Check:
@@ -44,41 +45,29 @@ def date_formats(shape: Shape) -> Check:
     it is absent without such columns. ``date_parse`` reports what did not parse."""
     if not shape.dates:
         return Check()
-    width = F.lit(len(shape.dates)).cast("bigint")
-    return Check(
-        {"rows": F.count(F.lit(1))},
-        (metric(DIMENSION, DATES, F.lit(100.0), F.lit(0), width, when=F.col("rows").isNotNull()),),
-    )
+    return Check({"rows": "count(*)"}, (metric(DIMENSION, DATES, "100", "0", f"{len(shape.dates)}"),))
 
 
 def date_parse(shape: Shape) -> Check:
     """Per date-named column the share of present values that parse as a date."""
-    measures, parts = {"rows": F.count(F.lit(1))}, []
+    measures, parts = {"rows": "count(*)"}, []
     for i, n in enumerate(shape.names):
         if n not in shape.dates:
             continue
-        measures[f"present_{i}"] = F.count(ref(n))
-        measures[f"parsed_{i}"] = F.count(parsed_time(shape, n))
-        present, parsed = F.col(f"present_{i}"), F.col(f"parsed_{i}")
-        parts.append(
-            metric(DIMENSION, "Date Parse Rate", round2(share(parsed, present, 100)), parsed, present, column=n)
-        )
+        present, parsed = f"present_{i}", f"parsed_{i}"
+        measures[present] = f"count({quoted(n)})"
+        measures[parsed] = f"count({parsed_time(shape, n)})"
+        parts.append(metric(DIMENSION, PARSED, rounded(share(parsed, present, 100)), parsed, present, column=n))
     return Check(measures, tuple(parts))
 
 
 def date_order(shape: Shape, pairs: Sequence[tuple[str, str]] = DATE_PAIRS) -> Check:
     """Rows whose first date lies after the second, over all rows; the score may fall below zero."""
     known = [(a, b, f"crossed_{i}") for i, (a, b) in enumerate(pairs) if a in shape.names and b in shape.names]
-    crossed, rows = total([F.col(c) for *_, c in known]), F.col("rows")
+    crossed = total([c for *_, c in known])
     parts = [
-        metric(
-            DIMENSION, PAIRS, F.lit(None), F.col(c), rows, column=f"{a} > {b}", when=F.col(c) > 0
-        )
-        for a, b, c in known
+        metric(DIMENSION, PAIRS, "NULL", c, "rows", column=f"{a} > {b}", when=f"{c} > 0") for a, b, c in known
     ]
-    measures = {c: F.count_if(parsed_time(shape, a) > parsed_time(shape, b)) for a, b, c in known}
-    value = round2((1 - share(crossed, rows, 0) / 100) * 100)
-    return Check(
-        {"rows": F.count(F.lit(1)), **measures},
-        (metric(DIMENSION, PAIRS, value, crossed, rows), *parts),
-    )
+    measures = {c: f"count_if({parsed_time(shape, a)} > {parsed_time(shape, b)})" for a, b, c in known}
+    score = rounded(f"(1 - {share(crossed, 'rows', 0)} / 100) * 100")
+    return Check({"rows": "count(*)", **measures}, (metric(DIMENSION, PAIRS, score, crossed, "rows"), *parts))

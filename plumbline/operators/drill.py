@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import Shape, nan_as_null, ref
+from plumbline.functions.columns import Shape, nan_as_null, quoted
 from plumbline.operators.accuracy import is_outlier
 from plumbline.operators.duplicates import duplicate_rows
 from plumbline.operators.quantiles import exact_quantiles
@@ -24,8 +22,7 @@ def rows_duplicated(df: DataFrame, column: str | None = None, exclude: list[str]
 def rows_missing(df: DataFrame, column: str | None = None) -> DataFrame:
     """Rows with a null in ``column``, or in any column."""
     df = nan_as_null(df)
-    tests = [ref(n).isNull() for n in ([column] if column else df.columns)]
-    return df.where(reduce(lambda a, b: a | b, tests))
+    return df.where(" OR ".join(f"{quoted(n)} IS NULL" for n in ([column] if column else df.columns)))
 
 
 def rows_outlying(df: DataFrame, column: str | None) -> DataFrame:
@@ -34,7 +31,7 @@ def rows_outlying(df: DataFrame, column: str | None) -> DataFrame:
     if column not in Shape.of(df).numerics:
         return df.where(F.lit(False))
     quartiles = exact_quantiles(df, [column], [0.25, 0.75])[column]
-    return df.where(is_outlier(column, None if quartiles is None else tuple(quartiles)))
+    return df.where(is_outlier(column, None if quartiles is None else (quartiles[0], quartiles[1])))
 
 
 def explained(df: DataFrame, kind: str, column: str | None, order_by: list[str], limit: int = SHOWN_ROWS):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import ref
+from plumbline.functions.columns import quoted, ref
 from plumbline.plans.scale import BROADCAST_ROWS, bounded, join_counted_keys
 
 #: Up to this many key columns the keys are shuffled as they are.
@@ -15,7 +15,8 @@ NARROW_KEYS = 2
 def duplicate_sets(
     df: DataFrame, keys: list[str], *extra: Column, nulls_equal: bool, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """One row per set of two or more rows equal on ``keys``: the keys, ``n`` and the ``extra`` aggregates.
+    """One row per set of two or more rows equal on ``keys``: the keys, its size
+    ``__n`` and the ``extra`` aggregates.
 
     With ``nulls_equal`` two nulls match; without, rows with a null key belong to no set. Wide keys are
     first reduced to an eight-byte hash, counted with map-side combining; rows whose hash is alone have
@@ -24,7 +25,8 @@ def duplicate_sets(
     """
     rows = df if nulls_equal else df.dropna(subset=keys)
     if len(keys) > NARROW_KEYS:
-        digest = F.xxhash64(*[ref(k) for k in keys], *[ref(k).isNull() for k in keys])
+        names = [quoted(k) for k in keys]
+        digest = F.expr(f"xxhash64({', '.join(names)}, {', '.join(f'{n} IS NULL' for n in names)})")
         repeated = (
             rows.select(digest.alias("__digest"))
             .groupBy("__digest")
@@ -37,8 +39,8 @@ def duplicate_sets(
             rows = rows.withColumn("__digest", digest).join(F.broadcast(few), "__digest", "left_semi")
     return (
         rows.groupBy(*[ref(k) for k in keys])
-        .agg(F.count(F.lit(1)).alias("n"), *extra)
-        .where(F.col("n") > 1)
+        .agg(F.count(F.lit(1)).alias("__n"), *extra)
+        .where("__n > 1")
     )
 
 
@@ -47,7 +49,6 @@ def duplicate_rows(
 ) -> DataFrame:
     """Every member of every duplicate set."""
     sets = duplicate_sets(df, keys, nulls_equal=nulls_equal, max_rows=max_rows)
-    sets = sets.withColumnRenamed("n", "__n")
     return join_counted_keys(df, sets, keys, size="__n", max_rows=max_rows).select(*[ref(c) for c in df.columns])
 
 
@@ -55,7 +56,7 @@ def surplus_rows(df: DataFrame, keys: list[str], nulls_equal: bool) -> DataFrame
     """One row: ``rows`` and the ``extra`` rows beyond the first of each duplicate set."""
     sets = duplicate_sets(df, keys, nulls_equal=nulls_equal)
     extra = sets.agg(
-        F.lit(0).cast("bigint").alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra")
+        F.lit(0).cast("bigint").alias("rows"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("extra")
     )
     rows = df.agg(F.count(F.lit(1)).alias("rows"), F.lit(0).cast("bigint").alias("extra"))
     return rows.unionByName(extra).agg(F.sum("rows").alias("rows"), F.sum("extra").alias("extra"))

@@ -10,22 +10,26 @@ from plumbline.operators.duplicates import duplicate_sets
 from plumbline.plans.scale import join_counted_keys
 
 
-def exact_groups(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
-    """``(group_id, method, size, match_score, first_row, *keys)`` of each set of two or more rows equal
-    on ``keys``. A row with a null key belongs to no group."""
-    sets = duplicate_sets(nan_as_null(df), keys, F.min(ref(row_id)).alias("first_row"), nulls_equal=False)
-    return sets.select(
-        F.col("first_row").cast("string").alias("group_id"),
+def _sets(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
+    return duplicate_sets(nan_as_null(df), keys, F.min(ref(row_id)).alias("__first"), nulls_equal=False)
+
+
+def exact_groups(df: DataFrame, keys: list[str], row_id: str, show_keys: bool = False) -> DataFrame:
+    """``(group_id, method, size, match_score, first_row)`` of each set of two or more rows equal on
+    ``keys``, which follow if asked for. A row with a null key belongs to no group."""
+    return _sets(df, keys, row_id).select(
+        F.col("__first").cast("string").alias("group_id"),
         F.lit("exact").alias("method"),
-        F.col("n").alias("size"),
+        F.col("__n").alias("size"),
         F.lit(100.0).alias("match_score"),
-        "first_row",
-        *[ref(k) for k in keys],
+        F.col("__first").alias("first_row"),
+        *[ref(k) for k in keys if show_keys],
     )
 
 
 def exact_members(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     """``(group_id, method, row_id)`` of every row in an exact group."""
     rows = nan_as_null(df).select(ref(row_id).alias("__row"), *[ref(k) for k in keys])
-    groups = exact_groups(df, keys, row_id).select("group_id", "method", F.col("size").alias("n"), *[ref(k) for k in keys])
-    return join_counted_keys(rows, groups, keys).select("group_id", "method", F.col("__row").alias("row_id"))
+    return join_counted_keys(rows, _sets(df, keys, row_id), keys, size="__n").select(
+        F.col("__first").cast("string").alias("group_id"), F.lit("exact").alias("method"), F.col("__row").alias("row_id")
+    )

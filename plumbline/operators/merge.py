@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import nan_as_null, ref
+from plumbline.functions.columns import nan_as_null, quoted, ref
 from plumbline.operators.check import total
 from plumbline.operators.exact import exact_members
 
@@ -23,7 +23,7 @@ def survivors(df: DataFrame, members: DataFrame, row_id: str, strategy: str = "f
     if strategy != "best":
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     rows = nan_as_null(df)
-    nulls = total([ref(c).isNull().cast("bigint") for c in df.columns if c != row_id])
+    nulls = F.expr(total([f"if({quoted(c)} IS NULL, 1, 0)" for c in df.columns if c != row_id]))
     graded = members.join(rows.select(ref(row_id).alias("row_id"), nulls.alias("nulls")), "row_id")
     return graded.groupBy("method", "group_id").agg(F.min_by("row_id", F.struct("nulls", "row_id")).alias("row_id"))
 
@@ -48,7 +48,7 @@ def merge_exact(df: DataFrame, row_id: str, strategy: str = "first", keys: list[
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     whole = nan_as_null(df)
-    complete = total([ref(c).isNull().cast("int") for c in columns]) == 0
+    complete = F.expr(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in columns))
     pick = F.max if strategy == "last" else F.min
     merged = whole.where(complete).groupBy(*[ref(c) for c in columns]).agg(pick(ref(row_id)).alias(row_id))
     return merged.unionByName(whole.where(~complete)).select(*[ref(c) for c in df.columns])

@@ -2,32 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import Shape, nan_as_null, ref, round2, share
+from plumbline.functions.columns import Shape, nan_as_null, number, quoted, rounded, share, string
+from plumbline.operators.check import table_of
 from plumbline.operators.duplicates import surplus_rows
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.value_counts import distinct_counts, top_values, value_counts
 
 
-def _per_column(df: DataFrame, measures: dict[str, Column], rows: list[Column]) -> DataFrame:
-    stats = df.agg(*[expr.alias(name) for name, expr in measures.items()])
-    return stats.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+def _per_column(df: DataFrame, measures: dict[str, str], rows: list[str]) -> DataFrame:
+    stats = df.agg(*[F.expr(sql).alias(name) for name, sql in measures.items()])
+    return table_of(stats, rows)
 
 
 def null_profile(df: DataFrame, shape: Shape | None = None) -> DataFrame:
     """``(ordinal, column, dtype, null_count, null_percentage)``."""
     df, shape = nan_as_null(df), shape or Shape.of(df)
-    measures = {"rows": F.count(F.lit(1)), **{f"p{i}": F.count(ref(n)) for i, n in enumerate(shape.names)}}
+    measures = {"rows": "count(*)", **{f"p{i}": f"count({quoted(n)})" for i, n in enumerate(shape.names)}}
     rows = [
-        F.struct(
-            F.lit(i).alias("ordinal"),
-            F.lit(f.name).alias("column"),
-            F.lit(f.dataType.simpleString()).alias("dtype"),
-            (F.col("rows") - F.col(f"p{i}")).alias("null_count"),
-            round2(share(F.col("rows") - F.col(f"p{i}"), F.col("rows"), 0)).alias("null_percentage"),
-        )
+        f"named_struct('ordinal', {i}, 'column', {string(f.name)}, 'dtype', {string(f.dataType.simpleString())}, "
+        f"'null_count', rows - p{i}, 'null_percentage', {rounded(share(f'(rows - p{i})', 'rows', 0))})"
         for i, f in enumerate(shape.fields)
     ]
     return _per_column(df, measures, rows)
@@ -39,7 +35,7 @@ def distinct_profile(df: DataFrame, shape: Shape | None = None, approximate: boo
     return distinct_counts(df, shape.names, approximate).select(
         "column",
         F.col("distinct").alias("unique_count"),
-        round2(share(F.col("distinct"), F.col("present"), 0)).alias("unique_percentage"),
+        F.expr(rounded(share("distinct", "present", 0))).alias("unique_percentage"),
     )
 
 
@@ -50,25 +46,12 @@ def numeric_profile(df: DataFrame, shape: Shape | None = None) -> DataFrame:
     quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75])
     measures, rows = {}, []
     for i, n in enumerate(names):
-        value = ref(n).cast("double")
-        measures |= {
-            f"mean{i}": F.avg(value),
-            f"std{i}": F.stddev_samp(value),
-            f"min{i}": F.min(value),
-            f"max{i}": F.max(value),
-        }
-        q25, q50, q75 = quartiles[n] or (None, None, None)
+        for name, function in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")):
+            measures[f"{name}{i}"] = f"{function}(CAST({quoted(n)} AS DOUBLE))"
+        q25, q50, q75 = map(number, quartiles[n] or (None, None, None))
         rows.append(
-            F.struct(
-                F.lit(n).alias("column"),
-                F.col(f"mean{i}").alias("mean"),
-                F.lit(q50).cast("double").alias("median"),
-                F.col(f"std{i}").alias("std"),
-                F.col(f"min{i}").alias("min"),
-                F.col(f"max{i}").alias("max"),
-                F.lit(q25).cast("double").alias("q25"),
-                F.lit(q75).cast("double").alias("q75"),
-            )
+            f"named_struct('column', {string(n)}, 'mean', mean{i}, 'median', {q50}, 'std', std{i}, "
+            f"'min', min{i}, 'max', max{i}, 'q25', {q25}, 'q75', {q75})"
         )
     if not names:
         nothing = "column string, mean double, median double, std double, min double, max double, q25 double, q75 double"
@@ -81,15 +64,11 @@ def string_profile(df: DataFrame, shape: Shape | None = None) -> DataFrame:
     shape = shape or Shape.of(df)
     measures, rows = {}, []
     for i, n in enumerate(shape.strings):
-        size = F.length(ref(n))
-        measures |= {f"lo{i}": F.min(size), f"hi{i}": F.max(size), f"avg{i}": F.avg(size)}
+        for name, function in (("lo", "min"), ("hi", "max"), ("avg", "avg")):
+            measures[f"{name}{i}"] = f"{function}(length({quoted(n)}))"
         rows.append(
-            F.struct(
-                F.lit(n).alias("column"),
-                F.col(f"lo{i}").alias("min_length"),
-                F.col(f"hi{i}").alias("max_length"),
-                round2(F.col(f"avg{i}")).alias("avg_length"),
-            )
+            f"named_struct('column', {string(n)}, 'min_length', lo{i}, 'max_length', hi{i}, "
+            f"'avg_length', {rounded(f'avg{i}')})"
         )
     if not rows:
         return df.sparkSession.createDataFrame([], "column string, min_length int, max_length int, avg_length double")
@@ -103,7 +82,7 @@ def duplicate_profile(df: DataFrame, shape: Shape | None = None) -> DataFrame:
     return surplus_rows(df, shape.names, nulls_equal=False).select(
         F.col("rows").alias("total_records"),
         F.col("extra").alias("duplicate_count"),
-        round2(share(F.col("extra"), F.col("rows"), 0)).alias("duplicate_percentage"),
+        F.expr(rounded(share("extra", "rows", 0))).alias("duplicate_percentage"),
     )
 
 

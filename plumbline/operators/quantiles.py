@@ -11,10 +11,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import ref
+from plumbline.functions.columns import number, quoted
 
 #: Up to this many present values a column is ranked by the built-in exact aggregate.
 DIRECT_ROWS = 200_000
@@ -42,9 +42,13 @@ class _Bracket:
     inside: int = 0
     at_high: int = 0
 
-    def is_inside(self) -> Column:
-        value = ref(self.column).cast("double")
-        return (value > F.lit(self.low)) & (value < F.lit(self.high))
+    @property
+    def value(self) -> str:
+        return as_double(self.column)
+
+    @property
+    def is_inside(self) -> str:
+        return f"{self.value} > {number(self.low)} AND {self.value} < {number(self.high)}"
 
     def missing(self) -> list[int]:
         return [r for r in {self.first, self.last} if r not in self.found]
@@ -64,24 +68,25 @@ def exact_quantiles(
         return {}
     width = 2.0 / accuracy
     marks = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-width, width)]
-    sketch = df.agg(
-        *[
-            part
+    points = ", ".join(map(number, marks))
+    sketch = _one_row(
+        df,
+        {
+            name: sql
             for i, c in enumerate(columns)
-            for part in (
-                F.count(ref(c)).alias(f"n{i}"),
-                F.min(ref(c).cast("double")).alias(f"lo{i}"),
-                F.max(ref(c).cast("double")).alias(f"hi{i}"),
-                F.percentile_approx(ref(c).cast("double"), marks, accuracy).alias(f"q{i}"),
+            for name, sql in (
+                (f"n{i}", f"count({as_double(c)})"),
+                (f"lo{i}", f"min({as_double(c)})"),
+                (f"hi{i}", f"max({as_double(c)})"),
+                (f"q{i}", f"percentile_approx({as_double(c)}, array({points}), {accuracy})"),
             )
-        ]
-    ).first()
+        },
+    )
     result: dict[str, list[float] | None] = {c: None for c in columns if sketch[f"n{columns.index(c)}"] == 0}
     small = [c for i, c in enumerate(columns) if 0 < sketch[f"n{i}"] <= direct_rows]
     if small:
-        exact = df.agg(
-            *[F.percentile(ref(c).cast("double"), F.array(*map(F.lit, probs))).alias(f"p{i}") for i, c in enumerate(small)]
-        ).first()
+        points = ", ".join(map(number, probs))
+        exact = _one_row(df, {f"p{i}": f"percentile({as_double(c)}, array({points}))" for i, c in enumerate(small)})
         result.update({c: list(exact[f"p{i}"]) for i, c in enumerate(small)})
 
     brackets = []
@@ -102,6 +107,14 @@ def exact_quantiles(
     return result
 
 
+def as_double(column: str) -> str:
+    return f"CAST({quoted(column)} AS DOUBLE)"
+
+
+def _one_row(df: DataFrame, measures: dict[str, str]):
+    return df.agg(*[F.expr(sql).alias(name) for name, sql in measures.items()]).first()
+
+
 def _interpolate(bracket: _Bracket, n: int) -> float:
     part = (n - 1) * bracket.prob - bracket.first
     low, high = bracket.found[bracket.first], bracket.found[bracket.last]
@@ -122,16 +135,13 @@ def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int, gather_rows:
 
 def _count(df: DataFrame, brackets: list[_Bracket]) -> None:
     """Exact numbers of values below, at and inside the edges of all brackets, in one scan."""
-    counts = []
+    counts = {}
     for i, b in enumerate(brackets):
-        value = ref(b.column).cast("double")
-        counts += [
-            F.count_if(value < F.lit(b.low)).alias(f"below{i}"),
-            F.count_if(value == F.lit(b.low)).alias(f"low{i}"),
-            F.count_if(b.is_inside()).alias(f"inside{i}"),
-            F.count_if(value == F.lit(b.high)).alias(f"high{i}"),
-        ]
-    row = df.agg(*counts).first()
+        counts[f"below{i}"] = f"count_if({b.value} < {number(b.low)})"
+        counts[f"low{i}"] = f"count_if({b.value} = {number(b.low)})"
+        counts[f"inside{i}"] = f"count_if({b.is_inside})"
+        counts[f"high{i}"] = f"count_if({b.value} = {number(b.high)})"
+    row = _one_row(df, counts)
     for i, b in enumerate(brackets):
         b.below, b.at_low = row[f"below{i}"], row[f"low{i}"]
         b.inside, b.at_high = row[f"inside{i}"], row[f"high{i}"]
@@ -156,25 +166,21 @@ def _gather(df: DataFrame, brackets: list[_Bracket]) -> None:
     """Rank the distinct values inside small brackets."""
     if not brackets:
         return
-    tagged = F.array(
-        *[
-            F.when(b.is_inside(), F.struct(F.lit(i).alias("b"), ref(b.column).cast("double").alias("v")))
-            for i, b in enumerate(brackets)
-        ]
-    )
+    tagged = ", ".join(f"if({b.is_inside}, named_struct('b', {i}, 'v', {b.value}), NULL)" for i, b in enumerate(brackets))
     counted = (
-        df.select(F.explode(F.array_compact(tagged)).alias("x"))
+        df.where(" OR ".join(f"({b.is_inside})" for b in brackets))
+        .select(F.expr(f"explode(array_compact(array({tagged})))").alias("x"))
         .groupBy("x.b", "x.v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     upto = F.sum("n").over(Window.partitionBy("b").orderBy("v"))
     ranked = counted.select("b", "v", (upto - F.col("n")).alias("start"), upto.alias("stop"))
-    wanted = F.lit(False)
-    for i, b in enumerate(brackets):
-        for rank in b.missing():
-            r = rank - b.below - b.at_low
-            wanted = wanted | ((F.col("b") == i) & (F.col("start") <= r) & (F.col("stop") > r))
-    for row in ranked.where(wanted).collect():
+    wanted = [
+        f"(b = {i} AND start <= {rank - b.below - b.at_low} AND stop > {rank - b.below - b.at_low})"
+        for i, b in enumerate(brackets)
+        for rank in b.missing()
+    ]
+    for row in ranked.where(" OR ".join(wanted)).collect():
         b = brackets[row["b"]]
         for rank in b.missing():
             if row["start"] <= rank - b.below - b.at_low < row["stop"]:
@@ -185,7 +191,7 @@ def _resketch(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
     """Tighter edges from a sketch of the values strictly inside."""
     if not brackets:
         return
-    sketches = []
+    sketches = {}
     for i, b in enumerate(brackets):
         offset = b.below + b.at_low
         ranks = [r - offset for r in b.missing()]
@@ -193,8 +199,8 @@ def _resketch(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
             min(max(min(ranks) / b.inside - 2.0 / accuracy, 0.0), 1.0),
             min(max((max(ranks) + 1) / b.inside + 2.0 / accuracy, 0.0), 1.0),
         ]
-        inner = F.when(b.is_inside(), ref(b.column).cast("double"))
-        sketches.append(F.percentile_approx(inner, marks, accuracy).alias(f"q{i}"))
-    row = df.agg(*sketches).first()
+        inner, points = f"if({b.is_inside}, {b.value}, NULL)", ", ".join(map(number, marks))
+        sketches[f"q{i}"] = f"percentile_approx({inner}, array({points}), {accuracy})"
+    row = _one_row(df, sketches)
     for i, b in enumerate(brackets):
         b.low, b.high = row[f"q{i}"]

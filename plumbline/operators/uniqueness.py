@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import Shape, mean2, round2, share
-from plumbline.operators.check import metric
+from plumbline.functions.columns import Shape, mean2, rounded, share
+from plumbline.operators.check import metric, table_of
 from plumbline.operators.duplicates import surplus_rows
 from plumbline.operators.value_counts import distinct_counts
 
@@ -16,18 +16,18 @@ ROWS, BY_COLUMN = "Row Uniqueness", "Column Uniqueness"
 
 def row_uniqueness(df: DataFrame, shape: Shape) -> DataFrame:
     """Rows that repeat an earlier row on all columns, nulls being equal."""
-    extra, rows = F.col("extra"), F.col("rows")
-    value = F.when(rows > 0, round2((1 - extra / rows) * 100)).otherwise(F.lit(100.0))
-    detail = {"duplicate_rows": extra, "unique_rows": rows - extra, "total_rows": rows}
-    row = metric(DIMENSION, ROWS, value, extra, rows, detail=detail)
-    return surplus_rows(df, shape.names, nulls_equal=True).select(row.alias("m")).select("m.*")
+    value = "if(rows > 0, bround((1 - extra / rows) * 100, 2), 100)"
+    detail = {"duplicate_rows": "extra", "unique_rows": "rows - extra", "total_rows": "rows"}
+    return table_of(
+        surplus_rows(df, shape.names, nulls_equal=True),
+        [metric(DIMENSION, ROWS, value, "extra", "rows", detail=detail)],
+    )
 
 
 def column_uniqueness(df: DataFrame, shape: Shape, approximate: bool = False) -> DataFrame:
     """Distinct share of the present values per column; the metric is the mean of the rounded shares."""
-    counted = distinct_counts(df, shape.names, approximate).withColumn(
-        "value", round2(share(F.col("distinct"), F.col("present"), 0))
-    )
+    rate = F.expr(rounded(share("distinct", "present", 0)))
+    counted = distinct_counts(df, shape.names, approximate).withColumn("value", rate)
     rows = F.collect_list(F.struct("column", "value", "distinct", "present"))  # one entry per column
     gathered = counted.agg(mean2(F.col("value")).alias("mean"), rows.alias("parts"))
     parts = F.transform(
@@ -42,5 +42,5 @@ def column_uniqueness(df: DataFrame, shape: Shape, approximate: bool = False) ->
             F.lit(None).cast("map<string,string>").alias("detail"),
         ),
     )
-    head = metric(DIMENSION, BY_COLUMN, F.col("mean"))
+    head = F.expr(metric(DIMENSION, BY_COLUMN, "mean"))
     return gathered.select(F.explode(F.concat(F.array(head), parts)).alias("m")).select("m.*")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from plumbline.functions.columns import Shape, ref, round2, share
+from plumbline.functions.columns import Shape, quoted, rounded, share
 from plumbline.operators.check import Check, metric, total
 
 DIMENSION = "validity"
@@ -15,14 +13,10 @@ def negative_amounts(shape: Shape) -> Check:
     """Negative values of amount-named columns. Every numeric type is tested; the denominator counts
     all columns with such a name, text ones included."""
     tested = {n: f"negative_{i}" for i, n in enumerate(shape.names) if n in shape.amounts and n in shape.numerics}
-    found, rows = total([F.col(c) for c in tested.values()]), F.col("rows")
-    cells = rows * len(shape.amounts)
-    parts = [
-        metric(DIMENSION, RULES, F.lit(None), F.col(c), rows, column=n, when=F.col(c) > 0)
-        for n, c in tested.items()
-    ]
-    value = round2((1 - share(found, cells, 0) / 100) * 100)
+    found, cells = total(list(tested.values())), f"rows * {len(shape.amounts)}"
+    parts = [metric(DIMENSION, RULES, "NULL", c, "rows", column=n, when=f"{c} > 0") for n, c in tested.items()]
+    score = rounded(f"(1 - {share(found, cells, 0)} / 100) * 100")
     return Check(
-        {"rows": F.count(F.lit(1)), **{c: F.count_if(ref(n) < 0) for n, c in tested.items()}},
-        (metric(DIMENSION, RULES, value, found, cells), *parts),
+        {"rows": "count(*)", **{c: f"count_if({quoted(n)} < 0)" for n, c in tested.items()}},
+        (metric(DIMENSION, RULES, score, found, cells), *parts),
     )

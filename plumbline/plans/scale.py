@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import ref
 from plumbline.session import shared_folder
 
 #: A side is broadcast only when a count proves it has at most this many (narrow) rows.
@@ -60,5 +61,5 @@ def _null_safe_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFram
     renamed = keys.withColumnsRenamed({c: f"__key_{i}" for i, c in enumerate(on)})
     condition: Column = F.lit(True)
     for i, name in enumerate(on):
-        condition = condition & F.col(f"`{name}`").eqNullSafe(F.col(f"__key_{i}"))
+        condition = condition & ref(name).eqNullSafe(F.col(f"__key_{i}"))
     return rows.join(renamed, condition, "inner").drop(*[f"__key_{i}" for i in range(len(on))])

@@ -68,7 +68,7 @@ def test_text_functions(spark):
     texts = TEXTS + random_texts
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     rows = df.select(
-        "t", is_blank(F.col("t")).alias("blank"), is_mixed_case(F.col("t")).alias("mixed"),
+        "t", F.expr(is_blank("t")).alias("blank"), F.expr(is_mixed_case("t")).alias("mixed"),
         phonetic_code(F.col("t")).alias("code"), phonetic_key([F.col("t"), F.lit("")]).alias("key"),
         sorted_tokens(F.lower("t")).alias("words"),
     ).collect()

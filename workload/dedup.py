@@ -53,7 +53,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = table(spark, sf, "lineitem").withColumn("row_id", F.col("l_linenumber") + 10 * F.col("l_orderkey"))
-    groups = exact_groups(rows, ["l_partkey", "l_quantity"], "row_id")
+    groups = exact_groups(rows, ["l_partkey", "l_quantity"], "row_id", show_keys=True)
     return groups.select("group_id", "size", "l_partkey", "l_quantity")
 
 

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import round2, share
+from plumbline.functions.columns import rounded, share, string
 from plumbline.operators import alerts as al
 from plumbline.operators import history as hi
 from plumbline.operators.rules import RULE_SCHEMA, alerts_of, judge, verdicts
@@ -32,13 +32,12 @@ DATASET = "purchase"
 
 def dim_scores(spark: SparkSession, sf: str) -> DataFrame:
     """``(dataset_id, ts, dimension, score)`` of every dataset and day."""
-    total = F.col("total_records")
     values = {
-        "completeness": share(F.col("non_null_values"), total, 0),
-        "accuracy": 100 - share(F.col("high_values"), total, 0),
-        "validity": 100 - share(F.col("flagged"), total, 0),
+        "completeness": share("non_null_values", "total_records", 0),
+        "accuracy": f"100 - {share('high_values', 'total_records', 0)}",
+        "validity": f"100 - {share('flagged', 'total_records', 0)}",
     }
-    pairs = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*[round2(v) for v in values.values()]))
+    pairs = F.expr(f"map({', '.join(f'{string(d)}, {rounded(v)}' for d, v in values.items())})")
     days = view(spark, sf, "score_days")
     return days.select("dataset_id", F.col("day").cast("timestamp").alias("ts"), "total_records", F.explode(pairs).alias("dimension", "score"))
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import ref
+from plumbline.functions.columns import quoted, ref
 
 # Texts that read as missing in CSV files.
 MISSING_TEXTS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
+# Names of JSON columns that hold dates.
+DATE_ENDINGS, DATE_NAMES = ("_at", "_time"), ("modified", "date")
+
 SAMPLE_ROWS, SAMPLE_LIMIT = 10, 100
 
 _WHOLE = r"^\s*[+-]?\d+\s*$"
@@ -65,15 +68,31 @@ def _is_whole(text: Column) -> Column:
     return text.rlike(_WHOLE) & F.trim(text).try_cast("bigint").isNotNull()
 
 
-def read_json(spark: SparkSession, path: str | list[str], mixed: list[str] | None = None) -> DataFrame:
-    """Records from JSON files, an array of records or one per line. Columns named in ``mixed`` are read
-    as variants, which keep the type of every single value."""
-    reader = spark.read.option("multiLine", "true")
-    if not mixed:
-        return reader.json(path)
+def read_json(
+    spark: SparkSession, path: str | list[str], mixed: list[str] | None = None, lines: bool = False
+) -> DataFrame:
+    """Records from JSON files: an array of records per file, or with ``lines`` one record per line, which
+    splits over tasks. Columns named in ``mixed`` are read as variants, which keep the type of every single
+    value. Text columns named like dates become timestamps if all their values are."""
+    reader = spark.read.option("multiLine", str(not lines).lower())
     schema = reader.json(path).schema
-    parts = [f"`{f.name}` {'variant' if f.name in mixed else f.dataType.simpleString()}" for f in schema]
-    return reader.schema(", ".join(parts)).json(path)
+    if mixed:
+        kinds = ["variant" if f.name in mixed else f.dataType.simpleString() for f in schema]
+        reader = reader.schema(", ".join(f"{quoted(f.name)} {kind}" for f, kind in zip(schema, kinds)))
+    return _with_dates(reader.json(path))
+
+
+def _with_dates(df: DataFrame) -> DataFrame:
+    names = [n for n, kind in df.dtypes if kind == "string" and _is_date_name(n.lower())]
+    if not names:
+        return df
+    tests = [F.expr(f"count_if(try_to_timestamp({quoted(n)}) IS NULL AND {quoted(n)} IS NOT NULL)") for n in names]
+    failed = df.agg(*tests).first()
+    return df.withColumns({n: F.try_to_timestamp(ref(n)) for n, bad in zip(names, failed) if not bad})
+
+
+def _is_date_name(name: str) -> bool:
+    return name.endswith(DATE_ENDINGS) or name.startswith("timestamp") or name in DATE_NAMES
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:

@@ -42,6 +42,13 @@ def test_json_records(spark, tmp_path):
     assert dict(read_json(spark, str(tmp_path / "t.json")).dtypes)["v"] == "string"
 
 
+def test_json_lines_and_dates(spark, tmp_path):
+    rows = [{"id": 1, "date": "2024-01-05", "seen_at": "2024-01-05 10:00:00", "end_time": "soon"}, {"id": 2, "date": None, "seen_at": "2024-02-01", "end_time": "2024-01-01"}]
+    (tmp_path / "t.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    df = read_json(spark, str(tmp_path / "t.jsonl"), lines=True)
+    assert dict(df.dtypes) == {"id": "bigint", "date": "timestamp", "seen_at": "timestamp", "end_time": "string"} and df.count() == 2
+
+
 def test_table_info_and_pages(spark, tmp_path):
     spark.range(250).selectExpr("id", "id % 7 as k").write.parquet(f"{tmp_path}/t")
     df = read_table(spark, f"{tmp_path}/t")

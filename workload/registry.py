@@ -1,6 +1,7 @@
 """All queries with their oracles."""
 
-from workload import checks, dedup, monitoring, profiles
+from workload import checks, dedup, monitoring, profiles, sources
 
-QUERIES = {**checks.QUERIES, **profiles.QUERIES, **dedup.QUERIES, **monitoring.QUERIES}
-ORACLES = {**checks.ORACLES, **profiles.ORACLES, **dedup.ORACLES, **monitoring.ORACLES}
+_PARTS = (sources, checks, profiles, dedup, monitoring)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

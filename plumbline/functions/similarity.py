@@ -22,7 +22,7 @@ from plumbline.functions.text import sorted_tokens, text_of
 WORDS, WINDOW, PLAIN = 0.5, 0.3, 0.2
 
 WORD_BITS = 64
-SLICE = 100_000
+SLICE = 16_000
 _BUCKETS = 32
 _SLACK = 1e-9
 
@@ -37,14 +37,14 @@ class Texts:
         short = [t if len(t) <= WORD_BITS else "" for t in texts]
         alphabet = {ch: i + 1 for i, ch in enumerate(sorted(set("".join(short))))}
         width = max([len(t) for t in short] + [1])
-        self.codes = np.zeros((len(texts), width), dtype=np.int32)
+        self.codes = np.zeros((width, len(texts)), dtype=np.int64)  # by place in the text, then by text
         self.places = np.zeros((len(texts), len(alphabet) + 1), dtype=np.uint64)
         for row, (text, kept) in enumerate(zip(texts, short)):
             np.add.at(self.histogram[row], [ord(ch) % _BUCKETS for ch in text], 1)
-            self.codes[row, : len(kept)] = [alphabet[ch] for ch in kept]
+            self.codes[: len(kept), row] = [alphabet[ch] for ch in kept]
         rows = np.arange(len(texts))
         for j in range(width):
-            code = self.codes[:, j]
+            code = self.codes[j]
             self.places[rows, code] |= np.where(code > 0, np.uint64(1) << np.uint64(j), np.uint64(0))
 
     def ratio_bound(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,10 +66,14 @@ class Texts:
         best = np.zeros(len(a))
         fits = np.flatnonzero(self.size[b] <= WORD_BITS)
         for start in range(int(self.size[b[fits]].max(initial=0))):
-            live = fits[self.size[b[fits]] > start]
-            span = np.minimum(self.size[a[live]], self.size[b[live]] - start)
-            common = self._common(a[live], b[live], start, span)
-            best[live] = np.maximum(best[live], self._ratio(common, self.size[a[live]] + span))
+            size, span = self.size[a[fits]], np.minimum(self.size[a[fits]], self.size[b[fits]] - start)
+            # a window cannot share more than it holds, and later windows hold no more
+            hopeful = (span > 0) & (self._ratio(np.minimum(size, span), size + span) > best[fits])
+            fits, size, span = fits[hopeful], size[hopeful], span[hopeful]
+            if not len(fits):
+                break
+            common = self._common(a[fits], b[fits], start, span)
+            best[fits] = np.maximum(best[fits], self._ratio(common, size + span))
         for i in np.flatnonzero(self.size[b] > WORD_BITS):
             short, long = self.texts[a[i]], self.texts[b[i]]
             for start in range(0 if short in long else len(long)):
@@ -84,9 +88,12 @@ class Texts:
         """Common subsequence lengths of texts ``a`` and ``span`` characters of texts ``b`` from ``start``."""
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
         state = np.full(len(a), full)
+        row, places, shortest = a * self.places.shape[1], self.places.ravel(), int(span.min(initial=WORD_BITS))
         for j in range(int(span.max(initial=0))):
-            code = np.where(j < span, self.codes[b, min(start + j, self.codes.shape[1] - 1)], 0)
-            hit = state & self.places[a, code]
+            code = self.codes[start + j].take(b)
+            if j >= shortest:
+                code = np.where(j < span, code, 0)
+            hit = state & places.take(row + code)
             state = (state + hit) | (state - hit)
         size = self.size[a].astype(np.uint64)
         room = np.uint64(WORD_BITS) - np.maximum(size, np.uint64(1))

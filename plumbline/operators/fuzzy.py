@@ -21,12 +21,12 @@ from plumbline.operators.matching import (
     similar_pairs,
     tile_pairs,
 )
-from plumbline.plans.scale import checkpointed, join_checked
+from plumbline.plans.scale import checkpointed, hinted
 
 THRESHOLD = 85.0
 #: Texts per block seated in one round.
 HEADS = 200
-#: Rounds of seating before the rest is settled from its matches.
+#: Least rounds of seating before the rest is settled from its matches.
 ROUNDS = 2
 MAX_SETTLING = 1_000
 
@@ -56,19 +56,25 @@ def leaders(
     Equals going through each block in row order. A round seats the first ``heads`` undecided texts of
     every block among themselves, then lets the leaders found take in later texts; what is alike to an
     earlier leader is never looked at again, so dense blocks empty fast and never list their pairs. Blocks
-    that fit into ``heads`` are done after one round. After ``rounds`` the rest, which has no leader so far
-    and therefore few matches, is settled from its list of matches.
+    that fit into ``heads`` are done after one round. After ``rounds``, once a round no longer halves what is
+    left, the rest, which has no leader so far and therefore few matches, is settled from its matches.
     """
     todo, bins, _ = placed(texts, "block", part)
     todo = checkpointed(todo)
     done: list[DataFrame] = []
-    for _ in range(rounds):
-        if todo.isEmpty():
+    before = None
+    while True:
+        sizes = todo.groupBy("block").agg(F.count(F.lit(1)).alias("texts"))
+        left, largest = sizes.agg(F.sum("texts"), F.max("texts")).first()
+        if not left:
+            break
+        worthwhile = largest <= heads or (before is not None and 2 * left <= before)
+        if len(done) >= rounds and not worthwhile:
+            done.append(_settle(todo.drop("m", "parts", "bin", "hot", "part"), columns, threshold, part))
             break
         seated, todo = _seat(todo, bins, columns, threshold, heads)
         done.append(seated)
-    if not todo.isEmpty():
-        done.append(_settle(todo.drop("m", "parts", "bin", "hot", "part"), columns, threshold, part))
+        before = left
     if not done:
         id_type = texts.schema["first_row"].dataType.simpleString()
         return texts.sparkSession.createDataFrame([], f"first_row {id_type}, leader {id_type}")
@@ -150,19 +156,20 @@ def _settle(texts: DataFrame, columns: int, threshold: float, part: int) -> Data
         ends = open_.select(F.col("a").alias("v"), F.lit(0).alias("late")).unionByName(
             open_.select(F.col("b").alias("v"), F.lit(1).alias("late"))
         )
-        leading = ends.groupBy("v").agg(F.max("late").alias("late")).where("late = 0").select("v")
-        new = checkpointed(join_checked(open_, leading.withColumnRenamed("v", "a"), ["a"], "left_semi").select(F.col("b").alias("v")).distinct())
+        first = ends.groupBy(F.col("v").alias("a")).agg(F.max("late").alias("late")).where("late = 0").select("a")
+        leading = hinted(checkpointed(first))
+        new = checkpointed(open_.join(leading, "a", "left_semi").select(F.col("b").alias("v")).distinct())
         followers = new if followers is None else followers.unionByName(new)
-        open_ = join_checked(open_, leading.withColumnRenamed("v", "a"), ["a"], "left_anti")
-        open_ = join_checked(open_, new.withColumnRenamed("v", "a"), ["a"], "left_anti")
-        open_ = checkpointed(join_checked(open_, new.withColumnRenamed("v", "b"), ["b"], "left_anti"))
+        later = open_.join(leading, "a", "left_anti")
+        for end in ("a", "b"):
+            later = later.join(hinted(new.select(F.col("v").alias(end))), end, "left_anti")
+        open_ = checkpointed(later)
     else:
         raise RuntimeError("matches not settled")
     alone = texts.select("first_row")
     if followers is None:
         return alone.withColumn("leader", F.col("first_row"))
-    followers = checkpointed(followers)
-    led = join_checked(matches, followers.withColumnRenamed("v", "a"), ["a"], "left_anti")
+    led = matches.join(hinted(checkpointed(followers.select(F.col("v").alias("a")))), "a", "left_anti")
     chosen = led.groupBy(F.col("b").alias("first_row")).agg(F.min("a").alias("leader"))
     return alone.join(chosen, "first_row", "left").withColumn("leader", F.coalesce("leader", "first_row"))
 

@@ -29,6 +29,11 @@ def bounded(df: DataFrame, rows: int) -> DataFrame | None:
     return head if head.count() <= rows else None
 
 
+def hinted(written: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """An already written table, marked for broadcast if it has at most ``max_rows`` rows."""
+    return F.broadcast(written) if written.count() <= max_rows else written
+
+
 def join_checked(
     big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:

@@ -23,6 +23,8 @@ def window_ratio(a: str, b: str) -> int:
     if a == b:
         return 100
     a, b = sorted((a, b), key=len)
+    if not a:
+        return 0
     return max((ratio(a, b[i : i + len(a)]) for i in range(len(b))), default=0)
 
 

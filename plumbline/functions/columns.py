@@ -78,10 +78,12 @@ class Shape:
 def nan_as_null(df: DataFrame) -> DataFrame:
     """NaN becomes null in every floating column; all other columns pass through untouched,
     so that filters on them still reach the scan."""
-    floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    floating = [f for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     if not floating:
         return df
-    return df.withColumns({n: F.expr(f"CASE WHEN NOT isnan({quoted(n)}) THEN {quoted(n)} END") for n in floating})
+    return df.withColumns(
+        {f.name: F.expr(f"nanvl({quoted(f.name)}, CAST(NULL AS {f.dataType.simpleString()}))") for f in floating}
+    )
 
 
 def share(part: str, whole: str, if_empty: float) -> str:

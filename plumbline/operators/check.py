@@ -9,12 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import batched
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import ref, string
 
+#: Aggregates per scan.
+MAX_MEASURES = 600
+
 METRIC_SCHEMA = (
     "dimension string, name string, column string, value double, numerator bigint, "
     "denominator bigint, detail map<string,string>"
@@ -62,11 +67,21 @@ def table_of(stats: DataFrame, rows: Sequence[str], keys: Sequence[str] = ()) ->
 
 
 def run_checks(df: DataFrame, checks: Sequence[Check], keys: Sequence[str] = ()) -> DataFrame:
-    """Metric rows of all ``checks`` from one aggregation, per group of ``keys`` if given."""
+    """Metric rows of all ``checks`` from one aggregation, per group of ``keys`` if given. A table so wide
+    that its measures would not fit generated code is aggregated in batches, each reading its own columns."""
     measures = {name: sql for check in checks for name, sql in check.measures.items()}
     held = [f"__group_{i}" for i in range(len(keys))]  # so that a key may have a measure's name
-    stats = df.groupBy(*[ref(k).alias(h) for k, h in zip(keys, held)]).agg(
-        *[F.expr(sql).alias(name) for name, sql in measures.items()]
-    )
-    rows = table_of(stats, [row for check in checks for row in check.metrics], held)
+    groups = [ref(k).alias(h) for k, h in zip(keys, held)]
+    parts = [
+        df.groupBy(*groups).agg(*[F.expr(sql).alias(name) for name, sql in batch])
+        for batch in batched(measures.items(), MAX_MEASURES)
+    ]
+    if not keys and len(parts) > 1:  # single rows, joined on a constant
+        held, parts = ["__one"], [part.withColumn("__one", F.lit(1)) for part in parts]
+    stats = reduce(lambda a, b: a.join(b, _same(held, a, b)).drop(*[b[h] for h in held]), parts)
+    rows = table_of(stats, [row for check in checks for row in check.metrics], held if keys else ())
     return rows.withColumnsRenamed(dict(zip(held, keys)))
+
+
+def _same(held: Sequence[str], a: DataFrame, b: DataFrame) -> Column:
+    return reduce(lambda x, y: x & y, [a[h].eqNullSafe(b[h]) for h in held])

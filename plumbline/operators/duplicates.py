@@ -4,39 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import quoted, ref
-from plumbline.plans.scale import BROADCAST_ROWS, bounded, join_counted_keys
+from plumbline.plans.scale import BROADCAST_ROWS, bounded, checkpointed, hinted, join_counted_keys
 
-#: Up to this many key columns the keys are shuffled as they are.
+#: Up to this many key columns of fixed width the keys are shuffled as they are.
 NARROW_KEYS = 2
+DIGEST = "__digest"
+
+
+def is_narrow(df: DataFrame, keys: list[str]) -> bool:
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return len(keys) <= NARROW_KEYS and all(isinstance(df.schema[k].dataType, fixed) for k in keys)
+
+
+def with_digest(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds an eight-byte hash of the key columns and of which of them are null."""
+    names = [quoted(k) for k in keys]
+    return df.withColumn(DIGEST, F.expr(f"xxhash64({', '.join(names)}, {', '.join(f'{n} IS NULL' for n in names)})"))
+
+
+def repeated_digests(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``(__digest, n)`` of the hashes that more than one row has; map-side combining absorbs hot ones."""
+    hashed = with_digest(df.select(*[ref(k) for k in keys]), keys).select(DIGEST)
+    return hashed.groupBy(DIGEST).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def duplicate_sets(
     df: DataFrame, keys: list[str], *extra: Column, nulls_equal: bool, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """One row per set of two or more rows equal on ``keys``: the keys, its size
-    ``__n`` and the ``extra`` aggregates.
+    """One row per set of two or more rows equal on ``keys``: the keys, its size ``__n`` and the ``extra``
+    aggregates.
 
     With ``nulls_equal`` two nulls match; without, rows with a null key belong to no set. Wide keys are
-    first reduced to an eight-byte hash, counted with map-side combining; rows whose hash is alone have
-    no twin and drop out by a broadcast semi-join, if the repeated hashes are few. What is left is
-    grouped on the columns themselves, so a hash collision changes nothing.
+    first reduced to a hash; rows whose hash is alone have no twin and drop out by a broadcast semi-join,
+    if the repeated hashes are few. What is left is grouped on the columns themselves, so a hash collision
+    changes nothing.
     """
     rows = df if nulls_equal else df.dropna(subset=keys)
-    if len(keys) > NARROW_KEYS:
-        names = [quoted(k) for k in keys]
-        digest = F.expr(f"xxhash64({', '.join(names)}, {', '.join(f'{n} IS NULL' for n in names)})")
-        repeated = (
-            rows.select(digest.alias("__digest"))
-            .groupBy("__digest")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") > 1)
-            .select("__digest")
-        )
-        few = bounded(repeated, max_rows)
+    if not is_narrow(df, keys):
+        few = bounded(repeated_digests(rows, keys).select(DIGEST), max_rows)
         if few is not None:
-            rows = rows.withColumn("__digest", digest).join(F.broadcast(few), "__digest", "left_semi")
+            rows = with_digest(rows, keys).join(F.broadcast(few), DIGEST, "left_semi")
     return (
         rows.groupBy(*[ref(k) for k in keys])
         .agg(F.count(F.lit(1)).alias("__n"), *extra)
@@ -44,12 +54,57 @@ def duplicate_sets(
     )
 
 
+def in_duplicate_sets(
+    rows: DataFrame, keys: list[str], *extra: Column, nulls_equal: bool, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """The rows that belong to a duplicate set, with its ``__n`` and ``extra`` aggregates.
+
+    Rows find their set by the hash alone where the hash stands for one set and nothing else, so what is
+    joined or broadcast is a few bytes per set however wide the keys are. Hashes that collide, next to
+    none, are joined on the columns.
+    """
+    rows = rows if nulls_equal else rows.dropna(subset=keys)
+    sets = duplicate_sets(rows, keys, *extra, nulls_equal=True, max_rows=max_rows)
+    if is_narrow(rows, keys):
+        return join_counted_keys(rows, sets, keys, size="__n", max_rows=max_rows)
+    sets = checkpointed(with_digest(sets, keys))
+    carried = [c for c in sets.columns if c not in keys and c != DIGEST]
+    per_hash = sets.groupBy(DIGEST).agg(F.count(F.lit(1)).alias("sets"), *[F.first(c).alias(c) for c in carried])
+    counted = repeated_digests(rows, keys).join(per_hash, DIGEST).withColumn("clean", F.expr("sets = 1 AND __n = n"))
+    counted = checkpointed(counted)
+    hashed = with_digest(rows, keys)
+    found = join_counted_keys(hashed, counted.where("clean").select(DIGEST, *carried), [DIGEST], "__n", max_rows)
+    found = found.drop(DIGEST)
+    collided = counted.where("NOT clean").select(DIGEST)
+    if collided.isEmpty():
+        return found
+    collided = hinted(checkpointed(collided), max_rows)
+    apart = join_counted_keys(
+        hashed.join(collided, DIGEST, "left_semi").drop(DIGEST),
+        sets.join(collided, DIGEST, "left_semi").drop(DIGEST),
+        keys, "__n", max_rows,
+    )
+    return found.unionByName(apart)
+
+
 def duplicate_rows(
     df: DataFrame, keys: list[str], nulls_equal: bool = True, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Every member of every duplicate set."""
-    sets = duplicate_sets(df, keys, nulls_equal=nulls_equal, max_rows=max_rows)
-    return join_counted_keys(df, sets, keys, size="__n", max_rows=max_rows).select(*[ref(c) for c in df.columns])
+    found = in_duplicate_sets(df, keys, nulls_equal=nulls_equal, max_rows=max_rows)
+    return found.select(*[ref(c) for c in df.columns])
+
+
+def one_of_each(df: DataFrame, keys: list[str], *pick: Column, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with the rows equal on ``keys``, nulls equal, reduced to one by the ``pick`` aggregates of all
+    its other columns. Rows whose hash is alone pass through where they are; only the others are shuffled."""
+    few = bounded(repeated_digests(df, keys).select(DIGEST), max_rows)
+    reduce = lambda rows: rows.groupBy(*[ref(k) for k in keys]).agg(*pick)
+    if few is None:
+        return reduce(df)
+    hashed, few = with_digest(df, keys), F.broadcast(few)
+    alone = hashed.join(few, DIGEST, "left_anti").drop(DIGEST)
+    return alone.unionByName(reduce(hashed.join(few, DIGEST, "left_semi")))
 
 
 def surplus_rows(df: DataFrame, keys: list[str], nulls_equal: bool) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import nan_as_null, ref
-from plumbline.operators.duplicates import duplicate_sets
-from plumbline.plans.scale import join_counted_keys
+from plumbline.operators.duplicates import duplicate_sets, in_duplicate_sets
 
 
 def _sets(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
@@ -30,6 +29,6 @@ def exact_groups(df: DataFrame, keys: list[str], row_id: str, show_keys: bool =
 def exact_members(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     """``(group_id, method, row_id)`` of every row in an exact group."""
     rows = nan_as_null(df).select(ref(row_id).alias("__row"), *[ref(k) for k in keys])
-    return join_counted_keys(rows, _sets(df, keys, row_id), keys, size="__n").select(
+    return in_duplicate_sets(rows, keys, F.min("__row").alias("__first"), nulls_equal=False).select(
         F.col("__first").cast("string").alias("group_id"), F.lit("exact").alias("method"), F.col("__row").alias("row_id")
     )

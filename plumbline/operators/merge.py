@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import nan_as_null, quoted, ref
 from plumbline.operators.check import total
+from plumbline.operators.duplicates import one_of_each
 from plumbline.operators.exact import exact_members
 
 STRATEGIES = ("first", "last", "best")
@@ -39,8 +40,8 @@ def merge_members(df: DataFrame, members: DataFrame, row_id: str, strategy: str
 def merge_exact(df: DataFrame, row_id: str, strategy: str = "first", keys: list[str] | None = None) -> DataFrame:
     """``df`` with one row left of each exact group, on all columns but the id unless ``keys`` are given.
 
-    On all columns the members of a group differ in their id only, so grouping alone yields the survivor
-    and no join is needed; with ``best`` all are equally complete and the first stays.
+    On all columns the members of a group differ in their id only, so grouping alone yields the survivor;
+    with ``best`` all are equally complete and the first stays. Rows without a twin do not move.
     """
     columns = [c for c in df.columns if c != row_id]
     if keys is not None and set(keys) != set(columns):
@@ -50,7 +51,7 @@ def merge_exact(df: DataFrame, row_id: str, strategy: str = "first", keys: list[
     whole = nan_as_null(df)
     complete = F.expr(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in columns))
     pick = F.max if strategy == "last" else F.min
-    merged = whole.where(complete).groupBy(*[ref(c) for c in columns]).agg(pick(ref(row_id)).alias(row_id))
+    merged = one_of_each(whole.where(complete), columns, pick(ref(row_id)).alias(row_id))
     return merged.unionByName(whole.where(~complete)).select(*[ref(c) for c in df.columns])
 
 

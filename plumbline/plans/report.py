@@ -1,8 +1,9 @@
-"""The report of a dataset as one nested row."""
+"""The report of a dataset."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -10,14 +11,21 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import Shape, nan_as_null
 from plumbline.operators.alerts import recommendations, with_state
-from plumbline.operators.exact import exact_groups
+from plumbline.operators.exact import exact_groups, exact_members
 from plumbline.operators.history import dimension_trends, score_trend
 from plumbline.operators.profile import duplicate_profile, profile
 from plumbline.plans.assess import assess
 
 SHOWN_ALERTS = 10
 TREND_WINDOW = 7
-SHOWN_GROUPS = 100
+
+
+@dataclass(frozen=True)
+class Report:
+    """``document``: one nested row. ``duplicates``: all duplicate groups with their rows, however many."""
+
+    document: DataFrame
+    duplicates: DataFrame
 
 
 def quality_report(
@@ -31,12 +39,12 @@ def quality_report(
     row_id: str,
     dataset_name: str | None = None,
     exclude: Sequence[str] = (),
-) -> DataFrame:
-    """One row nesting assessment, profile, duplicate groups, alerts, recommendations and trend.
+) -> Report:
+    """Assessment, profile, duplicate groups, alerts, recommendations and trend of a dataset.
 
     Alerts include acknowledged ones, the first ten by time are shown, all are counted for the
-    recommendations. All exact groups are summed up; the ``SHOWN_GROUPS`` largest are listed with their
-    first row, the rest stays in ``exact_groups``. Nothing is stored.
+    recommendations. The document sums up the exact groups; their rows, which may be any number, are a
+    table beside it. Nothing is stored.
     """
     exclude = [*exclude, row_id]
     assessed = assess(df, dataset_id, as_of, dataset_name, exclude=exclude)
@@ -44,7 +52,6 @@ def quality_report(
     mine = with_state(alerts, acks).where(F.col("dataset_id") == dataset_id)
     advice = recommendations(assessed.dimension_scores.withColumn("dataset_id", F.lit(dataset_id)), mine)
     groups = exact_groups(df, shape.names, row_id)
-    order = F.struct("size", -F.col("first_row")) if dict(df.dtypes)[row_id] in ("bigint", "int") else F.struct("size", "first_row")
     parts = [
         assessed.score.select(F.struct("*").alias("quality_score")),
         assessed.metrics.agg(_list(assessed.metrics).alias("metrics")),
@@ -53,9 +60,6 @@ def quality_report(
         groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("records")).select(
             F.struct("groups", "records").alias("duplicate_totals")
         ),
-        groups.orderBy(order.desc()).limit(SHOWN_GROUPS).agg(
-            F.sort_array(F.collect_list(F.struct("group_id", "size", "first_row"))).alias("duplicates")
-        ),
         mine.orderBy("ts", "alert_id").limit(SHOWN_ALERTS).agg(_list(mine).alias("alerts")),
         advice.agg(
             F.transform(
@@ -78,7 +82,8 @@ def quality_report(
     )
     for part in parts:  # every part is a single row
         report = report.join(part.withColumn("__one", F.lit(1)), "__one", "left")
-    return report.drop("__one")
+    members = exact_members(df, shape.names, row_id).withColumnRenamed("row_id", row_id)
+    return Report(report.drop("__one"), members.join(df, row_id))
 
 
 def _list(df: DataFrame):
@@ -87,4 +92,5 @@ def _list(df: DataFrame):
 
 def _profile_rows(df: DataFrame, exclude: Sequence[str]) -> DataFrame:
     rows = profile(df, list(exclude))
-    return rows.agg(F.sort_array(F.collect_list(F.struct(*rows.select("ordinal", *[c for c in rows.columns if c != "ordinal"]).columns))).alias("profile"))
+    in_order = F.struct("ordinal", *[c for c in rows.columns if c != "ordinal"])
+    return rows.agg(F.sort_array(F.collect_list(in_order)).alias("profile"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.columns import ref
+from plumbline.functions.columns import quoted, ref
 from plumbline.session import shared_folder
 
-#: A side is broadcast only when a count proves it has at most this many (narrow) rows.
+#: A side is broadcast only when it is counted to have at most so many rows and so many bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 256 * 1024 * 1024
 #: A key is hot when it holds more than 1/HOT_SHARE of the rows; so at most HOT_SHARE keys are hot.
 HOT_SHARE = 20_000
 
@@ -23,15 +25,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(written: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether an already written table has at most ``rows`` rows and ``BROADCAST_BYTES`` bytes."""
+    fixed, sizes = 8 * len(written.columns), []
+    for field in written.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(f"coalesce(octet_length({quoted(field.name)}), 0)")
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            sizes.append(f"coalesce(length(to_json(struct({quoted(field.name)}))), 0)")
+    count, size = written.agg(F.count(F.lit(1)), F.expr(f"sum({' + '.join([str(fixed), *sizes])})")).first()
+    return count <= rows and (size or 0) <= BROADCAST_BYTES
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame | None:
-    """``df`` written out once if it has at most ``rows`` rows, else None; reads no further than that."""
+    """``df`` written out once if it is small, else None; reads no further than ``rows`` rows."""
     head = checkpointed(df.limit(rows + 1))
-    return head if head.count() <= rows else None
+    return head if is_small(head, rows) else None
 
 
 def hinted(written: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """An already written table, marked for broadcast if it has at most ``max_rows`` rows."""
-    return F.broadcast(written) if written.count() <= max_rows else written
+    """An already written table, marked for broadcast if it is small."""
+    return F.broadcast(written) if is_small(written, max_rows) else written
 
 
 def join_checked(
@@ -48,7 +62,8 @@ def join_counted_keys(
     """Inner join of ``rows`` to a table of distinct ``keys`` whose column ``size`` counts their rows.
 
     Few keys: one broadcast, ``rows`` do not move. Many keys: the hot ones (at most ``HOT_SHARE`` by
-    construction) are broadcast, the rest are shuffled, where no key holds a large share any more.
+    construction) are broadcast, the rest are shuffled, where no key holds a large share any more. Should
+    even the hot keys be too wide to broadcast, all are shuffled and skewed partitions split at run time.
     Keys match null to null.
     """
     counted = bounded(keys, max_rows)
@@ -56,10 +71,11 @@ def join_counted_keys(
         return _null_safe_join(rows, F.broadcast(counted), on)
     keys = checkpointed(keys)
     total = keys.agg(F.sum(size)).first()[0]
-    hot = F.col(size) > F.lit(total / HOT_SHARE)
-    return _null_safe_join(rows, F.broadcast(keys.where(hot)), on).unionByName(
-        _null_safe_join(rows, keys.where(~hot), on)
-    )
+    hot = F.col(size) > F.lit((total or 0) / HOT_SHARE)
+    hottest = bounded(keys.where(hot), HOT_SHARE)
+    if hottest is None:
+        return _null_safe_join(rows, keys, on)
+    return _null_safe_join(rows, F.broadcast(hottest), on).unionByName(_null_safe_join(rows, keys.where(~hot), on))
 
 
 def _null_safe_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

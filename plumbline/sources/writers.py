@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.alerts import acknowledgement
 from plumbline.plans.assess import Assessment
+from plumbline.plans.report import Report
 
 
 def score_rows(score: DataFrame) -> DataFrame:
@@ -41,6 +42,7 @@ def _append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("dataset_id").parquet(path)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """The nested report row as a JSON document."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+def write_report(report: Report, folder: str) -> None:
+    """The nested row as a JSON document, and the rows of all duplicate groups as JSON lines beside it."""
+    report.document.coalesce(1).write.mode("overwrite").json(f"{folder}/document")
+    report.duplicates.write.mode("overwrite").json(f"{folder}/duplicates")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import Shape, nan_as_null
-from plumbline.operators import accuracy, consistency, drill, scoring
+from plumbline.operators import accuracy, completeness, consistency, drill, scoring
 from plumbline.operators.check import run_checks
 from plumbline.operators.profile import duplicate_profile, profile
 from plumbline.operators.rules import RULE_SCHEMA
@@ -119,6 +119,19 @@ def test_odd_column_names(spark):
     assert profile(df).count() == 4
 
 
+def test_wide_table_in_batches(spark, monkeypatch):
+    from plumbline.operators import check
+
+    df = spark.range(20).selectExpr("id % 2 AS g", *[f"if(id % {i + 2} = 0, null, id) AS c{i}" for i in range(30)])
+    def rows(*keys):
+        shape = Shape.of(df, list(keys))
+        found = run_checks(df, [completeness.overall(shape), completeness.by_column(shape)], list(keys))
+        return sorted(map(str, found.collect()))
+    whole, grouped = rows(), rows("g")
+    monkeypatch.setattr(check, "MAX_MEASURES", 7)
+    assert rows() == whole and rows("g") == grouped
+
+
 def test_booleans_and_other_types(spark):
     df = spark.range(6).selectExpr(
         "id % 2 = 0 as flag", "array(id % 2) as items", "date'2024-01-01' + cast(id % 3 as int) as updated", "binary('x') as raw",

@@ -41,6 +41,20 @@ def test_members_of_duplicate_sets(spark, monkeypatch, max_rows, keys):
     assert sorted(r["id"] for r in found.collect()) == expected
 
 
+def test_colliding_hashes_are_told_apart(spark, monkeypatch):
+    """A hash of the second column only makes unequal rows collide; results must not change."""
+    rows = rows_of(4, 200)
+    df = spark.createDataFrame(rows, SCHEMA)
+    exact = sorted(r["id"] for r in duplicates.duplicate_rows(df, KEYS).collect())
+    members = sorted(map(tuple, exact_members(df, KEYS, "id").collect()))
+    merged = sorted(r["id"] for r in merge.merge_exact(df, "id").collect())
+    weak = lambda frame, keys: frame.withColumn(duplicates.DIGEST, F.xxhash64("b"))
+    monkeypatch.setattr(duplicates, "with_digest", weak)
+    assert sorted(r["id"] for r in duplicates.duplicate_rows(df, KEYS).collect()) == exact
+    assert sorted(map(tuple, exact_members(df, KEYS, "id").collect())) == members
+    assert sorted(r["id"] for r in merge.merge_exact(df, "id").collect()) == merged
+
+
 def test_join_counted_keys_all_ways(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "hot" if i % 3 else (None if i % 2 else str(i % 5))) for i in range(100)], "i int, k string")
     keys = rows.groupBy("k").agg(F.count("*").alias("n"))

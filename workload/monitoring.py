@@ -288,4 +288,4 @@ def _(spark, sf):
         view(spark, sf, "dirty_customer"), DATASET, as_of(spark, sf), stored_alerts(spark, sf), acks(spark, sf),
         scores(spark, sf).withColumn("dimension_scores", F.from_json("dimension_scores", "map<string,double>")),
         dim_scores(spark, sf), row_id="row_id",
-    )
+    ).document

@@ -27,11 +27,13 @@ def rows_missing(df: DataFrame, column: str | None = None) -> DataFrame:
 
 def rows_outlying(df: DataFrame, column: str | None) -> DataFrame:
     """Rows whose value lies outside the quartile fences; none unless ``column`` is numeric."""
-    df = nan_as_null(df)
+    cleaned = nan_as_null(df)
     if column not in Shape.of(df).numerics:
-        return df.where(F.lit(False))
-    quartiles = exact_quantiles(df, [column], [0.25, 0.75])[column]
-    return df.where(is_outlier(column, None if quartiles is None else (quartiles[0], quartiles[1])))
+        return cleaned.where(F.lit(False))
+    quartiles = exact_quantiles(cleaned, [column], [0.25, 0.75])[column]
+    outside = is_outlier(column, None if quartiles is None else (quartiles[0], quartiles[1]))
+    # on the raw column first, where the scan can use it; a NaN may pass that but not the second test
+    return nan_as_null(df.where(outside)).where(outside)
 
 
 def explained(df: DataFrame, kind: str, column: str | None, order_by: list[str], limit: int = SHOWN_ROWS):

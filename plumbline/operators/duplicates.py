@@ -55,7 +55,12 @@ def duplicate_sets(
 
 
 def in_duplicate_sets(
-    rows: DataFrame, keys: list[str], *extra: Column, nulls_equal: bool, max_rows: int = BROADCAST_ROWS
+    rows: DataFrame,
+    keys: list[str],
+    *extra: Column,
+    nulls_equal: bool,
+    max_rows: int = BROADCAST_ROWS,
+    sets: DataFrame | None = None,
 ) -> DataFrame:
     """The rows that belong to a duplicate set, with its ``__n`` and ``extra`` aggregates.
 
@@ -64,7 +69,8 @@ def in_duplicate_sets(
     none, are joined on the columns.
     """
     rows = rows if nulls_equal else rows.dropna(subset=keys)
-    sets = duplicate_sets(rows, keys, *extra, nulls_equal=True, max_rows=max_rows)
+    if sets is None:
+        sets = duplicate_sets(rows, keys, *extra, nulls_equal=True, max_rows=max_rows)
     if is_narrow(rows, keys):
         return join_counted_keys(rows, sets, keys, size="__n", max_rows=max_rows)
     sets = checkpointed(with_digest(sets, keys))
@@ -107,9 +113,11 @@ def one_of_each(df: DataFrame, keys: list[str], *pick: Column, max_rows: int = B
     return alone.unionByName(reduce(hashed.join(few, DIGEST, "left_semi")))
 
 
-def surplus_rows(df: DataFrame, keys: list[str], nulls_equal: bool) -> DataFrame:
-    """One row: ``rows`` and the ``extra`` rows beyond the first of each duplicate set."""
-    sets = duplicate_sets(df, keys, nulls_equal=nulls_equal)
+def surplus_rows(df: DataFrame, keys: list[str], nulls_equal: bool, sets: DataFrame | None = None) -> DataFrame:
+    """One row: ``rows`` and the ``extra`` rows beyond the first of each duplicate set, if they are not
+    given computed here."""
+    if sets is None:
+        sets = duplicate_sets(df, keys, nulls_equal=nulls_equal)
     extra = sets.agg(
         F.lit(0).cast("bigint").alias("rows"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("extra")
     )

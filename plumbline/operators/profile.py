@@ -9,6 +9,7 @@ from plumbline.functions.columns import Shape, nan_as_null, number, quoted, roun
 from plumbline.operators.check import table_of
 from plumbline.operators.duplicates import surplus_rows
 from plumbline.operators.quantiles import exact_quantiles
+from plumbline.operators.shared import Shared
 from plumbline.operators.value_counts import distinct_counts, top_values, value_counts
 
 
@@ -29,21 +30,26 @@ def null_profile(df: DataFrame, shape: Shape | None = None) -> DataFrame:
     return _per_column(df, measures, rows)
 
 
-def distinct_profile(df: DataFrame, shape: Shape | None = None, approximate: bool = False) -> DataFrame:
+def distinct_profile(
+    df: DataFrame, shape: Shape | None = None, approximate: bool = False, counts: DataFrame | None = None
+) -> DataFrame:
     """``(column, unique_count, unique_percentage)``."""
     df, shape = nan_as_null(df), shape or Shape.of(df)
-    return distinct_counts(df, shape.names, approximate).select(
+    return distinct_counts(df, shape.names, approximate, counts).select(
         "column",
         F.col("distinct").alias("unique_count"),
         F.expr(rounded(share("distinct", "present", 0))).alias("unique_percentage"),
     )
 
 
-def numeric_profile(df: DataFrame, shape: Shape | None = None) -> DataFrame:
+def numeric_profile(
+    df: DataFrame, shape: Shape | None = None, quartiles: dict[str, list[float] | None] | None = None
+) -> DataFrame:
     """Moments, range and quartiles of the numeric columns; null for a column without values."""
     df, shape = nan_as_null(df), shape or Shape.of(df)
     names = shape.numerics
-    quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75])
+    if quartiles is None:
+        quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75])
     measures, rows = {}, []
     for i, n in enumerate(names):
         for name, function in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")):
@@ -75,24 +81,25 @@ def string_profile(df: DataFrame, shape: Shape | None = None) -> DataFrame:
     return _per_column(df, measures, rows).where(F.col("min_length").isNotNull())
 
 
-def duplicate_profile(df: DataFrame, shape: Shape | None = None) -> DataFrame:
+def duplicate_profile(df: DataFrame, shape: Shape | None = None, sets: DataFrame | None = None) -> DataFrame:
     """One row: ``(total_records, duplicate_count, duplicate_percentage)``; rows with a null in any
     column count as no duplicate here, unlike in row uniqueness."""
     df, shape = nan_as_null(df), shape or Shape.of(df)
-    return surplus_rows(df, shape.names, nulls_equal=False).select(
+    return surplus_rows(df, shape.names, False, sets).select(
         F.col("rows").alias("total_records"),
         F.col("extra").alias("duplicate_count"),
         F.expr(rounded(share("extra", "rows", 0))).alias("duplicate_percentage"),
     )
 
 
-def profile(df: DataFrame, exclude: list[str] | None = None) -> DataFrame:
+def profile(df: DataFrame, exclude: list[str] | None = None, shared: Shared | None = None) -> DataFrame:
     """The whole profile, one row per column in table order. ``df`` is scanned per part with only the
     columns that part needs; the joins are between tables of one row per column."""
     df = nan_as_null(df)
     shape = Shape.of(df, exclude or [])
+    counts, quartiles = (shared.counts, shared.quartiles) if shared else (value_counts(df, shape.names), None)
     top = (
-        top_values(value_counts(df, shape.names))
+        top_values(counts)
         .groupBy("column")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("ranked"))
         .select(
@@ -103,8 +110,8 @@ def profile(df: DataFrame, exclude: list[str] | None = None) -> DataFrame:
     )
     return (
         null_profile(df, shape)
-        .join(distinct_profile(df, shape), "column", "left")
-        .join(numeric_profile(df, shape), "column", "left")
+        .join(distinct_profile(df, shape, counts=counts), "column", "left")
+        .join(numeric_profile(df, shape, quartiles), "column", "left")
         .join(string_profile(df, shape), "column", "left")
         .join(top, "column", "left")
         .orderBy("ordinal")

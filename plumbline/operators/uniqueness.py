@@ -14,20 +14,22 @@ DIMENSION = "uniqueness"
 ROWS, BY_COLUMN = "Row Uniqueness", "Column Uniqueness"
 
 
-def row_uniqueness(df: DataFrame, shape: Shape) -> DataFrame:
+def row_uniqueness(df: DataFrame, shape: Shape, sets: DataFrame | None = None) -> DataFrame:
     """Rows that repeat an earlier row on all columns, nulls being equal."""
     value = "if(rows > 0, bround((1 - extra / rows) * 100, 2), 100)"
     detail = {"duplicate_rows": "extra", "unique_rows": "rows - extra", "total_rows": "rows"}
     return table_of(
-        surplus_rows(df, shape.names, nulls_equal=True),
+        surplus_rows(df, shape.names, True, sets),
         [metric(DIMENSION, ROWS, value, "extra", "rows", detail=detail)],
     )
 
 
-def column_uniqueness(df: DataFrame, shape: Shape, approximate: bool = False) -> DataFrame:
+def column_uniqueness(
+    df: DataFrame, shape: Shape, approximate: bool = False, counts: DataFrame | None = None
+) -> DataFrame:
     """Distinct share of the present values per column; the metric is the mean of the rounded shares."""
     rate = F.expr(rounded(share("distinct", "present", 0)))
-    counted = distinct_counts(df, shape.names, approximate).withColumn("value", rate)
+    counted = distinct_counts(df, shape.names, approximate, counts).withColumn("value", rate)
     rows = F.collect_list(F.struct("column", "value", "distinct", "present"))  # one entry per column
     gathered = counted.agg(mean2(F.col("value")).alias("mean"), rows.alias("parts"))
     parts = F.transform(

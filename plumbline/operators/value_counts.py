@@ -57,7 +57,9 @@ def _names(fields: list[T.StructField], family: str) -> list[str]:
     return [f.name for f in fields if _comparable(f)[0] == family]
 
 
-def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
+def distinct_counts(
+    df: DataFrame, columns: list[str], approximate: bool = False, counts: DataFrame | None = None
+) -> DataFrame:
     """``(ordinal, column, distinct, present)`` per column, all-null columns included.
 
     ``approximate`` swaps the shuffle of distinct values for a sketch per column.
@@ -80,7 +82,7 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
             for i, c in enumerate(columns)
         ]
         return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    counted = value_counts(df, columns).groupBy("column").agg(
+    counted = (value_counts(df, columns) if counts is None else counts).groupBy("column").agg(
         F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("present")
     )
     listed = df.sparkSession.range(1).select(names.alias("c")).select("c.ordinal", "c.column")

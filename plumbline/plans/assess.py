@@ -14,6 +14,7 @@ from plumbline.operators import accuracy, completeness, consistency, uniqueness,
 from plumbline.operators.check import METRIC_SCHEMA, Check, run_checks
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.rules import RULE_SCHEMA, alerts_of, judge, verdicts
+from plumbline.operators.shared import Shared
 from plumbline.operators.scoring import dimension_scores, overall_score
 
 
@@ -38,14 +39,20 @@ def quartile_pairs(df: DataFrame, shape: Shape) -> dict[str, tuple[float, float]
     return {n: None if q is None else (q[0], q[1]) for n, q in found.items()}
 
 
-def measure(df: DataFrame, exclude: Sequence[str] = (), approximate: bool = False) -> DataFrame:
+def measure(
+    df: DataFrame, exclude: Sequence[str] = (), approximate: bool = False, shared: Shared | None = None
+) -> DataFrame:
     """Metric rows of all checks: quartile passes, one fused aggregation, one shuffle of row hashes and
     one of distinct values."""
     df = nan_as_null(df)
     shape = Shape.of(df, exclude)
-    fused = run_checks(df, single_pass_checks(shape, quartile_pairs(df, shape)))
-    rows = uniqueness.row_uniqueness(df, shape)
-    distinct = uniqueness.column_uniqueness(df, shape, approximate)
+    if shared:
+        pairs = {n: q and (q[0], q[-1]) for n, q in shared.quartiles.items()}
+    else:
+        pairs = quartile_pairs(df, shape)
+    fused = run_checks(df, single_pass_checks(shape, pairs))
+    rows = uniqueness.row_uniqueness(df, shape, shared and shared.sets)
+    distinct = uniqueness.column_uniqueness(df, shape, approximate, shared and shared.counts)
     return fused.unionByName(rows).unionByName(distinct)
 
 
@@ -70,11 +77,12 @@ def assess(
     rules: DataFrame | None = None,
     exclude: Sequence[str] = (),
     approximate: bool = False,
+    shared: Shared | None = None,
 ) -> Assessment:
     """Assess ``df``. The metric rows, a few per column, are computed here once; everything after works
     on them. Scores and alerts are not stored: see ``sources.writers``."""
     spark = df.sparkSession
-    rows = measure(df, exclude, approximate).collect()
+    rows = measure(df, exclude, approximate, shared).collect()
     metrics = spark.createDataFrame(rows, METRIC_SCHEMA)
     rules = rules if rules is not None else spark.createDataFrame([], RULE_SCHEMA)
     scores = dimension_scores(metrics)

@@ -9,10 +9,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import Shape, nan_as_null
+from plumbline.functions.columns import Shape
 from plumbline.operators.alerts import recommendations, with_state
 from plumbline.operators.exact import exact_groups, exact_members
 from plumbline.operators.history import dimension_trends, score_trend
+from plumbline.operators.shared import Shared
 from plumbline.operators.profile import duplicate_profile, profile
 from plumbline.plans.assess import assess
 
@@ -47,16 +48,18 @@ def quality_report(
     table beside it. Nothing is stored.
     """
     exclude = [*exclude, row_id]
-    assessed = assess(df, dataset_id, as_of, dataset_name, exclude=exclude)
-    shape = Shape.of(nan_as_null(df), exclude)
+    shape = Shape.of(df, exclude)
+    shared = Shared.of(df, shape, row_id)
+    complete = shared.complete_sets(shape)
+    assessed = assess(df, dataset_id, as_of, dataset_name, exclude=exclude, shared=shared)
     mine = with_state(alerts, acks).where(F.col("dataset_id") == dataset_id)
     advice = recommendations(assessed.dimension_scores.withColumn("dataset_id", F.lit(dataset_id)), mine)
-    groups = exact_groups(df, shape.names, row_id)
+    groups = exact_groups(df, shape.names, row_id, sets=complete)
     parts = [
         assessed.score.select(F.struct("*").alias("quality_score")),
         assessed.metrics.agg(_list(assessed.metrics).alias("metrics")),
-        _profile_rows(df, exclude),
-        duplicate_profile(df, shape).select(F.struct("duplicate_count", "duplicate_percentage").alias("duplicate_rows")),
+        _profile_rows(df, exclude, shared),
+        duplicate_profile(df, shape, complete).select(F.struct("duplicate_count", "duplicate_percentage").alias("duplicate_rows")),
         groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("records")).select(
             F.struct("groups", "records").alias("duplicate_totals")
         ),
@@ -82,7 +85,7 @@ def quality_report(
     )
     for part in parts:  # every part is a single row
         report = report.join(part.withColumn("__one", F.lit(1)), "__one", "left")
-    members = exact_members(df, shape.names, row_id).withColumnRenamed("row_id", row_id)
+    members = exact_members(df, shape.names, row_id, sets=complete).withColumnRenamed("row_id", row_id)
     return Report(report.drop("__one"), members.join(df, row_id))
 
 
@@ -90,7 +93,7 @@ def _list(df: DataFrame):
     return F.collect_list(F.struct(*df.columns))
 
 
-def _profile_rows(df: DataFrame, exclude: Sequence[str]) -> DataFrame:
-    rows = profile(df, list(exclude))
+def _profile_rows(df: DataFrame, exclude: Sequence[str], shared: Shared) -> DataFrame:
+    rows = profile(df, list(exclude), shared)
     in_order = F.struct("ordinal", *[c for c in rows.columns if c != "ordinal"])
     return rows.agg(F.sort_array(F.collect_list(in_order)).alias("profile"))

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.history import since
 from plumbline.operators.scoring import DIMENSIONS
-from plumbline.plans.scale import join_checked
 
 SEVERITIES = ("critical", "warning", "info")
 TREND_DAYS = 3
@@ -139,7 +138,7 @@ def recommendations(scores: DataFrame, alerts: DataFrame) -> DataFrame:
         "dimension string, below int, place int, recommendation string",
     )
     by_score = (
-        join_checked(scores, table, ["dimension"], max_rows=100)
+        scores.join(F.broadcast(table), "dimension")  # the fixed texts above
         .where(F.col("score") < F.col("below"))
         .select("dataset_id", "place", "recommendation")
     )

@@ -28,7 +28,6 @@ THRESHOLD = 85.0
 HEADS = 200
 #: Least rounds of seating before the rest is settled from its matches.
 ROUNDS = 2
-MAX_SETTLING = 1_000
 
 
 def block_sizes(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
@@ -150,9 +149,7 @@ def _settle(texts: DataFrame, columns: int, threshold: float, part: int) -> Data
     follow, and the matches of both are closed, until none is open."""
     matches = checkpointed(similar_pairs(texts, "block", columns, threshold, part).select("a", "b"))
     open_, followers = matches, None
-    for _ in range(MAX_SETTLING):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():  # every round closes at least one match
         ends = open_.select(F.col("a").alias("v"), F.lit(0).alias("late")).unionByName(
             open_.select(F.col("b").alias("v"), F.lit(1).alias("late"))
         )
@@ -164,8 +161,6 @@ def _settle(texts: DataFrame, columns: int, threshold: float, part: int) -> Data
         for end in ("a", "b"):
             later = later.join(hinted(new.select(F.col("v").alias(end))), end, "left_anti")
         open_ = checkpointed(later)
-    else:
-        raise RuntimeError("matches not settled")
     alone = texts.select("first_row")
     if followers is None:
         return alone.withColumn("leader", F.col("first_row"))

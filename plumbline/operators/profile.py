@@ -10,7 +10,7 @@ from plumbline.operators.check import table_of
 from plumbline.operators.duplicates import surplus_rows
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.shared import Shared
-from plumbline.operators.value_counts import distinct_counts, top_values, value_counts
+from plumbline.operators.value_counts import distinct_counts, distinct_of, top_values, value_counts
 
 
 def _per_column(df: DataFrame, measures: dict[str, str], rows: list[str]) -> DataFrame:
@@ -31,11 +31,11 @@ def null_profile(df: DataFrame, shape: Shape | None = None) -> DataFrame:
 
 
 def distinct_profile(
-    df: DataFrame, shape: Shape | None = None, approximate: bool = False, counts: DataFrame | None = None
+    df: DataFrame, shape: Shape | None = None, approximate: bool = False, counted: DataFrame | None = None
 ) -> DataFrame:
     """``(column, unique_count, unique_percentage)``."""
     df, shape = nan_as_null(df), shape or Shape.of(df)
-    return distinct_counts(df, shape.names, approximate, counts).select(
+    return distinct_counts(df, shape.names, approximate, counted).select(
         "column",
         F.col("distinct").alias("unique_count"),
         F.expr(rounded(share("distinct", "present", 0))).alias("unique_percentage"),
@@ -97,9 +97,13 @@ def profile(df: DataFrame, exclude: list[str] | None = None, shared: Shared | No
     columns that part needs; the joins are between tables of one row per column."""
     df = nan_as_null(df)
     shape = Shape.of(df, exclude or [])
-    counts, quartiles = (shared.counts, shared.quartiles) if shared else (value_counts(df, shape.names), None)
+    if shared:
+        counted, ranked, quartiles = shared.distinct, shared.top, shared.quartiles
+    else:
+        counts = value_counts(df, shape.names)
+        counted, ranked, quartiles = distinct_of(counts), top_values(counts), None
     top = (
-        top_values(counts)
+        ranked
         .groupBy("column")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("ranked"))
         .select(
@@ -110,7 +114,7 @@ def profile(df: DataFrame, exclude: list[str] | None = None, shared: Shared | No
     )
     return (
         null_profile(df, shape)
-        .join(distinct_profile(df, shape, counts=counts), "column", "left")
+        .join(distinct_profile(df, shape, counted=counted), "column", "left")
         .join(numeric_profile(df, shape, quartiles), "column", "left")
         .join(string_profile(df, shape), "column", "left")
         .join(top, "column", "left")

@@ -10,26 +10,31 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import Shape, nan_as_null, ref
 from plumbline.operators.duplicates import duplicate_sets
 from plumbline.operators.quantiles import exact_quantiles
-from plumbline.operators.value_counts import value_counts
+from plumbline.operators.value_counts import distinct_of, top_values, value_counts
 from plumbline.plans.scale import checkpointed
 
 
 @dataclass(frozen=True)
 class Shared:
-    """``quartiles`` by numeric column, ``counts`` of values, and ``sets`` of rows equal on all columns
-    (nulls equal) with their first row."""
+    """``quartiles`` by numeric column, ``distinct`` counts and ``top`` values by column, and ``sets`` of rows
+    equal on all columns (nulls equal) with their first row."""
 
     quartiles: dict[str, list[float] | None]
-    counts: DataFrame
+    distinct: DataFrame
+    top: DataFrame
     sets: DataFrame
 
     @classmethod
     def of(cls, df: DataFrame, shape: Shape, row_id: str) -> Shared:
         df = nan_as_null(df)
         first = F.min(ref(row_id)).alias("__first")
+        counts = value_counts(df, shape.names)
+        # both come from one shuffle, in one job that leaves a few rows per column
+        kept = checkpointed(distinct_of(counts).unionByName(top_values(counts), allowMissingColumns=True))
         return cls(
             exact_quantiles(df, shape.numerics, [0.25, 0.5, 0.75]),
-            checkpointed(value_counts(df, shape.names)),
+            kept.where("rank IS NULL").select("column", "distinct", "present"),
+            kept.where("rank IS NOT NULL").select("column", "value", "n", "rank"),
             checkpointed(duplicate_sets(df, shape.names, first, nulls_equal=True)),
         )
 

@@ -25,11 +25,11 @@ def row_uniqueness(df: DataFrame, shape: Shape, sets: DataFrame | None = None) -
 
 
 def column_uniqueness(
-    df: DataFrame, shape: Shape, approximate: bool = False, counts: DataFrame | None = None
+    df: DataFrame, shape: Shape, approximate: bool = False, counted: DataFrame | None = None
 ) -> DataFrame:
     """Distinct share of the present values per column; the metric is the mean of the rounded shares."""
     rate = F.expr(rounded(share("distinct", "present", 0)))
-    counted = distinct_counts(df, shape.names, approximate, counts).withColumn("value", rate)
+    counted = distinct_counts(df, shape.names, approximate, counted).withColumn("value", rate)
     rows = F.collect_list(F.struct("column", "value", "distinct", "present"))  # one entry per column
     gathered = counted.agg(mean2(F.col("value")).alias("mean"), rows.alias("parts"))
     parts = F.transform(

@@ -57,12 +57,18 @@ def _names(fields: list[T.StructField], family: str) -> list[str]:
     return [f.name for f in fields if _comparable(f)[0] == family]
 
 
+def distinct_of(counts: DataFrame) -> DataFrame:
+    """``(column, distinct, present)`` of the columns that have values."""
+    return counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("present"))
+
+
 def distinct_counts(
-    df: DataFrame, columns: list[str], approximate: bool = False, counts: DataFrame | None = None
+    df: DataFrame, columns: list[str], approximate: bool = False, counted: DataFrame | None = None
 ) -> DataFrame:
     """``(ordinal, column, distinct, present)`` per column, all-null columns included.
 
-    ``approximate`` swaps the shuffle of distinct values for a sketch per column.
+    ``approximate`` swaps the shuffle of distinct values for a sketch per column; ``counted`` is the result
+    of ``distinct_of`` where it is known already.
     """
     names = F.explode(
         F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column")) for i, c in enumerate(columns)])
@@ -82,9 +88,8 @@ def distinct_counts(
             for i, c in enumerate(columns)
         ]
         return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    counted = (value_counts(df, columns) if counts is None else counts).groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("present")
-    )
+    if counted is None:
+        counted = distinct_of(value_counts(df, columns))
     listed = df.sparkSession.range(1).select(names.alias("c")).select("c.ordinal", "c.column")
     return listed.join(counted, "column", "left").select(
         "ordinal",

@@ -52,7 +52,7 @@ def measure(
         pairs = quartile_pairs(df, shape)
     fused = run_checks(df, single_pass_checks(shape, pairs))
     rows = uniqueness.row_uniqueness(df, shape, shared and shared.sets)
-    distinct = uniqueness.column_uniqueness(df, shape, approximate, shared and shared.counts)
+    distinct = uniqueness.column_uniqueness(df, shape, approximate, shared and shared.distinct)
     return fused.unionByName(rows).unionByName(distinct)
 
 

@@ -25,15 +25,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(written: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether an already written table has at most ``rows`` rows and ``BROADCAST_BYTES`` bytes."""
-    fixed, sizes = 8 * len(written.columns), []
-    for field in written.schema.fields:
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``rows`` rows and ``BROADCAST_BYTES`` bytes."""
+    fixed, sizes = 8 * len(df.columns), []
+    for field in df.schema.fields:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             sizes.append(f"coalesce(octet_length({quoted(field.name)}), 0)")
         elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
             sizes.append(f"coalesce(length(to_json(struct({quoted(field.name)}))), 0)")
-    count, size = written.agg(F.count(F.lit(1)), F.expr(f"sum({' + '.join([str(fixed), *sizes])})")).first()
+    count, size = df.agg(F.count(F.lit(1)), F.expr(f"sum({' + '.join([str(fixed), *sizes])})")).first()
     return count <= rows and (size or 0) <= BROADCAST_BYTES
 
 
@@ -43,17 +43,17 @@ def bounded(df: DataFrame, rows: int) -> DataFrame | None:
     return head if is_small(head, rows) else None
 
 
-def hinted(written: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """An already written table, marked for broadcast if it is small."""
-    return F.broadcast(written) if is_small(written, max_rows) else written
+def hinted(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table that is written already or cheap to read, marked for broadcast if it is small."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def join_checked(
     big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Join to a side that is usually small: broadcast if counted small, else a shuffle join."""
-    counted = bounded(small, max_rows)
-    return big.join(small if counted is None else F.broadcast(counted), on, how)
+    """Join to a side that is cheap to read and usually small, such as a table of rules: broadcast if it is
+    found small, else a shuffle join."""
+    return big.join(hinted(small, max_rows), on, how)
 
 
 def join_counted_keys(

@@ -70,6 +70,12 @@ def _(spark, sf):
     return sample_page(table(spark, sf, "orders"), ["o_orderkey"], limit=10, offset=20)
 
 
+@query("dataset_head", f"SELECT {', '.join(LINEITEM)} FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 5")
+def _(spark, sf):
+    """The first rows that go with a dataset's info."""
+    return sample_page(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], limit=5)
+
+
 # ---- rows behind a metric
 
 _ALL = ", ".join(DIRTY)

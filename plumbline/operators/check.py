@@ -66,22 +66,31 @@ def table_of(stats: DataFrame, rows: Sequence[str], keys: Sequence[str] = ()) ->
     return stats.select(*keys, structs).where(F.col("__row").isNotNull()).select(*keys, "__row.*")
 
 
-def run_checks(df: DataFrame, checks: Sequence[Check], keys: Sequence[str] = ()) -> DataFrame:
-    """Metric rows of all ``checks`` from one aggregation, per group of ``keys`` if given. A table so wide
-    that its measures would not fit generated code is aggregated in batches, each reading its own columns."""
-    measures = {name: sql for check in checks for name, sql in check.measures.items()}
-    held = [f"__group_{i}" for i in range(len(keys))]  # so that a key may have a measure's name
-    groups = [ref(k).alias(h) for k, h in zip(keys, held)]
+def aggregated(df: DataFrame, measures: dict[str, str], keys: Sequence[str] = ()) -> DataFrame:
+    """One row of all measures, per group of ``keys`` if given. So many that they would not fit generated
+    code are aggregated in batches, each reading its own columns."""
+    groups = [ref(k) for k in keys]
     parts = [
         df.groupBy(*groups).agg(*[F.expr(sql).alias(name) for name, sql in batch])
         for batch in batched(measures.items(), MAX_MEASURES)
     ]
-    if not keys and len(parts) > 1:  # single rows, joined on a constant
+    if len(parts) == 1:
+        return parts[0]
+    held = list(keys)
+    if not held:  # single rows, joined on a constant
         held, parts = ["__one"], [part.withColumn("__one", F.lit(1)) for part in parts]
     stats = reduce(lambda a, b: a.join(b, _same(held, a, b)).drop(*[b[h] for h in held]), parts)
-    rows = table_of(stats, [row for check in checks for row in check.metrics], held if keys else ())
-    return rows.withColumnsRenamed(dict(zip(held, keys)))
+    return stats if keys else stats.drop("__one")
 
 
 def _same(held: Sequence[str], a: DataFrame, b: DataFrame) -> Column:
     return reduce(lambda x, y: x & y, [a[h].eqNullSafe(b[h]) for h in held])
+
+
+def run_checks(df: DataFrame, checks: Sequence[Check], keys: Sequence[str] = ()) -> DataFrame:
+    """Metric rows of all ``checks`` from one aggregation, per group of ``keys`` if given."""
+    measures = {name: sql for check in checks for name, sql in check.measures.items()}
+    held = [f"__group_{i}" for i in range(len(keys))]  # so that a key may have a measure's name
+    grouped = df.withColumns({h: ref(k) for h, k in zip(held, keys)}) if keys else df
+    rows = table_of(aggregated(grouped, measures, held), [row for check in checks for row in check.metrics], held)
+    return rows.withColumnsRenamed(dict(zip(held, keys)))

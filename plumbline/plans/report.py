@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -23,10 +23,15 @@ TREND_WINDOW = 7
 
 @dataclass(frozen=True)
 class Report:
-    """``document``: one nested row. ``duplicates``: all duplicate groups with their rows, however many."""
+    """``document``: one nested row. ``duplicates``: all duplicate groups with their rows, however many,
+    looked up when asked for."""
 
     document: DataFrame
-    duplicates: DataFrame
+    find_duplicates: Callable[[], DataFrame]
+
+    @property
+    def duplicates(self) -> DataFrame:
+        return self.find_duplicates()
 
 
 def quality_report(
@@ -85,8 +90,12 @@ def quality_report(
     )
     for part in parts:  # every part is a single row
         report = report.join(part.withColumn("__one", F.lit(1)), "__one", "left")
-    members = exact_members(df, shape.names, row_id, sets=complete).withColumnRenamed("row_id", row_id)
-    return Report(report.drop("__one"), members.join(df, row_id))
+
+    def find_duplicates() -> DataFrame:
+        members = exact_members(df, shape.names, row_id, sets=complete)
+        return members.withColumnRenamed("row_id", row_id).join(df, row_id)
+
+    return Report(report.drop("__one"), find_duplicates)
 
 
 def _list(df: DataFrame):

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from itertools import batched
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import ref, string
@@ -69,22 +69,19 @@ def table_of(stats: DataFrame, rows: Sequence[str], keys: Sequence[str] = ()) ->
 def aggregated(df: DataFrame, measures: dict[str, str], keys: Sequence[str] = ()) -> DataFrame:
     """One row of all measures, per group of ``keys`` if given. So many that they would not fit generated
     code are aggregated in batches, each reading its own columns."""
-    groups = [ref(k) for k in keys]
-    parts = [
-        df.groupBy(*groups).agg(*[F.expr(sql).alias(name) for name, sql in batch])
-        for batch in batched(measures.items(), MAX_MEASURES)
-    ]
-    if len(parts) == 1:
-        return parts[0]
-    held = list(keys)
-    if not held:  # single rows, joined on a constant
-        held, parts = ["__one"], [part.withColumn("__one", F.lit(1)) for part in parts]
-    stats = reduce(lambda a, b: a.join(b, _same(held, a, b)).drop(*[b[h] for h in held]), parts)
-    return stats if keys else stats.drop("__one")
-
-
-def _same(held: Sequence[str], a: DataFrame, b: DataFrame) -> Column:
-    return reduce(lambda x, y: x & y, [a[h].eqNullSafe(b[h]) for h in held])
+    stats = None
+    for number, batch in enumerate(batched(measures.items(), MAX_MEASURES)):
+        held = [f"__{number}_{i}" for i in range(len(keys) or 1)]
+        groups = [ref(k).alias(h) for k, h in zip(keys, held)]
+        part = df.groupBy(*groups).agg(*[F.expr(sql).alias(name) for name, sql in batch])
+        if not keys:  # a single row, joined on a constant
+            part = part.withColumn(held[0], F.lit(1))
+        if stats is None:
+            stats = part
+            continue
+        same = [F.col(f"__0_{i}").eqNullSafe(F.col(h)) for i, h in enumerate(held)]
+        stats = stats.join(part, reduce(lambda a, b: a & b, same)).drop(*held)
+    return stats.withColumnsRenamed({f"__0_{i}": k for i, k in enumerate(keys)}).drop("__0_0")
 
 
 def run_checks(df: DataFrame, checks: Sequence[Check], keys: Sequence[str] = ()) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import nan_as_null
 from plumbline.functions.similarity import text_similarity
 from plumbline.functions.text import phonetic_code
 from plumbline.operators import merge

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import Shape, nan_as_null
 from plumbline.operators import profile as p
 from plumbline.operators.value_counts import modes, top_values, value_counts
 from workload.checks import LINEITEM, NUMERIC_LINE, dirty

@@ -79,7 +79,8 @@ def in_duplicate_sets(
     counted = repeated_digests(rows, keys).join(per_hash, DIGEST).withColumn("clean", F.expr("sets = 1 AND __n = n"))
     counted = checkpointed(counted)
     hashed = with_digest(rows, keys)
-    found = join_counted_keys(hashed, counted.where("clean").select(DIGEST, *carried), [DIGEST], "__n", max_rows)
+    clean = counted.where("clean").select(DIGEST, *carried)
+    found = join_counted_keys(hashed, clean, [DIGEST], "__n", max_rows, written=True)
     found = found.drop(DIGEST)
     collided = counted.where("NOT clean").select(DIGEST)
     if collided.isEmpty():
@@ -88,7 +89,7 @@ def in_duplicate_sets(
     apart = join_counted_keys(
         hashed.join(collided, DIGEST, "left_semi").drop(DIGEST),
         sets.join(collided, DIGEST, "left_semi").drop(DIGEST),
-        keys, "__n", max_rows,
+        keys, "__n", max_rows, written=True,
     )
     return found.unionByName(apart)
 

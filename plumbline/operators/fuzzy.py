@@ -192,7 +192,7 @@ def fuzzy_members(df: DataFrame, columns: list[str], row_id: str, threshold: flo
     followers = texts.where("first_row <> leader")
     followed = followers.select(F.col("leader").alias("first_row"), F.lit(True).alias("followed")).distinct()
     chiefs = texts.where("first_row = leader").join(followed, "first_row", "left").where("followed or n > 1")
-    grouped = chiefs.drop("followed").unionByName(followers)
+    grouped = checkpointed(chiefs.drop("followed").unionByName(followers))
     return expanded(df, columns, row_id, grouped, F.col("leader").cast("string").alias("group_id")).select(
         "group_id", F.lit("fuzzy").alias("method"), "row_id"
     )

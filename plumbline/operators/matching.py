@@ -80,7 +80,7 @@ def placed(texts: DataFrame, group: str, part: int = PART) -> tuple[DataFrame, i
         F.coalesce(F.sum(F.when(parts > 1, parts.cast("bigint") * (parts + 1) / 2)), F.lit(0)).cast("bigint"),
     ).first()
     bins = max(1, -(-small // part))
-    rows = join_counted_keys(texts, sizes, [group], size="m").withColumn("parts", parts)
+    rows = join_counted_keys(texts, sizes, [group], size="m", written=True).withColumn("parts", parts)
     whole = F.col("parts") == 1
     rows = rows.select(
         "*",
@@ -183,7 +183,7 @@ def group_similarity(texts: DataFrame, group: str, columns: int, part: int = PAR
 
 
 def expanded(df: DataFrame, columns: list[str], row_id: str, texts: DataFrame, *carried: Column | str) -> DataFrame:
-    """Every row with what its distinct text carries: ``(row_id, *carried)``."""
+    """Every row with what its distinct text carries: ``(row_id, *carried)``; ``texts`` are written already."""
     names = text_columns(len(columns))
     keys = texts.select(*names, "n", *carried)
-    return join_counted_keys(rows_as_text(df, columns, row_id), keys, names).drop(*names, "n")
+    return join_counted_keys(rows_as_text(df, columns, row_id), keys, names, written=True).drop(*names, "n")

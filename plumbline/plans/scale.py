@@ -57,25 +57,29 @@ def join_checked(
 
 
 def join_counted_keys(
-    rows: DataFrame, keys: DataFrame, on: list[str], size: str = "n", max_rows: int = BROADCAST_ROWS
+    rows: DataFrame,
+    keys: DataFrame,
+    on: list[str],
+    size: str = "n",
+    max_rows: int = BROADCAST_ROWS,
+    written: bool = False,
 ) -> DataFrame:
     """Inner join of ``rows`` to a table of distinct ``keys`` whose column ``size`` counts their rows.
 
     Few keys: one broadcast, ``rows`` do not move. Many keys: the hot ones (at most ``HOT_SHARE`` by
     construction) are broadcast, the rest are shuffled, where no key holds a large share any more. Should
     even the hot keys be too wide to broadcast, all are shuffled and skewed partitions split at run time.
-    Keys match null to null.
+    Keys match null to null. ``keys`` are written out first unless they are ``written`` already.
     """
-    counted = bounded(keys, max_rows)
-    if counted is not None:
-        return _null_safe_join(rows, F.broadcast(counted), on)
-    keys = checkpointed(keys)
+    keys = keys if written else checkpointed(keys)
+    if is_small(keys, max_rows):
+        return _null_safe_join(rows, F.broadcast(keys), on)
     total = keys.agg(F.sum(size)).first()[0]
     hot = F.col(size) > F.lit((total or 0) / HOT_SHARE)
-    hottest = bounded(keys.where(hot), HOT_SHARE)
-    if hottest is None:
+    hottest, others = keys.where(hot), keys.where(~hot)
+    if not is_small(hottest, HOT_SHARE):
         return _null_safe_join(rows, keys, on)
-    return _null_safe_join(rows, F.broadcast(hottest), on).unionByName(_null_safe_join(rows, keys.where(~hot), on))
+    return _null_safe_join(rows, F.broadcast(hottest), on).unionByName(_null_safe_join(rows, others, on))
 
 
 def _null_safe_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

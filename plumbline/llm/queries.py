@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import langid, packing, simhash
+from plumbline.llm import langid, mixing, packing, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,21 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+MIX = ["source", "lang", "topic"]
+
+
+def with_topic(docs: DataFrame) -> DataFrame:
+    counted = docs.withColumn("tokens", mixing.word_tokens(docs["text"]))
+    return counted.withColumn("topic", mixing.form_topic(F.col("tokens")))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability and draw in a mix of half the tokens, evened out over source, language and
+    topic."""
+    docs = with_topic(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
+    return mixing.mixed(docs, MIX).select("doc_id", "source", "lang", "topic", "tokens", "probability", "selected")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those at most two bits apart."""
     found = simhash.near_copies(table(spark, sf_dir, "documents"))
@@ -43,9 +58,29 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of secrets and those that ownership across the corpus adds, for every document. A document is
+    a repository, its source the owner."""
+    found = secrets.spans_of(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda x: x["kind"] != secrets.LOOSE.name)
+    of = {k.name: _count(spans, k.name) for k in secrets.BASE}
+    live = F.size(F.filter(spans, lambda x: x["live"])).cast("long")
+    return found.select(
+        "doc_id", *[n.alias(f"n_{k}") for k, n in of.items()],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"), live.alias("n_live"),
+    )
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op5_source_mixing": op5_source_mixing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {}

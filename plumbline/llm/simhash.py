@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import components, look_up
 from plumbline.llm.hashing import xxh64_slices
-from plumbline.plans.scale import checkpointed
+from plumbline.plans.scale import checkpointed, is_small
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -231,3 +231,25 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     names = checkpointed(grouped.join(named, "root").select("fp", "component_id"))
     return look_up(rows, names, ["fp"]).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The documents without the near copies: of each component the document of the smallest id stays. Rows that
+    repeat an id count once (the smallest row); rows without an id stay, as nothing names them.
+
+    The texts move only where the ids to drop are too many to broadcast.
+    """
+    found = checkpointed(near_copies(docs, shingle, max_bits).where("doc_id is not null"))
+    by_id = checkpointed(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")))
+    dropped = by_id.where("c <> doc_id").select(F.col("doc_id").alias("__id"))
+    repeated = checkpointed(by_id.where("c = doc_id and n > 1").select(F.col("doc_id").alias("__id")))
+    same = docs["doc_id"].cast("long") == F.col("__id")
+    kept = docs.join(_hint(checkpointed(dropped)), same, "left_anti")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("__row")
+    again = docs.join(_hint(repeated), same, "left_semi").select(docs["doc_id"], row)
+    single = again.groupBy("doc_id").agg(F.min("__row").alias("__row")).select("__row.*")
+    return kept.join(_hint(repeated), same, "left_anti").union(single)
+
+
+def _hint(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if is_small(ids, 2_000_000) else ids

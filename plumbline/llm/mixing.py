@@ -41,29 +41,30 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], budget: float, cycles
     """Cells with the tokens ``w`` to take from each: raked in turn to each dimension's target shares of the
     ``budget`` (tokens), never more than a cell has. Values without a target get none; targets without
     documents are lost, the others keep their proportions. Every step is a grouped sum, combined before its
-    shuffle, and a join to the table of a dimension's values; each cycle is checkpointed.
+    shuffle, and a join to the table of a dimension's values; each is checkpointed, so plans stay short.
 
     Stops when no value is off its target by more than ``tolerance`` of the budget, or when bounds or empty
     cells keep a cycle from changing anything by more than that.
     """
-    names = list(targets)
-    start = cells.where("tokens > 0").withColumn("w", F.col("tokens").cast("double"))
-    table = checkpointed(start)
+    table = cells.where("tokens > 0").withColumn("w", F.col("tokens").cast("double"))
+    for name, target in targets.items():
+        want = target.select(F.col("value").alias("__t"), F.col("share").alias(f"__want_{name}"))
+        table = table.join(want, table[name].eqNullSafe(F.col("__t")), "left").drop("__t")
+    table = checkpointed(table)
     for _ in range(cycles):
-        before = table.withColumn("__old", F.col("w"))
-        for name in names:
-            sums = before.groupBy(F.col(name).alias("__v")).agg(F.sum("w").alias("__sum"))
-            want = targets[name].select(F.col("value").alias("__t"), "share")
-            factor = sums.join(want, F.col("__v").eqNullSafe(F.col("__t")), "left")
-            factor = factor.select("__v", F.when(F.col("__sum") > 0, F.coalesce("share", F.lit(0.0)) * budget / F.col("__sum")).otherwise(0.0).alias("__f"))
-            before = before.join(factor, before[name].eqNullSafe(F.col("__v"))).withColumn("w", F.col("w") * F.col("__f")).drop("__v", "__f")
-        capped = before.withColumn("w", F.least("w", F.col("tokens").cast("double")))
-        table = checkpointed(capped)
-        moved = table.agg(F.max(F.abs(F.col("w") - F.col("__old")))).first()[0] or 0.0
-        table = table.drop("__old")
+        old = table.withColumn("__old", F.col("w"))
+        for name in targets:
+            sums = old.groupBy(F.col(name).alias("__v")).agg(F.sum("w").alias("__sum"))
+            scale = F.coalesce(F.col(f"__want_{name}"), F.lit(0.0)) * budget / F.col("__sum")
+            joined = old.join(sums, old[name].eqNullSafe(F.col("__v")))
+            joined = joined.withColumn("w", F.when(F.col("__sum") > 0, F.col("w") * scale).otherwise(0.0))
+            old = checkpointed(joined.drop("__v", "__sum"))
+        capped = old.withColumn("w", F.least("w", F.col("tokens").cast("double")))
+        moved = capped.agg(F.max(F.abs(F.col("w") - F.col("__old")))).first()[0] or 0.0
+        table = capped.drop("__old")
         if moved <= tolerance * budget:
             break
-    return table
+    return table.drop(*[f"__want_{name}" for name in targets])
 
 
 def mixed(

@@ -14,8 +14,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Every round points each node at the smallest neighbour of its neighbourhood and then each pointer's
     target at the smallest target (large star, small star), so rounds grow with the logarithm of the longest
-    path. Minima are combined before the shuffle; rounds cut their lineage with a reliable checkpoint.
-    Self links, repeated links and either direction are allowed; links with a null end are left out.
+    path. Minima are combined before the shuffle; rounds cut their lineage with a reliable checkpoint
+    and are merged: many broadcasts would fill the driver. Self links, repeated links and either direction are allowed; links with a null end are left out.
     """
     big, small = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     links = edges.where(f"{a} is not null and {b} is not null and {a} <> {b}").select(big, small).distinct()
@@ -23,10 +23,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(lowest.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         target = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(target, "u")
+        joined = large.join(target.hint("merge"), "u")
         moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = checkpointed(moved.union(target.select("u", F.col("m").alias("v"))).distinct())
         state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -42,6 +42,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], budget: float, cycles
     ``budget`` (tokens), never more than a cell has. Values without a target get none; targets without
     documents are lost, the others keep their proportions. Every step is a grouped sum, combined before its
     shuffle, and a join to the table of a dimension's values; each is checkpointed, so plans stay short.
+    The joins are merged, as each broadcast would hold pages of the driver's memory until it is collected.
 
     Stops when no value is off its target by more than ``tolerance`` of the budget, or when bounds or empty
     cells keep a cycle from changing anything by more than that.
@@ -56,7 +57,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], budget: float, cycles
         for name in targets:
             sums = old.groupBy(F.col(name).alias("__v")).agg(F.sum("w").alias("__sum"))
             scale = F.coalesce(F.col(f"__want_{name}"), F.lit(0.0)) * budget / F.col("__sum")
-            joined = old.join(sums, old[name].eqNullSafe(F.col("__v")))
+            joined = old.join(sums.hint("merge"), old[name].eqNullSafe(F.col("__v")))
             joined = joined.withColumn("w", F.when(F.col("__sum") > 0, F.col("w") * scale).otherwise(0.0))
             old = checkpointed(joined.drop("__v", "__sum"))
         capped = old.withColumn("w", F.least("w", F.col("tokens").cast("double")))

@@ -14,8 +14,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Every round points each node at the smallest neighbour of its neighbourhood and then each pointer's
     target at the smallest target (large star, small star), so rounds grow with the logarithm of the longest
-    path. Minima are combined before the shuffle; rounds cut their lineage with a reliable checkpoint
-    and are merged: many broadcasts would fill the driver. Self links, repeated links and either direction are allowed; links with a null end are left out.
+    path. Minima are combined before the shuffle; rounds cut their lineage with a reliable checkpoint and merge
+    their joins, as many broadcasts would fill the driver. Self links, repeated links and either direction are
+    allowed; links with a null end are left out.
     """
     big, small = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     links = edges.where(f"{a} is not null and {b} is not null and {a} <> {b}").select(big, small).distinct()

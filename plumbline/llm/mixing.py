@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from plumbline.plans.scale import checkpointed, is_small
 
 #: Cycles at most, each raking every dimension once, and the deviation from a target share that ends them.
 CYCLES = 25
 TOLERANCE = 1e-4
+#: Cells that one task rakes at most, and the cycles of such a job.
+FEW_CELLS = 100_000
+CYCLES_AT_ONCE = 4
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -37,37 +41,55 @@ def cells_of(docs: DataFrame, dimensions: list[str]) -> DataFrame:
     return docs.groupBy(*dimensions).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame], budget: float, cycles: int = CYCLES, tolerance: float = TOLERANCE) -> DataFrame:
+def raked(
+    cells: DataFrame, targets: dict[str, DataFrame], budget: float, cycles: int = CYCLES, tolerance: float = TOLERANCE, few: int = FEW_CELLS
+) -> DataFrame:
     """Cells with the tokens ``w`` to take from each: raked in turn to each dimension's target shares of the
     ``budget`` (tokens), never more than a cell has. Values without a target get none; targets without
-    documents are lost, the others keep their proportions. Every step is a grouped sum, combined before its
-    shuffle, and a join to the table of a dimension's values; each is checkpointed, so plans stay short.
-    The joins are merged, as each broadcast would hold pages of the driver's memory until it is collected.
+    documents are lost, the others keep their proportions.
 
-    Stops when no value is off its target by more than ``tolerance`` of the budget, or when bounds or empty
-    cells keep a cycle from changing anything by more than that.
+    Up to ``few`` cells, which are counted first, are raked in one task, several cycles to a job. More are
+    raked by grouped sums, combined before their shuffle, and joins to a dimension's values, which are merged
+    as many broadcasts would fill the driver. Either way plans are cut by a checkpoint. Stops when a cycle
+    changes no cell by more than ``tolerance`` of the budget.
     """
     table = cells.where("tokens > 0").withColumn("w", F.col("tokens").cast("double"))
     for name, target in targets.items():
         want = target.select(F.col("value").alias("__t"), F.col("share").alias(f"__want_{name}"))
         table = table.join(want, table[name].eqNullSafe(F.col("__t")), "left").drop("__t")
     table = checkpointed(table)
-    for _ in range(cycles):
-        old = table.withColumn("__old", F.col("w"))
-        for name in targets:
-            sums = old.groupBy(F.col(name).alias("__v")).agg(F.sum("w").alias("__sum"))
-            scale = F.coalesce(F.col(f"__want_{name}"), F.lit(0.0)) * budget / F.col("__sum")
-            joined = old.join(sums.hint("merge"), old[name].eqNullSafe(F.col("__v")))
-            joined = joined.withColumn("w", F.when(F.col("__sum") > 0, F.col("w") * scale).otherwise(0.0))
-            old = checkpointed(joined.drop("__v", "__sum"))
-        capped = old.withColumn("w", F.least("w", F.col("tokens").cast("double")))
-        moved = capped.agg(F.max(F.abs(F.col("w") - F.col("__old")))).first()[0] or 0.0
-        table = capped.drop("__old")
+    together = table.count() <= few
+    done = 0
+    while done < cycles:
+        for _ in range(CYCLES_AT_ONCE if together else 1):
+            table = (table.coalesce(1) if together else table).withColumn("__old", F.col("w"))
+            for name in targets:
+                table = _rake_few(table, name, budget) if together else checkpointed(_rake(table, name, budget))
+            table = table.withColumn("w", F.least("w", F.col("tokens").cast("double")))
+            done += 1
+        table = checkpointed(table)
+        moved = table.agg(F.max(F.abs(F.col("w") - F.col("__old")))).first()[0] or 0.0
+        table = table.drop("__old")
         if moved <= tolerance * budget:
             break
     return table.drop(*[f"__want_{name}" for name in targets])
 
 
+def _scaled(name: str, budget: float, total: Column) -> Column:
+    want = F.coalesce(F.col(f"__want_{name}"), F.lit(0.0)) * budget
+    return F.when(total > 0, F.col("w") * want / total).otherwise(0.0)
+
+
+def _rake_few(table: DataFrame, name: str, budget: float) -> DataFrame:
+    return table.withColumn("w", _scaled(name, budget, F.sum("w").over(W.partitionBy(name))))
+
+
+def _rake(table: DataFrame, name: str, budget: float) -> DataFrame:
+    sums = table.groupBy(F.col(name).alias("__v")).agg(F.sum("w").alias("__sum"))
+    joined = table.join(sums.hint("merge"), table[name].eqNullSafe(F.col("__v")))
+    return joined.withColumn("w", _scaled(name, budget, F.col("__sum"))).drop("__v", "__sum")
+
+
 def mixed(
     docs: DataFrame, dimensions: list[str], targets: dict[str, DataFrame] | None = None, share: float = 0.5, power: float = 0.5, identity: list[str] | None = None
 ) -> DataFrame:
@@ -80,7 +102,7 @@ def mixed(
     """
     cells = checkpointed(cells_of(docs, dimensions))
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    wanted = {d: checkpointed(tempered(cells, d, power)) for d in dimensions} | (targets or {})
+    wanted = {d: tempered(cells, d, power) for d in dimensions} | (targets or {})
     table = raked(cells, wanted, share * total)
     rates = checkpointed(table.select(*[F.col(d).alias(f"__{i}") for i, d in enumerate(dimensions)], (F.col("w") / F.col("tokens")).alias("__p")))
     same = [docs[d].eqNullSafe(rates[f"__{i}"]) for i, d in enumerate(dimensions)]

@@ -11,6 +11,9 @@ from plumbline.plans.scale import checkpointed, is_small
 #: Cycles at most, each raking every dimension once, and the deviation from a target share that ends them.
 CYCLES = 25
 TOLERANCE = 1e-4
+#: How far tempered targets even out: shares go with this power of the tokens. With a lower power half of a
+#: corpus cannot meet the targets, as its rare values have too few tokens.
+POWER = 0.85
 #: Cells that one task rakes at most, and the cycles of such a job.
 FEW_CELLS = 100_000
 CYCLES_AT_ONCE = 4
@@ -28,7 +31,7 @@ def unit_hash(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), *columns), 11) / F.lit(float(1 << 53))
 
 
-def tempered(cells: DataFrame, dimension: str, power: float = 0.5) -> DataFrame:
+def tempered(cells: DataFrame, dimension: str, power: float = POWER) -> DataFrame:
     """(value, share): target shares in proportion to a power of the tokens that each value has."""
     sums = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
     weighted = sums.select("value", F.pow("t", F.lit(power)).alias("w"))
@@ -91,7 +94,7 @@ def _rake(table: DataFrame, name: str, budget: float) -> DataFrame:
 
 
 def mixed(
-    docs: DataFrame, dimensions: list[str], targets: dict[str, DataFrame] | None = None, share: float = 0.5, power: float = 0.5, identity: list[str] | None = None
+    docs: DataFrame, dimensions: list[str], targets: dict[str, DataFrame] | None = None, share: float = 0.5, power: float = POWER, identity: list[str] | None = None
 ) -> DataFrame:
     """Documents (with ``tokens`` and the ``dimensions``) and two more columns: ``probability``, by which a
     sample has the raked weights on average, and ``selected``, drawn by a hash of ``identity`` (doc_id).

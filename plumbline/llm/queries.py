@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import langid, mixing, packing, secrets, sharding, simhash, topk
+from plumbline.llm import coverdedup, langid, mixing, packing, secrets, sharding, simhash, topk, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op4_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.95."""
+    return coverdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 MIX = ["source", "lang", "topic"]
 
 
@@ -46,6 +51,19 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, MIX).select("doc_id", "source", "lang", "topic", "tokens", "probability", "selected")
 
 
+# fixed values: the rules, and the method's own list of blocked hosts
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+URL_BLOCKED = ("cheap-pills.example.com", "casino-win.example.com", "free-bets.example.com")
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the URL of every page: the longest rule's, else the block list's."""
+    entries = [(key, verdict, True) for key, verdict in URL_RULES.items()] + [(host, "block", False) for host in URL_BLOCKED]
+    known = spark.createDataFrame(entries, "key string, verdict string, rule boolean")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judged(pages, known).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those at most two bits apart."""
     found = simhash.near_copies(table(spark, sf_dir, "documents"))
@@ -92,13 +110,36 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_exact_topk": op2_exact_topk,
+    "op4_cover_tree_dedup": op4_cover_tree_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op6_url_rules": op6_url_rules,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_best_fit_shards": op9_best_fit_shards,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {
+    "op6_url_rules": f"""
+        WITH p AS (
+            SELECT page_id,
+                   translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages
+        ), rules(host, path, verdict) AS (VALUES
+            {", ".join(f"('{k.partition('/')[0]}', '/{k.partition('/')[2]}', '{v}')" for k, v in URL_RULES.items())}
+        ), fits AS (
+            SELECT p.page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule,
+                   max_by(r.verdict, length(r.host || r.path)) AS verdict
+            FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+            GROUP BY p.page_id
+        ), blocked(host) AS (VALUES {", ".join(f"('{h}')" for h in URL_BLOCKED)})
+        SELECT p.page_id, p.host, p.path, f.rule,
+               coalesce(f.verdict, CASE WHEN EXISTS (
+                   SELECT 1 FROM blocked b WHERE p.host = b.host OR ends_with(p.host, '.' || b.host)
+               ) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p LEFT JOIN fits f USING (page_id)
+    """,
     "op2_exact_topk": """
         WITH q AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings

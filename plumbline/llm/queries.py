@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import coverdedup, langid, mixing, packing, secrets, sharding, simhash, topk, urlfilter
+from plumbline.llm import coverdedup, extraction, langid, mixing, packing, secrets, sharding, simhash, topk, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op3_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.95."""
     return coverdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -110,6 +116,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_exact_topk": op2_exact_topk,
+    "op3_wrapper_extraction": op3_wrapper_extraction,
     "op4_cover_tree_dedup": op4_cover_tree_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_url_rules": op6_url_rules,

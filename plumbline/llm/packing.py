@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -10,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -39,36 +42,77 @@ class ChunkTokenizer:
     def __init__(self, path: str, kept: int = CHUNKS_KEPT):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.known, self.older = Tokenizer.from_file(path), kept, {}, {}
+        self.tokenizer, self.kept, self.known, self.older, self.tails = Tokenizer.from_file(path), kept, {}, {}, {}
         self.tokenizer.encode_special_tokens = True
 
     def ids(self, text: str) -> bytes:
-        chunks, out = text.encode("utf-8", "replace").split(), []
-        for first in range(0, len(chunks), CHUNKS_AT_ONCE):
-            part = chunks[first : first + CHUNKS_AT_ONCE]
-            self.learn(part)
-            out.append(b"".join(map(self.known.__getitem__, part)))
-        return b"".join(out)
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts. A long one is worked off in parts."""
+        split = [t.encode("utf-8", "replace").split() for t in texts]
+        if sum(map(len, split)) <= CHUNKS_AT_ONCE:
+            self.learn([c for chunks in split for c in chunks])
+            return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        out = []
+        for chunks in split:
+            parts = []
+            for first in range(0, len(chunks), CHUNKS_AT_ONCE):
+                part = chunks[first : first + CHUNKS_AT_ONCE]
+                self.learn(part)
+                parts.append(b"".join(map(self.known.__getitem__, part)))
+            out.append(b"".join(parts))
+        return out
 
     def learn(self, chunks: list[bytes]) -> None:
         """Makes sure that the ids of all ``chunks`` are known."""
-        new = set(chunks).difference(self.known)
-        if len(self.known) + len(new) > self.kept:  # what was not met since the last time is forgotten
-            self.older, self.known = self.known, {}
-            new = set(chunks)
-        unseen = []
+        known = self.known
+        new = set(chunks).difference(known)
+        if len(known) + len(new) > self.kept:  # what was not met since the last time is forgotten
+            self.older, self.known = known, {}
+            known, new = self.known, set(chunks)
+        words, unseen = {}, []
         for chunk in new:
             ids = self.older.get(chunk)
+            if ids is not None:
+                known[chunk] = ids
+                continue
+            word, tail = stem(chunk)
+            ids = known.get(word)
             if ids is None:
-                unseen.append(chunk)
+                words[word] = None
+                unseen.append((chunk, word, tail))
             else:
-                self.known[chunk] = ids
-        coded = self.tokenizer.encode_batch_fast([c.decode() for c in unseen], add_special_tokens=False)
-        self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(unseen, coded, strict=True))
+                known[chunk] = ids + self.tail(tail)
+        wanted = list(words)
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in wanted], add_special_tokens=False)
+        words = {w: array("I", e.ids).tobytes() for w, e in zip(wanted, coded, strict=True)}
+        known.update(words)
+        for chunk, word, tail in unseen:
+            known[chunk] = words[word] + self.tail(tail)
+
+    def tail(self, sign: str) -> bytes:
+        if sign not in self.tails:
+            self.tails[sign] = array("I", self.tokenizer.encode(sign, add_special_tokens=False).ids).tobytes() if sign else b""
+        return self.tails[sign]
+
+
+def stem(chunk: bytes) -> tuple[bytes, str]:
+    """A chunk of letters, with one sign of punctuation behind them or none, as its small letters and the sign,
+    which a word tokenizer codes apart; any other chunk as it is."""
+    text = chunk.decode()
+    sign = text[-1] if text[-1] in ",.;:!?" else ""
+    word = text[:-1] if sign else text
+    if not word.isalpha():
+        return chunk, ""
+    if not word.isascii() and (not unicodedata.is_normalized("NFC", word) or "\u03a3" in word or "\u0130" in word):
+        return chunk, ""
+    return word.lower().encode(), sign
 
 
 @lru_cache(maxsize=2)
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return ChunkTokenizer(path)
 
 
@@ -92,30 +136,34 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     A null text is an empty one: the end id alone. ``ids`` False leaves the ids out (null), to move less.
     """
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, last = chunk_tokenizer(path), np.asarray([end], "<u4").tobytes()
-        for frame in frames:
+        for batch in batches:
             rows, size = [], 0
-            for at, (doc, text) in enumerate(zip(frame["doc_id"], frame["text"], strict=True)):
-                if at % TEXTS_AT_ONCE == 0:
-                    near = frame["text"].iloc[at : at + TEXTS_AT_ONCE]
-                    tokenizer.learn([c for t in near if t and len(t) < 20_000 for c in t.encode("utf-8", "replace").split()])
-                coded = tokenizer.ids(text or "") + last
-                start, n = 0, len(coded) // 4
-                for length in cuts(n, capacity):
-                    part = coded[4 * start : 4 * (start + length)]
-                    rows.append((doc, start, length, n, part if ids else None, zlib.crc32(part)))
-                    start, size = start + length, size + (len(part) if ids else 0)
+            docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for at in range(0, len(texts), TEXTS_AT_ONCE):
+                coded_texts = tokenizer.all_ids(texts[at : at + TEXTS_AT_ONCE])
+                for doc, coded in zip(docs[at : at + TEXTS_AT_ONCE], coded_texts, strict=True):
+                    coded += last
+                    start, n = 0, len(coded) // 4
+                    for length in cuts(n, capacity):
+                        part = coded[4 * start : 4 * (start + length)]
+                        rows.append((doc, start, length, n, part if ids else None, zlib.crc32(part)))
+                        start, size = start + length, size + (len(part) if ids else 0)
                 if size > 32_000_000 or len(rows) > 100_000:
-                    yield _frame(rows)
+                    yield _batch(rows)
                     rows, size = [], 0
-            yield _frame(rows)
+            yield _batch(rows)
 
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32"])
-        return frame.astype({"doc_id": "Int64"})
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(cut, PIECES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECES)
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def harmonic_class(length: Column, capacity: int = CAPACITY) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,12 +89,13 @@ def text_fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> list[i
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text as a signed long; a null text has no words."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": text_fingerprints(frame["text"].tolist(), shingle)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array(text_fingerprints(batch.column(1).to_pylist(), shingle), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "fp"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(run, "doc_id long, fp long")
+    return texts.mapInArrow(run, "doc_id long, fp long")
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:

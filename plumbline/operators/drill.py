@@ -38,13 +38,15 @@ def rows_outlying(df: DataFrame, column: str | None) -> DataFrame:
 
 def explained(df: DataFrame, kind: str, column: str | None, order_by: list[str], limit: int = SHOWN_ROWS):
     """``(count, explanation, shown)`` for ``kind`` in duplicates, missing, outliers: the number of all
-    offending rows, a sentence, and the first ``limit`` of them by ``order_by``."""
+    offending rows, a sentence, and the first ``limit`` of them by ``order_by``; no rows for another kind."""
     if kind == "duplicates":
         rows, place = rows_duplicated(df, column, exclude=order_by), f" in column '{column}'" if column else ""
         text = "Found {} duplicate records" + place
     elif kind == "missing":
         rows, place = rows_missing(df, column), f" in '{column}'" if column else ""
         text = "Found {} records with missing values" + place
+    elif kind != "outliers":
+        return 0, f"Unknown kind of rows: {kind}", df.where(F.lit(False))
     elif column in Shape.of(df).numerics:
         rows, text = rows_outlying(df, column), f"Found {{}} outlier records in '{column}'"
     else:

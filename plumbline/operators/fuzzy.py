@@ -58,20 +58,20 @@ def leaders(
     that fit into ``heads`` are done after one round. After ``rounds``, once a round no longer halves what is
     left, the rest, which has no leader so far and therefore few matches, is settled from its matches.
     """
-    todo, bins, _ = placed(texts, "block", part)
+    todo, _, _ = placed(texts, "block", part)
     todo = checkpointed(todo)
     done: list[DataFrame] = []
     before = None
     while True:
         sizes = todo.groupBy("block").agg(F.count(F.lit(1)).alias("texts"))
-        left, largest = sizes.agg(F.sum("texts"), F.max("texts")).first()
+        left, largest, seats = sizes.agg(F.sum("texts"), F.max("texts"), F.sum(F.least("texts", F.lit(heads)))).first()
         if not left:
             break
         worthwhile = largest <= heads or (before is not None and 2 * left <= before)
         if len(done) >= rounds and not worthwhile:
             done.append(_settle(todo.drop("m", "parts", "bin", "hot", "part"), columns, threshold, part))
             break
-        seated, todo = _seat(todo, bins, columns, threshold, heads)
+        seated, todo = _seat(todo, seat_groups(seats, part), columns, threshold, heads)
         done.append(seated)
         before = left
     if not done:
@@ -80,7 +80,12 @@ def leaders(
     return reduce(DataFrame.unionByName, done)
 
 
-def _seat(todo: DataFrame, bins: int, columns: int, threshold: float, heads: int) -> tuple[DataFrame, DataFrame]:
+def seat_groups(seats: int, part: int = PART) -> int:
+    """Groups for the first texts of all blocks, ``seats`` in all, so that none holds many more than a part."""
+    return max(1, -(-seats // part))
+
+
+def _seat(todo: DataFrame, groups: int, columns: int, threshold: float, heads: int) -> tuple[DataFrame, DataFrame]:
     id_type = todo.schema["first_row"].dataType.simpleString()
     order = Window.partitionBy("block").orderBy("first_row")
     head = todo.withColumn("place", F.row_number().over(order)).where(F.col("place") <= heads).drop("place")
@@ -101,10 +106,10 @@ def _seat(todo: DataFrame, bins: int, columns: int, threshold: float, heads: int
         ids = rows["first_row"].to_numpy()
         return pd.DataFrame({"first_row": ids, "leader": ids[leader]})
 
-    spread = F.pmod(F.xxhash64("block"), F.lit(max(bins, 1) * 4)).alias("spread")
+    spread = F.pmod(F.xxhash64("block"), F.lit(groups)).alias("spread")
     seated = checkpointed(
         head.withColumn("spread", spread)
-        .repartition(min(max(bins, 1) * 4, MAX_TASKS), "spread")
+        .repartition(min(groups, MAX_TASKS), "spread")
         .groupBy("spread")
         .applyInPandas(seat, f"first_row {id_type}, leader {id_type}")
     )

@@ -55,7 +55,8 @@ def score_trend(scores: DataFrame, days: int, as_of: datetime | Column) -> DataF
     """Newest against oldest score of the window per dataset. Every dataset of ``scores`` has a row; with
     fewer than two points the trend is ``insufficient_data``."""
     inside = F.col("ts") >= since(days, as_of)
-    at, score = F.when(inside, F.col("ts")), F.when(inside, F.col("overall_score"))
+    score = F.when(inside, F.col("overall_score"))
+    at = F.when(inside, F.struct("ts", "overall_score"))  # of one instant the higher score is the newer
     ends = scores.groupBy("dataset_id").agg(
         F.count_if(inside).alias("data_points"),
         F.max_by(score, at).alias("newest"),
@@ -80,8 +81,8 @@ def dimension_trends(dim_scores: DataFrame, days: int, as_of: datetime | Column)
         .groupBy("dataset_id", "dimension")
         .agg(
             F.count(F.lit(1)).alias("points"),
-            F.max_by("score", "ts").alias("current"),
-            F.min_by("score", "ts").alias("oldest"),
+            F.max_by("score", F.struct("ts", "score")).alias("current"),
+            F.min_by("score", F.struct("ts", "score")).alias("oldest"),
         )
         .where(F.col("points") >= 2)
         .select(
@@ -97,9 +98,9 @@ def dimension_trends(dim_scores: DataFrame, days: int, as_of: datetime | Column)
 def score_statistics(scores: DataFrame) -> DataFrame:
     """Latest and aggregate scores per dataset; no row for a dataset never assessed."""
     return scores.groupBy("dataset_id").agg(
-        F.max_by("overall_score", "ts").alias("latest_score"),
+        F.max_by("overall_score", F.struct("ts", "overall_score")).alias("latest_score"),
         F.max("ts").alias("latest_timestamp"),
-        F.max_by("total_records", "ts").alias("latest_record_count"),
+        F.max_by("total_records", F.struct("ts", "overall_score", "total_records")).alias("latest_record_count"),
         mean2(F.col("overall_score")).alias("average_score"),
         F.min("overall_score").alias("min_score"),
         F.max("overall_score").alias("max_score"),

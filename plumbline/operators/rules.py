@@ -30,10 +30,12 @@ def judge(
     active = rules.where("enabled")
     general = active.where(F.col("column").isNull())
     if keys:
-        # every group gets a row for every dimension, so that a missing one reads as zero
+        # every group gets a row for every dimension of the rules, so that a missing one reads as zero
+        named = general.agg(F.collect_set("dimension").alias("__named"))
         known = F.map_from_entries(F.collect_list(F.struct("dimension", "score")))
         board = scores.groupBy(*keys).agg(known.alias("__known"))
-        board = board.select(*keys, "__known", F.explode(F.array(*map(F.lit, DIMENSIONS))).alias("dimension"))
+        wanted = F.array_union(F.array(*map(F.lit, DIMENSIONS)), F.col("__named"))
+        board = board.join(F.broadcast(named)).select(*keys, "__known", F.explode(wanted).alias("dimension"))
         board = board.select(*keys, "dimension", F.coalesce(F.col("__known")[F.col("dimension")], F.lit(0.0)).alias("score"))
         judged = join_checked(board, general, ["dimension"], max_rows=MAX_RULES)
     else:

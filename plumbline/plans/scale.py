@@ -38,9 +38,10 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame | None:
-    """``df`` written out once if it is small, else None; reads no further than ``rows`` rows."""
-    head = checkpointed(df.limit(rows + 1))
-    return head if is_small(head, rows) else None
+    """``df`` written out once if it is counted to be small, else None. The rows stay where they are: a limit
+    would send the first of every partition to one task."""
+    written = checkpointed(df)
+    return written if is_small(written, rows) else None
 
 
 def hinted(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -67,8 +68,8 @@ def join_counted_keys(
     """Inner join of ``rows`` to a table of distinct ``keys`` whose column ``size`` counts their rows.
 
     Few keys: one broadcast, ``rows`` do not move. Many keys: the hot ones (at most ``HOT_SHARE`` by
-    construction) are broadcast, the rest are shuffled, where no key holds a large share any more. Should
-    even the hot keys be too wide to broadcast, all are shuffled and skewed partitions split at run time.
+    construction) are broadcast to take their rows out, the other rows and keys are shuffled, where no key
+    holds a large share any more. Should even the hot keys be too wide to broadcast, all are shuffled and skewed partitions split at run time.
     Keys match null to null. ``keys`` are written out first unless they are ``written`` already.
     """
     keys = keys if written else checkpointed(keys)
@@ -79,12 +80,13 @@ def join_counted_keys(
     hottest, others = keys.where(hot), keys.where(~hot)
     if not is_small(hottest, HOT_SHARE):
         return _null_safe_join(rows, keys, on)
-    return _null_safe_join(rows, F.broadcast(hottest), on).unionByName(_null_safe_join(rows, others, on))
+    cold = _null_safe_join(rows, F.broadcast(hottest.select(*[ref(c) for c in on])), on, "left_anti")
+    return _null_safe_join(rows, F.broadcast(hottest), on).unionByName(_null_safe_join(cold, others, on))
 
 
-def _null_safe_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+def _null_safe_join(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     renamed = keys.withColumnsRenamed({c: f"__key_{i}" for i, c in enumerate(on)})
     condition: Column = F.lit(True)
     for i, name in enumerate(on):
         condition = condition & ref(name).eqNullSafe(F.col(f"__key_{i}"))
-    return rows.join(renamed, condition, "inner").drop(*[f"__key_{i}" for i in range(len(on))])
+    return rows.join(renamed, condition, how).drop(*[f"__key_{i}" for i in range(len(on))])

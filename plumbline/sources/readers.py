@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import quoted, ref
 
@@ -17,6 +18,8 @@ DATE_ENDINGS, DATE_NAMES = ("_at", "_time"), ("modified", "date")
 
 SAMPLE_ROWS, SAMPLE_LIMIT = 10, 100
 
+#: Holds what a row has beyond the columns of the header.
+SURPLUS = "__surplus"
 _WHOLE = r"^\s*[+-]?\d+\s*$"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
 _TRUTH = r"^(True|TRUE|true|False|FALSE|false)$"
@@ -27,28 +30,33 @@ def read_csv(spark: SparkSession, path: str | list[str], **options: str) -> Data
 
     Columns become, in this order, bigint (all values whole, none missing), double (all numeric, or no
     value at all), boolean (all truth words, none missing) or string. Deciding takes one scan with one
-    aggregation over all columns.
+    aggregation over all columns. A row with more fields than the header is an error.
     """
-    raw = spark.read.options(**{"header": "true", "multiLine": "true", "escape": '"', **options}).csv(path)
-    cleaned = raw.select(*[_present(ref(n)).alias(n) for n in raw.columns])
-    return typed(cleaned)
+    reader = spark.read.options(**{"header": "true", "multiLine": "true", "escape": '"', **options})
+    names = reader.csv(path).columns
+    fields = [T.StructField(n, T.StringType()) for n in [*names, SURPLUS]]
+    raw = reader.schema(T.StructType(fields)).csv(path)
+    return typed(raw.select(*[_present(ref(n)).alias(n) for n in names], SURPLUS), SURPLUS)
 
 
 def _present(text: Column) -> Column:
     return F.when(~text.isin(*MISSING_TEXTS), text)
 
 
-def typed(texts: DataFrame) -> DataFrame:
-    """Infer the type of every text column and cast it."""
-    names = texts.columns
+def typed(texts: DataFrame, surplus: str | None = None) -> DataFrame:
+    """Infer the type of every text column and cast it. The column ``surplus``, if given, must be all null."""
+    names = [n for n in texts.columns if n != surplus]
     if not names:
-        return texts
+        return texts.drop(surplus) if surplus else texts
     tests = {"whole": _is_whole, "number": lambda c: c.rlike(_NUMBER), "truth": lambda c: c.rlike(_TRUTH)}
     stats = texts.agg(
         F.count(F.lit(1)).alias("rows"),
+        (F.count(ref(surplus)) if surplus else F.lit(0)).alias("surplus"),
         *[F.count(ref(n)).alias(f"present{i}") for i, n in enumerate(names)],
         *[F.count_if(test(ref(n))).alias(f"{key}{i}") for i, n in enumerate(names) for key, test in tests.items()],
     ).first()
+    if stats["surplus"]:
+        raise ValueError(f"{stats['surplus']} rows have more fields than the header")
     chosen = []
     for i, n in enumerate(names):
         present, complete = stats[f"present{i}"], stats[f"present{i}"] == stats["rows"]

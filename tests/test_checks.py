@@ -228,3 +228,11 @@ def test_dates_parse_one_by_one(spark):
     rows = {r["column"]: r for r in run_checks(nan_as_null(df), [consistency.date_parse(Shape.of(df))]).collect()}
     assert (rows["event_date"]["numerator"], rows["event_date"]["denominator"], rows["event_date"]["value"]) == (1, 2, 50.0)
     assert rows["updated"]["value"] == 100.0
+
+
+def test_unknown_kind_has_no_rows(spark):
+    from plumbline.operators import drill
+
+    df = spark.createDataFrame([(1, 1.0), (2, 900.0)], "id int, v double")
+    count, text, shown = drill.explained(df, "typo", "v", ["id"])
+    assert (count, shown.count()) == (0, 0) and "typo" in text

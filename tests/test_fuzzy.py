@@ -135,3 +135,20 @@ def test_small_example(spark):
     assert (stats["total_groups"], stats["total_duplicate_records"], stats["avg_group_size"], stats["avg_match_score"]) == (2, 4, 2.0, 100.0)
     members = checkpointed(duplicate_members(df, "id", text_columns=["a"], methods=("exact", "fuzzy"), threshold=84))
     assert members.count() == 6
+
+
+def test_heads_are_dealt_by_their_number():
+    from plumbline.operators.fuzzy import seat_groups
+
+    assert seat_groups(300 * 200, 1000) == 60 and seat_groups(0, 1000) == 1
+
+
+def test_hot_keys_leave_before_the_shuffle(spark):
+    from plumbline.plans import scale
+
+    rows = spark.range(4000).selectExpr("if(id < 2000, 0, id) AS k", "id")
+    keys = scale.checkpointed(rows.groupBy("k").count().withColumnRenamed("count", "n"))
+    found = scale.join_counted_keys(rows, keys, ["k"], max_rows=1, written=True)
+    assert found.count() == 4000 and found.where("k = 0").count() == 2000
+    assert "LeftAnti" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert scale.bounded(rows, 10) is None and scale.bounded(rows.limit(5), 10).count() == 5

@@ -59,3 +59,12 @@ def test_table_info_and_pages(spark, tmp_path):
     for bad in ({"limit": 0}, {"limit": 101}, {"offset": -1}):
         with pytest.raises(ValueError):
             sample_page(df, ["id"], **bad)
+
+
+def test_surplus_fields_are_an_error(spark, tmp_path):
+    path = tmp_path / "ragged.csv"
+    path.write_text("a,b\n1,2\n3,4,5\n6\n")
+    with pytest.raises(ValueError, match="1 rows"):
+        read_csv(spark, str(path))
+    path.write_text("a,b\n1,2\n3,4\n6\n")
+    assert [tuple(r) for r in read_csv(spark, str(path)).orderBy("a").collect()] == [(1, 2.0), (3, 4.0), (6, None)]

@@ -109,8 +109,8 @@ def _similarity(pairs: str) -> list[str]:
     return [
         f"pairs AS ({pairs})",
         f"""spelled AS (SELECT DISTINCT t_a, t_b, {_words('t_a')} AS w_a, {_words('t_b')} AS w_b, {short} AS s, {long} AS l FROM pairs)""",
-        """windows AS (SELECT t_a, t_b, s, substring(l, CAST(start AS BIGINT), length(s)) AS part FROM spelled, range(1, 100) r(start)
-        WHERE start <= length(l))""",
+        """windows AS (SELECT t_a, t_b, s, substring(l, CAST(start AS BIGINT), length(s)) AS part FROM (
+          SELECT *, unnest(range(1, length(l) + 1)) AS start FROM spelled))""",
         """problems AS (SELECT t_a AS x, t_b AS y FROM spelled UNION SELECT w_a, w_b FROM spelled
         UNION SELECT s, part FROM windows)""",
         """steps(x, y, i, line) AS (SELECT x, y, 0, list_transform(range(length(y)), lambda j: 0) FROM problems

@@ -29,14 +29,15 @@ class Kind:
 # fixed values: the base patterns
 BASE = (
     Kind("assign", r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 6, r"[A-Za-z0-9+/_.=-]+$"),
-    Kind("access", r"AKIA[A-Z0-9]+", 20, r".+$"),
-    Kind("hex", r"[0-9a-f]+", 24, r".+$"),
+    # runs are matched whole, so that a bound on their length only leaves out those that fail it
+    Kind("access", r"AKIA[A-Z0-9]{16,}", 20, r".+$"),
+    Kind("hex", r"[0-9a-f]{24,}", 24, r".+$"),
 )
 #: Added by the method: long values that mix letters and digits, where a single owner holds them or the same
 #: value is an owner's live candidate elsewhere.
-LOOSE = Kind("owned", r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}", 20, r".+$")
+LOOSE = Kind("owned", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}", 20, r".+$")
 #: What a text must hold to be looked at closely; a match of any kind holds one of these.
-HINT = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20}"
+HINT = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20}"
 SPAN = "struct<kind:string,start:bigint,end:bigint,value:string,live:boolean>"
 
 

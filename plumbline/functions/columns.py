@@ -66,6 +66,12 @@ class Shape:
     def variants(self) -> list[str]:
         return self.of_type(T.VariantType)
 
+    @property
+    def texts(self) -> dict[str, str]:
+        """SQL for the text of every column that may hold texts; other values of a variant are spelled out."""
+        spelled = {n: quoted(n) for n in self.strings} | {n: f"CAST({quoted(n)} AS STRING)" for n in self.variants}
+        return {n: spelled[n] for n in self.names if n in spelled}
+
     @property
     def amounts(self) -> list[str]:
         return [n for n in self.names if name_has(n, AMOUNT_NAMES)]

@@ -3,7 +3,8 @@
 A ratio is ``round(100 * 2 * L / (len1 + len2))`` with L the length of the longest common subsequence.
 The blend of a column weighs the ratio of the sorted words by one half, the best ratio of the shorter
 text against any equally long (at the end: shorter) window of the longer by 0.3, and the plain ratio by
-0.2; several columns are averaged. L is counted bit-parallel, one machine word per pair.
+0.2; several columns are averaged. L is counted bit-parallel, one machine word per pair; for longer texts
+the windows of a pair are counted together, in time that goes with the product of the two lengths.
 """
 
 from __future__ import annotations
@@ -53,12 +54,20 @@ class Texts:
         return self._ratio(common, self.size[a] + self.size[b])
 
     def ratio(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self._ratio(self.common(a, b), self.size[a] + self.size[b])
+
+    def window_bound(self, a: np.ndarray, b: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """No window ratio exceeds this: a window shares no more than the whole texts do, nor than it holds."""
+        return self._ratio(common, np.minimum(self.size[a], self.size[b]) + common)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common subsequence lengths of the whole texts."""
         common = np.zeros(len(a), dtype=np.int64)
         fits = (self.size[a] <= WORD_BITS) & (self.size[b] <= WORD_BITS)
         common[fits] = self._common(a[fits], b[fits], 0, self.size[b[fits]])
         for i in np.flatnonzero(~fits):
             common[i] = _common_long(self.texts[a[i]], self.texts[b[i]])
-        return self._ratio(common, self.size[a] + self.size[b])
+        return common
 
     def window_ratio(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         swap = self.size[a] > self.size[b]
@@ -74,13 +83,13 @@ class Texts:
                 break
             common = self._common(a[fits], b[fits], start, span)
             best[fits] = np.maximum(best[fits], self._ratio(common, size + span))
-        for i in np.flatnonzero(self.size[b] > WORD_BITS):
+        for i in np.flatnonzero((self.size[b] > WORD_BITS) & (self.size[a] > 0)):
             short, long = self.texts[a[i]], self.texts[b[i]]
-            for start in range(0 if short in long else len(long)):
-                part = long[start : start + len(short)]
-                best[i] = max(best[i], self._ratio(np.int64(_common_long(short, part)), len(short) + len(part)))
             if short in long:
                 best[i] = 100.0
+                continue
+            spans = np.minimum(len(short), len(long) - np.arange(len(long)))
+            best[i] = self._ratio(_common_of_windows(short, long), len(short) + spans).max()
         both_empty = (self.size[a] == 0) & (self.size[b] == 0)
         return np.where(both_empty, 100.0, best)
 
@@ -119,6 +128,31 @@ def _common_long(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
+def _common_of_windows(short: str, long: str) -> np.ndarray:
+    """For each start in ``long`` the common subsequence length of ``short`` and the window of its length, cut
+    off at the end, all from one pass (semi-local comparison by combing).
+
+    Strands enter the comparison grid at its left and upper edge. Two that meet part again without crossing
+    where characters are equal or where they have crossed before. A window shares as many characters as it
+    has columns, less the strands that both enter and leave within it. Cells of a diagonal are independent.
+    """
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (short[::-1], long))
+    m, n = len(a), len(b)
+    rows, columns = np.arange(m, dtype=np.int32), np.arange(m, m + n, dtype=np.int32)
+    for d in range(m + n - 1):
+        first, last = max(0, d - m + 1), min(n, d + 1)
+        at = slice(first - d + m - 1, last - d + m - 1)
+        left, top = rows[at], columns[first:last]
+        swap = (left ^ top) * ((a[at] == b[first:last]) | (left > top))
+        left ^= swap
+        top ^= swap
+    leave = np.flatnonzero(columns >= m)
+    enter, least = columns[leave] - m, np.maximum(leave - m + 1, 0)
+    inside = enter >= least
+    change = np.bincount(least[inside], minlength=n + 1) - np.bincount(enter[inside] + 1, minlength=n + 1)
+    return np.minimum(m, n - np.arange(n)) - np.cumsum(change)[:n]
+
+
 class Records:
     """Rows of lower-cased texts, one list per column, with their sorted words."""
 
@@ -147,10 +181,11 @@ class Records:
             ]
             at = at[np.mean(bound, axis=0) >= least]
         words = [word.ratio(a[at], b[at]) for _, word in self.columns]
-        plain = [text.ratio(a[at], b[at]) for text, _ in self.columns]
+        common = [text.common(a[at], b[at]) for text, _ in self.columns]
+        plain = [text._ratio(c, text.size[a[at]] + text.size[b[at]]) for (text, _), c in zip(self.columns, common)]
         bound = [
-            self._settled(text, a[at], b[at], w * WORDS + 100 * WINDOW + p * PLAIN)
-            for (text, _), w, p in zip(self.columns, words, plain)
+            self._settled(text, a[at], b[at], w * WORDS + text.window_bound(a[at], b[at], c) * WINDOW + p * PLAIN)
+            for (text, _), c, w, p in zip(self.columns, common, words, plain)
         ]
         alive = np.mean(bound, axis=0) >= least
         at = at[alive]

@@ -86,14 +86,14 @@ def formats(shape: Shape) -> Check:
     tests = [
         (n, kind, f"bad_{i}_{kind}", f"present_{i}")
         for i, n in enumerate(shape.names)
-        if n in shape.strings
+        if n in shape.texts
         for kind in FORMATS
         if kind in n.lower()
     ]
     measures, parts = {"rows": "count(*)"}, []
     for n, kind, bad, present in tests:
-        measures[bad] = f"count_if({breaks_format(quoted(n), kind)})"
-        measures[present] = f"count({quoted(n)})"
+        measures[bad] = f"count_if({breaks_format(shape.texts[n], kind)})"
+        measures[present] = f"count({shape.texts[n]})"
         detail = {"expected_format": string(kind)}
         value = rounded(share(bad, present, 0))
         parts.append(metric(DIMENSION, FORMAT, value, bad, present, column=n, detail=detail, when=f"{bad} > 0"))

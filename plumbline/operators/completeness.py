@@ -36,11 +36,11 @@ def by_column(shape: Shape) -> Check:
 
 def blanks(shape: Shape) -> Check:
     """Text cells that are blank, over all cells; reported only when there are any."""
-    counts = {n: f"blank_{i}" for i, n in enumerate(shape.names) if n in shape.strings}
+    counts = {n: f"blank_{i}" for i, n in enumerate(shape.names) if n in shape.texts}
     found, cells = total(list(counts.values())), f"rows * {len(shape.names)}"
     parts = [metric(DIMENSION, BLANKS, "NULL", c, "rows", column=n, when=f"{c} > 0") for n, c in counts.items()]
     value = rounded(f"100 - {share(found, cells, 0)}")
     return Check(
-        {"rows": "count(*)", **{c: f"count_if({is_blank(quoted(n))})" for n, c in counts.items()}},
+        {"rows": "count(*)", **{c: f"count_if({is_blank(shape.texts[n])})" for n, c in counts.items()}},
         (metric(DIMENSION, BLANKS, value, found, cells, when=f"{found} > 0"), *parts),
     )

@@ -20,13 +20,13 @@ DATE_PAIRS = (("start_date", "end_date"), ("created_at", "updated_at"), ("open_d
 
 def letter_case(shape: Shape) -> Check:
     """Text columns holding any value that is neither lower, upper nor title case."""
-    flags = {n: f"mixed_{i}" for i, n in enumerate(shape.names) if n in shape.strings}
+    flags = {n: f"mixed_{i}" for i, n in enumerate(shape.names) if n in shape.texts}
     flagged = total([f"if(coalesce({f}, false), 1L, 0L)" for f in flags.values()])
     width = f"{len(shape.names)}L"
     parts = [metric(DIMENSION, CASE, column=n, when=f"coalesce({f}, false)") for n, f in flags.items()]
     score = rounded(f"100 - {share(flagged, width, 0)}")
     return Check(
-        {"rows": "count(*)", **{f: f"bool_or({is_mixed_case(quoted(n))})" for n, f in flags.items()}},
+        {"rows": "count(*)", **{f: f"bool_or({is_mixed_case(shape.texts[n])})" for n, f in flags.items()}},
         (metric(DIMENSION, CASE, score, flagged, width), *parts),
     )
 

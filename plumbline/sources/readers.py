@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,14 +81,31 @@ def read_json(
     spark: SparkSession, path: str | list[str], mixed: list[str] | None = None, lines: bool = False
 ) -> DataFrame:
     """Records from JSON files: an array of records per file, or with ``lines`` one record per line, which
-    splits over tasks. Columns named in ``mixed`` are read as variants, which keep the type of every single
-    value. Text columns named like dates become timestamps if all their values are."""
+    splits over tasks. Columns whose values are not all texts, but have no other type in common either, are
+    read as variants, which keep the type of every single value. Finding them takes a scan; ``mixed`` names
+    them instead, an empty list if there are none. Text columns named like dates become timestamps if all
+    their values are."""
     reader = spark.read.option("multiLine", str(not lines).lower())
     schema = reader.json(path).schema
-    if mixed:
-        kinds = ["variant" if f.name in mixed else f.dataType.simpleString() for f in schema]
-        reader = reader.schema(", ".join(f"{quoted(f.name)} {kind}" for f, kind in zip(schema, kinds)))
-    return _with_dates(reader.json(path))
+    if mixed is None:
+        # the inferred type of values of several types is string; so is that of unreadable records
+        unreadable = spark.conf.get("spark.sql.columnNameOfCorruptRecord")
+        texts = [f.name for f in schema if isinstance(f.dataType, T.StringType) and f.name != unreadable]
+        mixed = _mixed(_as_variants(reader, schema, texts).json(path), texts) if texts else []
+    df = _as_variants(reader, schema, mixed).json(path)
+    # a JSON null is a missing value, as in the other columns
+    present = {n: F.when(~F.is_variant_null(ref(n)), ref(n)) for n in mixed}
+    return _with_dates(df.withColumns(present) if present else df)
+
+
+def _as_variants(reader: DataFrameReader, schema: T.StructType, names: list[str]) -> DataFrameReader:
+    return reader.schema(T.StructType([T.StructField(f.name, T.VariantType() if f.name in names else f.dataType) for f in schema]))
+
+
+def _mixed(variants: DataFrame, names: list[str]) -> list[str]:
+    """The columns with any value that is neither a text nor null."""
+    tests = [F.expr(f"coalesce(bool_or(schema_of_variant({quoted(n)}) NOT IN ('STRING', 'VOID')), false)") for n in names]
+    return [n for n, other in zip(names, variants.agg(*tests).first()) if other]
 
 
 def _with_dates(df: DataFrame) -> DataFrame:
@@ -108,6 +126,17 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.parquet(name) if "/" in name else spark.table(name)
 
 
+def read_acknowledgements(spark: SparkSession, folder: str) -> DataFrame:
+    """``(alert_id, ts)`` of the acknowledgements stored below ``folder``; empty before the first one."""
+    columns = "alert_id string, ts timestamp"
+    try:
+        return spark.read.schema(columns).parquet(f"{folder}/alert_acks")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return spark.createDataFrame([], columns)
+
+
 def dataset_info(df: DataFrame, dataset_id: str) -> DataFrame:
     """One row: size, column names and types."""
     return df.agg(F.count(F.lit(1)).alias("rows")).select(

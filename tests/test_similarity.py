@@ -34,6 +34,16 @@ def test_long_texts(sizes):
         assert list(texts.window_ratio(i, j)) == [models.window_ratio(a, b), models.window_ratio(b, a)]
 
 
+def test_window_bound_and_very_long_texts():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcde ") for _ in range(n)) for n in (0, 1, 30, 64, 65, 120, 400, 500)]
+    prepared = Texts(texts)
+    i, j = np.triu_indices(len(texts))
+    window = prepared.window_ratio(i, j)
+    assert (prepared.window_bound(i, j, prepared.common(i, j)) >= window).all()
+    assert list(window) == [models.window_ratio(texts[a], texts[b]) for a, b in zip(i, j)]
+
+
 def test_threshold_drops_only_what_is_below():
     rng = random.Random(2)
     rows = [("".join(rng.choice("abc ") for _ in range(rng.randint(0, 12))), rng.choice(["", "ann", "anna", "bob"])) for _ in range(60)]

@@ -39,7 +39,10 @@ def test_json_records(spark, tmp_path):
     assert dict(df.dtypes) == {"id": "bigint", "v": "variant"} and df.count() == 4
     part = run_checks(df, [types(Shape.of(df))]).where("column = 'v'").first()
     assert (part["detail"]["expected"], part["numerator"]) == ("float", 2)
-    assert dict(read_json(spark, str(tmp_path / "t.json")).dtypes)["v"] == "string"
+    assert df.where("v IS NULL").count() == 1
+    # found by itself, and read as text if told so
+    assert dict(read_json(spark, str(tmp_path / "t.json")).dtypes)["v"] == "variant"
+    assert dict(read_json(spark, str(tmp_path / "t.json"), mixed=[]).dtypes)["v"] == "string"
 
 
 def test_json_lines_and_dates(spark, tmp_path):

@@ -16,19 +16,19 @@ from workload.views import table, view
 
 QUERIES, ORACLES, query = collection()
 V1, V4 = with_views(["dirty_customer"]), with_views(["part_names"])
-_KEYS, _COMPLETE = ", ".join(DIRTY), " AND ".join(f"{c} IS NOT NULL" for c in DIRTY)
+_KEYS, COMPLETE = ", ".join(DIRTY), " AND ".join(f"{c} IS NOT NULL" for c in DIRTY)
 THRESHOLD = 85.0
 
 # ---- exact groups and merging
 
-_SETS = f"""sets AS (SELECT min(row_id) AS first_row, max(row_id) AS last_row, count(*) AS size, {_KEYS}
-FROM dirty_customer WHERE {_COMPLETE} GROUP BY {_KEYS} HAVING count(*) > 1)"""
+SETS = f"""sets AS (SELECT min(row_id) AS first_row, max(row_id) AS last_row, count(*) AS size, {_KEYS}
+FROM dirty_customer WHERE {COMPLETE} GROUP BY {_KEYS} HAVING count(*) > 1)"""
 _SHORT_KEYS = ["customer_name", "status"]
 
 
 @query(
     "dedup_exact_groups",
-    V1 + f""", {_SETS} SELECT CAST(first_row AS VARCHAR) AS group_id, 'exact' AS method, size,
+    V1 + f""", {SETS} SELECT CAST(first_row AS VARCHAR) AS group_id, 'exact' AS method, size,
     CAST(100 AS DOUBLE) AS match_score FROM sets""",
 )
 def _(spark, sf):
@@ -57,7 +57,7 @@ def _(spark, sf):
 
 
 def _merged(pick: str) -> str:
-    return V1 + f""", {_SETS}, lost AS (SELECT d.row_id FROM dirty_customer d JOIN sets s USING ({_KEYS})
+    return V1 + f""", {SETS}, lost AS (SELECT d.row_id FROM dirty_customer d JOIN sets s USING ({_KEYS})
     WHERE d.row_id <> s.{pick}) SELECT * FROM dirty_customer WHERE row_id NOT IN (SELECT row_id FROM lost)"""
 
 
@@ -86,7 +86,7 @@ def _(spark, sf):
 
 @query(
     "merge_summary",
-    V1 + f""", {_SETS} SELECT count(*) AS original_rows, count(*) - (SELECT {big('sum(size - 1)')} FROM sets) AS merged_rows,
+    V1 + f""", {SETS} SELECT count(*) AS original_rows, count(*) - (SELECT {big('sum(size - 1)')} FROM sets) AS merged_rows,
     (SELECT {big('sum(size - 1)')} FROM sets) AS removed_duplicates, 'first' AS strategy FROM dirty_customer""",
 )
 def _(spark, sf):

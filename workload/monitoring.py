@@ -13,7 +13,6 @@ from plumbline.operators import alerts as al
 from plumbline.operators import history as hi
 from plumbline.operators.rules import RULE_SCHEMA, alerts_of, judge, verdicts
 from plumbline.operators.scoring import overall_score
-from plumbline.plans.report import quality_report
 from plumbline.sources.writers import dimension_rows, score_rows
 from workload.sql import WEIGHT, big, collection, rnd, union, with_views
 from workload.views import table, view
@@ -246,7 +245,7 @@ def _latest(spark: SparkSession, sf: str) -> DataFrame:
     return latest.withColumn("score", F.bround(F.col("score") - 20, 2))
 
 
-_ADVICE = ", ".join(
+ADVICE = ", ".join(
     f"('{d}', {al.LOW_SCORE}, {10 * i + j}, '{text}')"
     for i, (d, texts) in enumerate(al.ADVICE.items())
     for j, text in enumerate(texts)
@@ -255,7 +254,7 @@ _ADVICE = ", ".join(
 
 @query(
     "recommendations",
-    BASE + f""", advice(dimension, below, place, recommendation) AS (VALUES {_ADVICE}),
+    BASE + f""", advice(dimension, below, place, recommendation) AS (VALUES {ADVICE}),
     latest AS (SELECT dataset_id, dimension, {rnd('max_by(score, ts) - 20')} AS score FROM dims GROUP BY ALL),
     found AS (SELECT dataset_id, place, recommendation FROM latest JOIN advice USING (dimension) WHERE score < below
       UNION ALL SELECT dataset_id, 1000, 'Address ' || count(*) || ' critical issues immediately to prevent data quality degradation'
@@ -276,16 +275,3 @@ def _(spark, sf):
 @query("cleared_alerts", BASE + f"SELECT count(*) AS cleared FROM alerts WHERE acknowledged AND NOT ({_within(10)})")
 def _(spark, sf):
     return al.cleared_count(stored_alerts(spark, sf), acks(spark, sf), 10, as_of(spark, sf))
-
-
-# ---- report
-
-
-@query("quality_report")
-def _(spark, sf):
-    """The nested report of the dirty customers, beside the history of an event dataset."""
-    return quality_report(
-        view(spark, sf, "dirty_customer"), DATASET, as_of(spark, sf), stored_alerts(spark, sf), acks(spark, sf),
-        scores(spark, sf).withColumn("dimension_scores", F.from_json("dimension_scores", "map<string,double>")),
-        dim_scores(spark, sf), row_id="row_id",
-    ).document

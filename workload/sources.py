@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import Shape
-from plumbline.operators import accuracy
+from plumbline.functions.text import FORMATS
+from plumbline.operators import accuracy, completeness, consistency
 from plumbline.operators.check import run_checks
 from plumbline.session import shared_folder
 from plumbline.sources.readers import read_csv, read_json
@@ -63,3 +64,49 @@ def _(spark, sf):
         "column", F.col("detail")["expected"].alias("expected"), F.col("numerator").alias("violations"),
         F.col("denominator").alias("checked"),
     )
+
+
+_NOTES = """notes AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'int' ELSE 'str' END AS kind,
+  CASE event_id % 4 WHEN 0 THEN CAST(10000 + user_id AS VARCHAR) WHEN 1 THEN '  ' WHEN 2 THEN 'miXed' ELSE '12345-6789' END AS zip
+  FROM events)"""
+
+
+@query(
+    "json_mixed_default",
+    f"""WITH {_NOTES} SELECT 'zip' AS "column", 'Data Type Consistency' AS name, least(count(*) FILTER (kind = 'int'),
+      count(*) FILTER (kind = 'str')) AS numerator, count(*) AS denominator FROM notes
+    UNION ALL SELECT 'zip', 'Empty String Rate', count(*) FILTER (trim(zip) = ''), count(*) FROM notes
+    UNION ALL SELECT 'zip', 'Format Accuracy', count(*) FILTER (NOT regexp_matches(zip, '{FORMATS["zip"]}')), count(*) FROM notes
+    UNION ALL SELECT 'zip', 'Case Consistency', NULL, NULL""",
+)
+def _(spark, sf):
+    """Events through JSON lines with numbers and texts in a column, found without being told; the checks of
+    texts take the text of every value."""
+    path = _scratch(spark, "json")
+    value = F.expr("""CASE event_id % 4 WHEN 0 THEN cast(10000 + user_id as string) WHEN 1 THEN '"  "' WHEN 2 THEN '"miXed"'
+        ELSE '"12345-6789"' END""")
+    line = F.concat(F.lit('{"id": '), F.col("event_id"), F.lit(', "zip": '), value, F.lit(', "note": null, "word": "plain"}'))
+    table(spark, sf, "events").select(line.alias("value")).write.text(path)
+    df = read_json(spark, path, lines=True)
+    shape = Shape.of(df)
+    rows = run_checks(df, [accuracy.types(shape), completeness.blanks(shape), accuracy.formats(shape), consistency.letter_case(shape)])
+    return rows.where(F.col("column").isNotNull()).select("column", "name", "numerator", "denominator")
+
+
+@query(
+    "csv_ragged",
+    """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS o_orderpriority FROM orders""",
+)
+def _(spark, sf):
+    """Orders through CSV files in which every fifth row lacks its last field."""
+    path = _scratch(spark, "csv")
+    names = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+    rows = table(spark, sf, "orders").select(*names)
+    whole, short = F.concat_ws(",", *names), F.concat_ws(",", *names[:2])
+    line = F.when(F.col("o_orderkey") % 5 == 0, short).otherwise(whole)
+    # the first row of each file is preceded by the header
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    lines = rows.select(line.alias("line"), first.alias("first"))
+    head = F.when(F.col("first"), F.array(F.lit(",".join(names)), F.col("line"))).otherwise(F.array("line"))
+    lines.select(F.explode(head).alias("value")).write.text(path)
+    return read_csv(spark, path)

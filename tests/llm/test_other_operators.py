@@ -153,6 +153,15 @@ def test_simple_tree_matching_is_maximal():
     assert [c.tag for c in parse("<ul><li>a<li>b</ul><p>c<div>d").children] == ["ul", "p", "div"]
 
 
+def test_wrapper_returns_all_like_sections():
+    texts = [[f"page {i} section {j} " * 20 for j in range(3)] for i in range(4)]
+    pages = ["<body><div class=nav>home</div>" + "".join(f"<div class=section><p>{t}</p></div>" for t in page) + "</body>" for page in texts]
+    wrapper = extraction.wrapper_of(pages)
+    assert wrapper == "body/div.section"
+    for page, text in zip(pages, texts):
+        assert extraction.main_text(page, wrapper) == "\n".join(t.strip() for t in text)
+
+
 def test_extraction_keeps_rows_and_columns(spark):
     rows = [(i, f"http://h{i % 2}.org/{i}", PAGE, "t") for i in range(6)] + [(6, None, None, "t"), (7, "x", "", "t"), (0, "http://h0.org/0", PAGE, "t")]
     got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

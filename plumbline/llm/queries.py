@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import coverdedup, extraction, langid, mixing, packing, secrets, sharding, simhash, topk, urlfilter
+from plumbline.llm import collocations, coverdedup, extraction, langid, mixing, packing, secrets, sharding, simhash, topk, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +113,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of every language."""
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    return collocations.ranked(collocations.mine(docs), 2000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_exact_topk": op2_exact_topk,
@@ -124,6 +130,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_best_fit_shards": op9_best_fit_shards,
     "op10_secret_scan": op10_secret_scan,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 ORACLES: dict[str, str] = {
     "op6_url_rules": f"""
@@ -160,4 +167,39 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op13_phrase_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(
+                coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), lists AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda w: w <> '') AS w FROM pieces
+        ), grams AS (
+            SELECT lang, d, unnest(list_transform(range(1, len(w) - d + 2), lambda i: array_to_string(w[i : i + d - 1], ' '))) AS phrase
+            FROM lists, (SELECT unnest(range(1, 6)) AS d) WHERE len(w) >= d
+        ), f AS (
+            SELECT lang, phrase, d, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100
+        ), n AS (
+            SELECT lang, sum(len(w)) AS n FROM lists GROUP BY lang
+        ), c AS (
+            SELECT *, string_split(phrase, ' ') AS w FROM f WHERE d > 1
+        ), parts AS (
+            SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS most
+            FROM c, (SELECT unnest(range(2, 5)) AS m), (SELECT unnest(range(1, 5)) AS i) WHERE m < d AND i + m - 1 <= d
+            GROUP BY ALL
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n.n, k,
+                   (1000::HUGEINT * c.a::HUGEINT * n.n::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT) AS score
+            FROM c JOIN n USING (lang) CROSS JOIN (SELECT unnest(range(1, 5)) AS k)
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 :], ' ')
+            LEFT JOIN parts p ON p.lang = c.lang AND p.phrase = c.phrase
+            WHERE k < c.d AND (p.most IS NULL OR 100 * p.most < 100 * c.a)
+        ), lowest AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+               a, l, r, n::BIGINT AS n, score::BIGINT AS score
+        FROM lowest QUALIFY rank <= 2000
+    """,
 }

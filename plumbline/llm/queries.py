@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import collocations, coverdedup, extraction, langid, mixing, packing, secrets, sharding, simhash, topk, urlfilter
+from plumbline.llm import collocations, coverdedup, extraction, langid, mixing, packing, prefixtrie, secrets, sharding, simhash, topk, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +113,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 collocations of every language."""
     docs = table(spark, sf_dir, "documents").select("text", "lang")
@@ -130,6 +135,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_best_fit_shards": op9_best_fit_shards,
     "op10_secret_scan": op10_secret_scan,
+    "op11_conversation_trie": op11_conversation_trie,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 ORACLES: dict[str, str] = {
@@ -167,6 +173,42 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_conversation_trie": """
+        WITH h AS (
+            SELECT conv_id AS c, conv_id - conv_id % 100 AS b, xor(list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda y, i: xor(y >> 1, (y & 1) * 3988292384))
+            ), 4294967295) % 6 AS h
+            FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+        ), turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        ), own AS (
+            SELECT conv_id, {'role': role, 'text': text} AS t, row_number() OVER (
+                PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256('0:' || strlen(role) || ':' || role || text)) AS i
+            FROM turns
+        ), rebuilt AS (
+            SELECT c, 0 AS part, i, t FROM h JOIN own ON conv_id = b AND i <= h
+            UNION ALL SELECT c, 1, i, t FROM h JOIN own ON conv_id = c AND i > h
+        ), paths AS (
+            SELECT c, coalesce(list(t ORDER BY part, i) FILTER (t IS NOT NULL), []) AS p FROM h LEFT JOIN rebuilt USING (c) GROUP BY c
+        ), members AS (
+            SELECT c, d, p[1 : d] AS q, len(p) = d AS ends FROM (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM paths)
+        ), nodes AS (
+            SELECT d, q, min(c) AS conv_id, count(*) AS n,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends
+            FROM members GROUP BY d, q
+        ), below AS (
+            SELECT x.d, x.q, count(*) FILTER (y.d = x.d + 1) AS n_children, sum(CASE WHEN y.d > 0 THEN (y.n - 1) * length(y.q[-1].text) ELSE 0 END) AS saved
+            FROM nodes x JOIN nodes y ON y.d >= x.d AND y.q[1 : x.d] = x.q GROUP BY x.d, x.q
+        ), leaves AS (
+            SELECT x.d, x.q, count(*) AS n_leaves
+            FROM nodes x JOIN below y ON y.n_children = 0 AND y.d >= x.d AND y.q[1 : x.d] = x.q GROUP BY x.d, x.q
+        )
+        SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, b.n_children, l.n_leaves,
+               b.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+        FROM nodes n JOIN below b USING (d, q) JOIN leaves l USING (d, q)
+        LEFT JOIN nodes u ON n.d > 0 AND u.d = n.d - 1 AND u.q = n.q[1 : n.d - 1]
+    """,
     "op13_phrase_collocations": r"""
         WITH pieces AS (
             SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import collocations, coverdedup, extraction, langid, mixing, packing, prefixtrie, secrets, sharding, simhash, topk, urlfilter
+from plumbline.llm import collocations, coverdedup, extraction, langid, mixing, packing, pii, prefixtrie, secrets, sharding, simhash, topk, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +118,16 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of personal data and those that the random field adds, for every document."""
+    field = pii.fit(pii.labelled_table(spark))
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), field)
+    spans = F.col("spans")
+    of = [_count(F.filter(spans, lambda x: x["base"]), k).alias(f"n_{k}") for k in pii.BASE]
+    base = F.sha2(pii.listed(F.filter(spans, lambda x: x["base"])).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *of, base, pii.listed(spans).alias("spans"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 collocations of every language."""
     docs = table(spark, sf_dir, "documents").select("text", "lang")
@@ -136,6 +146,7 @@ QUERIES = {
     "op9_best_fit_shards": op9_best_fit_shards,
     "op10_secret_scan": op10_secret_scan,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_personal_data": op12_personal_data,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 ORACLES: dict[str, str] = {

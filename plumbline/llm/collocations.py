@@ -19,14 +19,15 @@ LEAST = 100
 LONGEST = 5
 #: Words that a task works on at once, and distinct ones that it counts before it hands them on.
 WORDS_AT_ONCE = 2_000_000
-WORDS_KEPT = 400_000
+WORDS_KEPT = 800_000
 #: Words for each route; a route is what one task sorts.
-ROUTE_WORDS = 600_000
-#: Windows that a task draws out of WORDS_AT_ONCE words, and the most that choose the routes' bounds.
-DRAWN = 512
+ROUTE_WORDS = 1_500_000
+#: Words looked at together for one draw, the windows drawn out of them, and the most that choose routes' bounds.
+DRAW_WORDS = 200_000
+DRAWN = 64
 DRAWN_IN_ALL = 200_000
-#: Bits of the filter of frequent words.
-FILTER_BITS = 24
+#: A filter of frequent words or pairs has two to this power of bits (8 MB).
+FILTER_BITS = 26
 #: Parts of a language that are ranked before their first rows are ranked together.
 RANK_PARTS = 64
 # fixed values: letters to lower, signs that end a piece (as an octet that UTF-8 never holds)
@@ -72,7 +73,7 @@ def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tupl
         yield held
 
 
-def units(docs: DataFrame, longest: int = LONGEST, at_once: int = WORDS_AT_ONCE) -> DataFrame:
+def units(docs: DataFrame, longest: int = LONGEST, at_once: int = DRAW_WORDS) -> DataFrame:
     """(lang, word, n): how often each word occurs in each language. Rows whose ``word`` holds spaces are drawn
     windows of words; they choose bounds of routes and nothing else."""
 
@@ -83,7 +84,7 @@ def units(docs: DataFrame, longest: int = LONGEST, at_once: int = WORDS_AT_ONCE)
             step = max(1, sum(len(w) for _, w in group) // DRAWN)
             for lang, words in group:
                 kept[lang].update(words)
-                for at in range(step // 2 if len(words) > step else hash_free_place(words, step), len(words), step):
+                for at in range(step // 2 if len(words) > step else first_place(words, step), len(words), step):
                     window = words[at : at + longest]
                     window = window[: window.index(END)] if END in window else window
                     if len(window) > 1:
@@ -100,7 +101,7 @@ def units(docs: DataFrame, longest: int = LONGEST, at_once: int = WORDS_AT_ONCE)
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def hash_free_place(words: list[bytes], step: int) -> int:
+def first_place(words: list[bytes], step: int) -> int:
     """Where the first window of a short text is drawn, if any: by its length and first word, so that texts
     shorter than a step are drawn from in proportion."""
     return xxhash.xxh64_intdigest(words[0] if words else b"", len(words)) % step
@@ -118,37 +119,47 @@ def _counted(kept: dict[str, Counter]) -> pa.RecordBatch:
     return _rows(rows or [("und", b"", 0)])
 
 
-def frequent_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Whether a hash's lowest bits are those of any row: an array of fixed size, whatever the corpus."""
+def frequent_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Whether a hash's lowest bits are those of any row, as bits: an array of fixed size, whatever the corpus."""
     low = F.col("hash").bitwiseAND((1 << bits) - 1)
-    packed = hashes.select((low / 32768).cast("int").alias("block"), (low % 32768).alias("bit"))
-    out = np.zeros(max(1 << bits, 32768), np.uint8)
-    for row in packed.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("map")).collect():
-        out[row.block * 32768 : (row.block + 1) * 32768] = np.unpackbits(np.frombuffer(row["map"], np.uint8), bitorder="little")
-    return out[: 1 << bits].astype(bool)
+    blocks = hashes.select(F.shiftright(low, 15).cast("int").alias("block"), low.bitwiseAND(32767).alias("bit"))
+    out = np.zeros((1 << max(0, bits - 15), 4096), np.uint8)
+    for row in blocks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("map")).collect():
+        out[row.block] = np.frombuffer(row["map"], np.uint8)
+    return out.reshape(-1)[: 1 << max(0, bits - 3)]
 
 
-def bounds_of(drawn: DataFrame, known: np.ndarray, routes: int, seed: int, longest: int = LONGEST) -> np.ndarray:
-    """At most ``routes`` - 1 windows of hashes, in order, that part all windows into about equal shares. They
-    come from at most about ``DRAWN_IN_ALL`` drawn windows and decide balance only, never a result."""
+def passes(kept: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a filter lets through: all that it was made of, and a few others."""
+    low = hashes & np.uint64(8 * len(kept) - 1)
+    return (kept[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes."""
+    mixed = (first ^ (second * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x7F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
+
+def bounds_of(drawn: DataFrame, words: np.ndarray, pairs: np.ndarray, total: int, route_words: int, seed: int, longest: int = LONGEST) -> np.ndarray:
+    """Windows of hashes, in order, that part all windows into about equal shares of ``route_words`` of ``total``
+    words. They come from at most about ``DRAWN_IN_ALL`` drawn windows and decide balance only, never a result."""
     rows = drawn.count()
     if rows > DRAWN_IN_ALL:
         share = int(DRAWN_IN_ALL / rows * 1_000_000) + 1
         drawn = drawn.where(F.pmod(F.xxhash64("word", "lang"), F.lit(1_000_000)) < share)
-    windows, weights = [], []
+    windows, every = [], 0
     for row in drawn.collect():
-        window = word_hash(row.lang, row.word.encode().split(b" "), seed)
-        keep = next((i for i, h in enumerate(window) if not known[h & (len(known) - 1)]), len(window))
+        hashes = np.array(word_hash(row.lang, row.word.encode().split(b" "), seed), np.uint64)
+        go_on = np.append(passes(pairs, pair_hash(hashes[:-1], hashes[1:])) & passes(words, hashes[:-1]) & passes(words, hashes[1:]), False)
+        keep = int(go_on.argmin()) + 1
+        every += row.n
         if keep > 1:
-            windows.append((*window[:keep], *[0] * (longest - keep)))
-            weights.append(row.n)
-    order = sorted(range(len(windows)), key=windows.__getitem__)
-    total, reached, bounds = sum(weights), 0, []
-    for i in order:
-        if reached * routes >= (len(bounds) + 1) * total and len(bounds) < routes - 1:
-            bounds.append(windows[i])
-        reached += weights[i]
-    return np.array(sorted(set(bounds)), np.uint64).reshape(-1, longest)
+            windows += [(*hashes[:keep].tolist(), *[0] * (longest - keep))] * row.n
+    windows.sort()
+    routes = max(1, -(-total * len(windows) // max(1, every * route_words)))
+    bounds = {windows[len(windows) * i // routes] for i in range(1, routes)} if windows else set()
+    return np.array(sorted(bounds), np.uint64).reshape(-1, longest)
 
 
 def route_of(windows: list[np.ndarray], bounds: np.ndarray) -> np.ndarray:
@@ -170,9 +181,9 @@ def route_of(windows: list[np.ndarray], bounds: np.ndarray) -> np.ndarray:
     return low
 
 
-def windows_of(group: list[tuple[str, list[bytes]]], known: np.ndarray, seed: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of all suffixes that begin with two words of the filter, each distinct one once: hashes in
-    order (0 first, no word), codes (a column each place, 0 after the end of a window) and how often each occurs."""
+def codes_of(group: list[tuple[str, list[bytes]]], kept: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts that pass the filter: their hashes in order (0 first, no word), and a code for every word,
+    0 for others and between pieces and texts."""
     number = count(1)
     ids: list[int] = []
     of_lang: dict[str, defaultdict] = {}
@@ -185,51 +196,123 @@ def windows_of(group: list[tuple[str, list[bytes]]], known: np.ndarray, seed: in
     for lang, places in of_lang.items():
         del places[END]
         hashes[np.fromiter(places.values(), np.int64, len(places))] = np.array(word_hash(lang, list(places), seed), np.uint64)
-    hashes[~known[(hashes & np.uint64(len(known) - 1)).astype(np.int64)]] = 0
+    hashes[~passes(kept, hashes)] = 0
     ordered = np.unique(hashes)
     ordered = ordered if ordered[0] == 0 else np.concatenate([np.zeros(1, np.uint64), ordered])
-    codes = np.searchsorted(ordered, hashes).astype(np.uint32)[np.array(ids, np.int64)]
+    return ordered, np.searchsorted(ordered, hashes).astype(np.uint32)[np.array(ids, np.int64)]
+
+
+def pair_hashes(hashes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the pairs of neighbours in a piece."""
+    at = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
+    return at, pair_hash(hashes[codes[at]], hashes[codes[at + 1]])
+
+
+def windows_of(hashes: np.ndarray, codes: np.ndarray, pairs: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all suffixes, up to the first pair that does not pass the filter, each distinct one once and in
+    order: codes (a column each place, 0 after the end of a window) and how often each occurs."""
+    at, found = pair_hashes(hashes, codes)
+    first = at[passes(pairs, found)]
+    goes_on = np.zeros(len(codes) + longest, bool)
+    goes_on[first] = True
     codes = np.concatenate([codes, np.zeros(longest, np.uint32)])
-    first = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
     table = np.zeros((longest, len(first)), np.uint32)
     on = np.ones(len(first), bool)
     for d in range(longest):
-        table[d] = codes[np.minimum(first + d, len(codes) - 1)]
-        on &= table[d] > 0
-        table[d][~on] = 0
-    mixed = np.zeros(len(first), np.uint64)
-    for column in table:  # equal windows side by side; should others come between, a window is only counted in parts
-        mixed = (mixed ^ column) * np.uint64(11400714785074694791)
-        mixed ^= mixed >> np.uint64(29)
-    table = table[:, np.argsort(mixed)]
+        table[d] = np.where(on, codes[first + d], 0)
+        on &= goes_on[first + d]
+    table = table[:, in_order(table, len(hashes))]
     new = np.ones(table.shape[1], bool)
     new[1:] = (table[:, 1:] != table[:, :-1]).any(axis=0)
     starts = np.flatnonzero(new)
-    times = np.diff(np.append(starts, table.shape[1])).astype(np.uint32)
-    return ordered, table[:, starts], times
+    return table[:, starts], np.diff(np.append(starts, table.shape[1])).astype(np.uint32)
+
+
+def in_order(table: np.ndarray, codes: int) -> np.ndarray:
+    """The order of windows by their codes below ``codes``, as many columns a key as 64 bits hold."""
+    bits = max(1, int(codes - 1).bit_length())
+    keys = []
+    for at in range(0, len(table), 63 // bits):
+        key = np.zeros(table.shape[1], np.int64)
+        for column in table[at : at + 63 // bits]:
+            key = (key << bits) | column
+        keys.append(key)
+    return np.lexsort(keys[::-1])
 
 
 def packed(hashes: np.ndarray, table: np.ndarray, times: np.ndarray) -> bytes:
-    """Windows as octets: the hashes they hold, codes into them, how often each occurs."""
-    used, codes = np.unique(table, return_inverse=True)
-    width = np.dtype("<u2") if len(used) < 65536 else np.dtype("<u4")
-    head = np.array([table.shape[1], len(used), width.itemsize], "<u4")
-    return b"".join(x.tobytes() for x in (head, hashes[used].astype("<u8"), codes.reshape(table.shape).astype(width), times.astype("<u4")))
+    """Windows in order as octets: the hashes they hold, the most frequent first, codes into them with their lower
+    and higher octets apart, how often each occurs; all of it compressed."""
+    used, codes, often = np.unique(table, return_inverse=True, return_counts=True)
+    place = np.empty(len(used), np.uint32)
+    place[np.argsort(-often, kind="stable")] = np.arange(len(used), dtype=np.uint32)
+    words = np.empty(len(used), "<u8")
+    words[place] = hashes[used]
+    width = 2 if len(used) < 65536 else 4
+    planes = place[codes.reshape(table.shape)].astype("<u4").view(np.uint8).reshape(*table.shape, 4)[..., :width]
+    counts = times.astype("<u4").view(np.uint8).reshape(-1, 4)
+    body = b"".join([words.tobytes(), np.moveaxis(planes, -1, 1).tobytes(), counts.T.tobytes()])
+    head = np.array([table.shape[1], len(used), width, len(body)], "<u4")
+    return head.tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
 def unpacked(part: bytes, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m, width = np.frombuffer(part, "<u4", 3).tolist()
-    hashes = np.frombuffer(part, "<u8", m, 12)
-    codes = np.frombuffer(part, f"<u{width}", longest * n, 12 + 8 * m).reshape(longest, n)
-    return hashes, codes, np.frombuffer(part, "<u4", n, 12 + 8 * m + width * longest * n)
+    n, m, width, size = np.frombuffer(part, "<u4", 4).tolist()
+    body = pa.decompress(part[16:], decompressed_size=size, codec="zstd", asbytes=True)
+    hashes = np.frombuffer(body, "<u8", m)
+    planes = np.frombuffer(body, np.uint8, longest * width * n, 8 * m).reshape(longest, width, n).astype(np.uint32)
+    counts = np.frombuffer(body, np.uint8, 4 * n, 8 * m + longest * width * n).reshape(4, n).astype(np.uint32)
+    codes = sum(planes[:, i] << np.uint32(8 * i) for i in range(width))
+    return hashes, codes, sum(counts[i] << np.uint32(8 * i) for i in range(4))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as octets, the lowest of all first."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view("<u8").reshape(-1)
 
 
-def suffixes(docs: DataFrame, known: np.ndarray, bounds: np.ndarray, seed: int, longest: int = LONGEST, at_once: int = WORDS_AT_ONCE) -> DataFrame:
+def frequent_pairs(docs: DataFrame, words: np.ndarray, least: int, routes: int, seed: int, at_once: int = WORDS_AT_ONCE) -> DataFrame:
+    """(hash) of the pairs of words whose hash occurs at least ``least`` times. Their hashes go to routes by their
+    highest bits, each distinct one of a task once, as sorted differences."""
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _batches(batches, at_once):
+            found, times = np.unique(pair_hashes(*codes_of(group, words, seed))[1], return_counts=True)
+            cuts = np.searchsorted(found, np.array([(i << 64) // routes for i in range(routes)], np.uint64)).tolist()
+            for route, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(found)], strict=True)):
+                if a < b:
+                    part = planes(np.diff(found[a:b], prepend=np.uint64(0))) + planes(times[a:b])
+                    part = np.array([b - a], "<u4").tobytes() + pa.compress(part, codec="zstd", asbytes=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([route], pa.int32()), pa.array([part], pa.binary())], names=["route", "part"])
+
+    def count_up(key: tuple, rows: pa.Table) -> pa.Table:
+        found, times = [], []
+        for part in rows.column("part").to_pylist():
+            n = int(np.frombuffer(part, "<u4", 1)[0])
+            body = pa.decompress(part[4:], decompressed_size=16 * n, codec="zstd", asbytes=True)
+            found.append(np.cumsum(from_planes(body, n), dtype=np.uint64))
+            times.append(from_planes(body, n, 8 * n))
+        found, place = np.unique(np.concatenate(found), return_inverse=True)
+        sums = np.zeros(len(found), np.int64)
+        np.add.at(sums, place, np.concatenate(times).astype(np.int64))
+        return pa.table({"hash": pa.array(found[sums >= least].astype(np.int64))})
+
+    return _texts(docs).mapInArrow(routed, SUFFIXES).groupBy("route").applyInArrow(count_up, "hash long")
+
+
+def suffixes(
+    docs: DataFrame, words: np.ndarray, pairs: np.ndarray, bounds: np.ndarray, seed: int, longest: int = LONGEST, at_once: int = WORDS_AT_ONCE
+) -> DataFrame:
     """All suffixes as windows of up to ``longest`` words, by route."""
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _batches(batches, at_once):
-            hashes, table, times = windows_of(group, known, seed, longest)
+            hashes, codes = codes_of(group, words, seed)
+            table, times = windows_of(hashes, codes, pairs, longest)
             if not len(times):
                 continue
             route = route_of([hashes[column] for column in table], bounds)
@@ -321,17 +404,17 @@ def mine(
     often. The score is that of the lowest-scoring cut into two parts, the first of equals: 1000 a n / (l r),
     rounded down.
 
-    Words are counted first. Each suffix of a piece, as a window of its words up to the first infrequent one, goes
-    by its leading words to a route, a range in the order of windows, so that a hot word or phrase spreads over
-    many routes; equal windows of a task travel once. Bounds of routes come from a bounded draw of windows, which
+    Words are counted first, then pairs of frequent words, by their hashes. Each suffix of a piece, as a window of
+    its words up to the first infrequent word or pair, goes by its leading words to a route, a range in the order of
+    windows, so that a hot word or phrase spreads over many routes; equal windows of a task travel once. Bounds of routes come from a bounded draw of windows, which
     decides balance only: groups that hold a bound are summed over their routes. Words stand for their 64-bit
-    hashes once these are proven to differ; if two agree, another seed is taken. The filter of frequent words has a
-    fixed size; what it lets through in error costs volume, never a result.
+    hashes once these are proven to differ; if two agree, another seed is taken. The filters of frequent words and
+    pairs have a fixed size; what they let through in error costs volume, never a result.
 
     Null texts, empty texts and texts without words hold nothing; a null language is ``und``; repeated rows count
     each time; other columns are ignored. Empty tables give empty tables. Counts are exact up to 10^15 words.
     """
-    known = checkpointed(units(docs, longest, at_once))
+    known = checkpointed(units(docs, longest, min(at_once, DRAW_WORDS)))
     words = known.where("n > 0 and instr(word, ' ') = 0")
     seed = 0
     while True:
@@ -342,10 +425,12 @@ def mine(
         seed += 1
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = hashed.where(F.col("n") >= least).select("lang", "word", "hash", F.col("n").alias("f"))
+    total = frequent.agg(F.sum("f")).first()[0] or 0
     kept = frequent_filter(frequent, filter_bits)
-    routes = -(-(frequent.agg(F.sum("f")).first()[0] or 0) // route_words)
-    bounds = bounds_of(known.where("instr(word, ' ') > 0"), kept, max(1, routes), seed, longest)
-    counts = phrase_counts(suffixes(docs, kept, bounds, seed, longest, at_once), bounds, least, longest)
+    routes = max(1, -(-total // (4 * route_words)))
+    pairs = frequent_filter(frequent_pairs(docs, kept, least, routes, seed, at_once), filter_bits)
+    bounds = bounds_of(known.where("instr(word, ' ') > 0"), kept, pairs, total, route_words, seed, longest)
+    counts = phrase_counts(suffixes(docs, kept, pairs, bounds, seed, longest, at_once), bounds, least, longest)
     counts = checkpointed(counts.withColumn("words", (F.octet_length("key") / 8).cast("int")))
     single = frequent.withColumn("key", _key(F.col("hash")))
 

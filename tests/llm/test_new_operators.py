@@ -301,7 +301,7 @@ def random_texts(seed, n):
     return texts
 
 
-@pytest.mark.parametrize("route_words,at_once,bits", [(600_000, 2_000_000, 24), (40, 60, 24), (7, 25, 3)])
+@pytest.mark.parametrize("route_words,at_once,bits", [(600_000, 2_000_000, 24), (40, 60, 24), (7, 25, 4)])
 def test_phrases_against_plain_code(spark, route_words, at_once, bits):
     texts = random_texts(route_words, 120) + [(None, "en"), ("", None), ("...", "en"), ("hot " * 3000, "en"), ("a b c dd a b c dd", "xx")] + [("Ab cd, ef", "xx")] * 9
     docs = spark.createDataFrame([(i, t, x, 1) for i, (t, x) in enumerate(texts)], "doc_id long, text string, lang string, n int").repartition(3)

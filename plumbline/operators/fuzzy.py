@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.bands import can_reach, measure_names, part_ranges
 from plumbline.operators.matching import (
     MAX_TASKS,
     PART,
@@ -58,8 +59,9 @@ def leaders(
     that fit into ``heads`` are done after one round. After ``rounds``, once a round no longer halves what is
     left, the rest, which has no leader so far and therefore few matches, is settled from its matches.
     """
-    todo, _, _ = placed(texts, "block", part)
+    todo, _, tiles = placed(texts, "block", columns, part)
     todo = checkpointed(todo)
+    ranges = part_ranges(todo.where("bin < 0"), columns) if tiles else None
     done: list[DataFrame] = []
     before = None
     while True:
@@ -69,9 +71,9 @@ def leaders(
             break
         worthwhile = largest <= heads or (before is not None and 2 * left <= before)
         if len(done) >= rounds and not worthwhile:
-            done.append(_settle(todo.drop("m", "parts", "bin", "hot", "part"), columns, threshold, part))
+            done.append(_settle(todo.drop("m", "parts", "bin", "hot", "part", *measure_names(columns)), columns, threshold, part))
             break
-        seated, todo = _seat(todo, seat_groups(seats, part), columns, threshold, heads)
+        seated, todo = _seat(todo, seat_groups(seats, part), columns, threshold, heads, ranges)
         done.append(seated)
         before = left
     if not done:
@@ -85,10 +87,13 @@ def seat_groups(seats: int, part: int = PART) -> int:
     return max(1, -(-seats // part))
 
 
-def _seat(todo: DataFrame, groups: int, columns: int, threshold: float, heads: int) -> tuple[DataFrame, DataFrame]:
+def _seat(
+    todo: DataFrame, groups: int, columns: int, threshold: float, heads: int, ranges: DataFrame | None
+) -> tuple[DataFrame, DataFrame]:
     id_type = todo.schema["first_row"].dataType.simpleString()
     order = Window.partitionBy("block").orderBy("first_row")
-    head = todo.withColumn("place", F.row_number().over(order)).where(F.col("place") <= heads).drop("place")
+    head = todo.withColumn("place", F.row_number().over(order)).where(F.col("place") <= heads)
+    head = head.drop("place", *measure_names(columns))
 
     def seat(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("first_row").reset_index(drop=True)
@@ -117,9 +122,11 @@ def _seat(todo: DataFrame, groups: int, columns: int, threshold: float, heads: i
     if rest.isEmpty():
         return seated, rest
     chiefs = todo.join(seated.where("first_row = leader").select("first_row"), "first_row", "left_semi")
-    # leaders go to every part of their block
-    chiefs = chiefs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    chiefs = chiefs.select(*[F.col(c).alias(c) for c in chiefs.columns])
+    if ranges is not None:  # leaders go to every part of their block that can hold a text alike
+        near = chiefs.where("bin < 0").join(hinted(ranges), "hot").where(can_reach(threshold, columns, None))
+        near = near.withColumn("part", F.col("other")).select(*chiefs.columns)
+        chiefs = chiefs.where("bin >= 0").unionByName(near)
+    chiefs = chiefs.select(*[F.col(c).alias(c) for c in chiefs.columns if c not in measure_names(columns)])
 
     def take_in(later: pd.DataFrame, leading: pd.DataFrame) -> pd.DataFrame:
         result = pd.DataFrame({"first_row": later["first_row"], "leader": pd.Series([None] * len(later), dtype=object)})
@@ -142,7 +149,8 @@ def _seat(todo: DataFrame, groups: int, columns: int, threshold: float, heads: i
 
     keys = ["bin", "hot", "part"]
     tasks = rest.select(*keys).distinct().count()
-    later, leading = (side.repartition(min(tasks, MAX_TASKS), *keys).groupBy(*keys) for side in (rest, chiefs))
+    sides = (rest.drop(*measure_names(columns)), chiefs)
+    later, leading = (side.repartition(min(tasks, MAX_TASKS), *keys).groupBy(*keys) for side in sides)
     taken = checkpointed(later.cogroup(leading).applyInPandas(take_in, f"first_row {id_type}, leader {id_type}"))
     absorbed = taken.where(F.col("leader").isNotNull())
     left_over = rest.join(absorbed, "first_row", "left_anti")

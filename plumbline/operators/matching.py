@@ -1,9 +1,10 @@
 """Distinct texts to compare, and the bounded tiles they are compared in.
 
 Rows are first reduced to distinct texts, so any number of copies costs one comparison partner. A group
-of texts to compare within (a block, or a found group) is cut by a hash into parts of bounded size when it
+of texts to compare within (a block, or a found group) is cut by length into parts of bounded size when it
 is large, and every pair of parts is a tile of its own: no task holds a whole large group, and its work is
-spread over as many tasks as it has tiles. Small groups share a tile. Pairs exist only as array positions
+spread over as many tasks as it has tiles. With a threshold, tiles that no similarity can reach are not built
+and texts go to no part without a possible partner. Small groups share a tile. Pairs exist only as array positions
 inside a task; what leaves it are matches or sums. (The scheme is block-split load balancing of published
 entity-resolution work.)
 """
@@ -22,7 +23,8 @@ from pyspark.sql import types as T
 from plumbline.functions.columns import nan_as_null, ref
 from plumbline.functions.similarity import Records
 from plumbline.functions.text import block_key, sorted_tokens, text_of
-from plumbline.plans.scale import checkpointed, join_counted_keys
+from plumbline.operators.bands import can_reach, cut_at, measure_names, measured, part_ranges, partners
+from plumbline.plans.scale import checkpointed, hinted, join_counted_keys
 
 #: Texts per part of a large group; a tile holds at most about twice as many.
 PART = 1_000
@@ -70,9 +72,9 @@ class Tiled:
         return self.rows.repartition(self.tasks, *self.KEYS).groupBy(*self.KEYS).applyInPandas(function, schema)
 
 
-def placed(texts: DataFrame, group: str, part: int = PART) -> tuple[DataFrame, int, int]:
-    """Texts of groups with two or more, with ``bin``, ``hot`` (the group, if cut), ``parts`` and ``part``;
-    also the numbers of bins and of tiles."""
+def placed(texts: DataFrame, group: str, columns: int, part: int = PART) -> tuple[DataFrame, int, int]:
+    """Texts of groups with two or more, with their measures, ``bin``, ``hot`` (the group, if cut), ``parts`` and
+    ``part``; also the numbers of bins and of pairs of parts."""
     sizes = checkpointed(texts.groupBy(group).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1))
     parts = F.ceil(F.col("m") / F.lit(part)).cast("int")
     small, tiles = sizes.agg(
@@ -80,23 +82,31 @@ def placed(texts: DataFrame, group: str, part: int = PART) -> tuple[DataFrame, i
         F.coalesce(F.sum(F.when(parts > 1, parts.cast("bigint") * (parts + 1) / 2)), F.lit(0)).cast("bigint"),
     ).first()
     bins = max(1, -(-small // part))
-    rows = join_counted_keys(texts, sizes, [group], size="m", written=True).withColumn("parts", parts)
-    whole = F.col("parts") == 1
-    rows = rows.select(
-        "*",
-        F.when(whole, F.pmod(F.xxhash64(group), F.lit(bins))).otherwise(-1).cast("bigint").alias("bin"),
-        F.when(whole, "").otherwise(F.col(group).cast("string")).alias("hot"),
-        F.when(whole, 0).otherwise(F.pmod(F.xxhash64("first_row"), F.col("parts"))).cast("int").alias("part"),
+    rows = measured(join_counted_keys(texts, sizes, [group], size="m", written=True).withColumn("parts", parts), columns)
+    whole = rows.where("parts = 1").select(
+        "*", F.pmod(F.xxhash64(group), F.lit(bins)).alias("bin"), F.lit("").alias("hot"), F.lit(0).alias("part")
     )
-    return rows, bins, tiles
-
-
-def tiled(texts: DataFrame, group: str, part: int = PART) -> Tiled:
-    """Every text once per tile that compares it; all pairs within a group meet in exactly one tile."""
-    rows, bins, tiles = placed(texts, group, part)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    if not tiles:
+        return whole, bins, tiles
+    cut = cut_at(rows.where("parts > 1"), group, columns, part)
+    cut = cut.withColumns({"bin": F.lit(-1).cast("bigint"), "hot": F.col(group).cast("string")})
+    return whole.unionByName(cut), bins, tiles
+
+
+def tiled(texts: DataFrame, group: str, part: int = PART, columns: int = 0, threshold: float | None = None) -> Tiled:
+    """Every text once per tile that compares it; all pairs within a group that can reach ``threshold`` meet in
+    exactly one tile."""
+    rows, bins, tiles = placed(texts, group, columns, part)
+    if tiles and threshold is not None:
+        rows = checkpointed(rows)
+        pairs = checkpointed(partners(part_ranges(rows.where("bin < 0"), columns), columns, threshold))
+        tiles = pairs.where("part <= other").count()
+        others = rows.where("bin < 0").join(hinted(pairs), ["hot", "part"]).where(can_reach(threshold, columns, None))
+        rows = rows.where("bin >= 0").withColumn("other", F.lit(0)).unionByName(others.select(*rows.columns, "other"))
+    else:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"part_a": F.least("part", "other"), "part_b": F.greatest("part", "other")})
-    return Tiled(rows.drop("other", "parts", "m"), int(min(max(bins + tiles, 1), MAX_TASKS)))
+    return Tiled(rows.drop("other", "parts", "m", *measure_names(columns)), int(min(max(bins + tiles, 1), MAX_TASKS)))
 
 
 def tile_pairs(tile: pd.DataFrame, group: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -153,7 +163,7 @@ def similar_pairs(texts: DataFrame, group: str, columns: int, threshold: float |
         return pd.concat(found) if found else pd.DataFrame(columns=[group, "a", "b", "n_a", "n_b", "similarity"])
 
     schema = f"`{group}` {group_type}, a {id_type}, b {id_type}, n_a bigint, n_b bigint, similarity double"
-    return tiled(texts, group, part).apply(compare, schema)
+    return tiled(texts, group, part, columns, threshold).apply(compare, schema)
 
 
 def group_similarity(texts: DataFrame, group: str, columns: int, part: int = PART) -> DataFrame:

@@ -152,3 +152,60 @@ def test_hot_keys_leave_before_the_shuffle(spark):
     assert found.count() == 4000 and found.where("k = 0").count() == 2000
     assert "LeftAnti" in found._jdf.queryExecution().optimizedPlan().toString()
     assert scale.bounded(rows, 10) is None and scale.bounded(rows.limit(5), 10).count() == 5
+
+
+def mixed_texts(seed: int, n: int) -> list[tuple]:
+    """Texts of very different lengths and letters, many of them nearly alike."""
+    rng = random.Random(seed)
+    made = []
+    while len(made) < n:
+        letters = rng.choice(["abcdef ", "0123456789", "aceg13 ", "xyzbdf é", "ace bdf024135"])
+        text = "ab" + "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 4, 7, 12, 20, 33, 70])))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(text) + 1)
+            made.append(text[:at] + rng.choice(["", "a", " x", "9"]) + text[at + rng.randrange(2) :])
+    return [(t, rng.choice([None, "", "ab", "abc" * rng.randrange(9)])) for t in made[:n]]
+
+
+@pytest.mark.parametrize("columns, threshold, part", [(1, 85.0, 12), (1, 60.0, 5), (2, 85.0, 9), (2, 70.0, 20)])
+def test_banded_tiles_find_the_pairs_of_all_tiles(spark, columns, threshold, part):
+    rows = mixed_texts(columns * part, 220)
+    df = frame(spark, [(a, "abz" if columns == 1 else b) for a, b in rows])
+    texts = checkpointed(matching.distinct_texts(df, ["a", "b"][:columns], "id").withColumn("grp", models_group()))
+    full = matching.tiled(texts, "grp", part, columns)
+    banded = matching.tiled(texts, "grp", part, columns, threshold)
+    pairs = lambda threshold: {
+        (p["a"], p["b"]): p["similarity"] for p in matching.similar_pairs(texts, "grp", columns, threshold, part).collect()
+    }
+    every, found = pairs(None), pairs(threshold)
+    assert found == {k: s for k, s in every.items() if s >= threshold} and found
+    count = lambda t: t.rows.select(*t.KEYS).distinct().count()
+    assert len(every) == texts.count() * (texts.count() - 1) // 2
+    assert count(banded) <= count(full) and banded.rows.count() < full.rows.count()
+    if columns == 1 and threshold >= 85:
+        assert count(banded) < 0.8 * count(full) and banded.rows.count() < 0.6 * full.rows.count()
+
+
+def models_group():
+    from pyspark.sql import functions as F
+
+    return F.lit("one")
+
+
+def test_bounds_hold_for_every_pair(spark):
+    """No pair's similarity exceeds what parts and rows are ruled out by."""
+    from plumbline.operators import bands
+
+    df = frame(spark, [(a, None) for a, _ in mixed_texts(3, 150)])
+    texts = checkpointed(matching.distinct_texts(df, ["a"], "id").withColumn("grp", models_group()))
+    every = matching.similar_pairs(texts, "grp", 1, None, 10)
+    rows = checkpointed(matching.placed(texts, "grp", 1, 10)[0])
+    ranges = bands.part_ranges(rows, 1)
+    for threshold in (50.0, 85.0):
+        near = {(r["first_row"], r["other"]) for r in rows.join(ranges, "hot").where(bands.can_reach(threshold, 1, None)).collect()}
+        parts = {(r["part"], r["other"]) for r in bands.partners(ranges, 1, threshold).collect()}
+        of = {r["first_row"]: r["part"] for r in rows.collect()}
+        for p in every.where(f"similarity >= {threshold}").collect():
+            assert (p["a"], of[p["b"]]) in near and (p["b"], of[p["a"]]) in near
+            assert (of[p["a"]], of[p["b"]]) in parts and (of[p["b"]], of[p["a"]]) in parts
+        assert len(near) < rows.count() * ranges.count()

@@ -60,20 +60,39 @@ def is_outlier(name: str, quartiles: tuple[float, float] | None) -> str:
     return f"({quoted(name)} < {number(low - reach)} OR {quoted(name)} > {number(high + reach)})"
 
 
+def group_outliers(shape: Shape, quartiles: dict[str, tuple[str, str]]) -> Check:
+    """Outliers per numeric column in each group of rows that carry the quartiles of their group: the names of
+    the two columns that hold them."""
+    tests, ends, measures = {}, {}, {}
+    for i, n in enumerate(shape.names):
+        if n in quartiles:
+            low, high = map(quoted, quartiles[n])
+            reach = f"{FENCE}D * ({high} - {low})"
+            tests[n] = f"({quoted(n)} < {low} - {reach} OR {quoted(n)} > {high} + {reach})"
+            ends[n] = (f"q1_{i}", f"q3_{i}")
+            measures |= {f"q1_{i}": f"max({low})", f"q3_{i}": f"max({high})"}
+    return _outliers(shape, tests, ends, measures)
+
+
 def outliers(shape: Shape, quartiles: dict[str, tuple[float, float] | None]) -> Check:
     """Outliers per numeric column over all rows. The score adds up the columns, so it may fall
     below zero."""
+    tests = {n: is_outlier(n, quartiles.get(n)) for n in shape.numerics}
+    ends = {n: (number(q[0]), number(q[1])) for n, q in quartiles.items() if q is not None}
+    return _outliers(shape, tests, ends, {})
+
+
+def _outliers(shape: Shape, tests: dict[str, str], ends: dict[str, tuple[str, str]], measures: dict[str, str]) -> Check:
     counts = {n: f"outlier_{i}" for i, n in enumerate(shape.names) if n in shape.numerics}
     found = total(list(counts.values()))
     parts = []
     for n, c in counts.items():
-        ends = quartiles.get(n)
-        detail = None if ends is None else {"q1": number(ends[0]), "q3": number(ends[1])}
+        detail = {"q1": ends[n][0], "q3": ends[n][1]} if n in ends else None
         value = rounded(share(c, "rows", 0))
         parts.append(metric(DIMENSION, RANGE, value, c, "rows", column=n, detail=detail, when=f"{c} > 0"))
     score = rounded(f"100 - {share(found, 'rows', 0)}")
     return Check(
-        {"rows": "count(*)", **{c: f"count_if({is_outlier(n, quartiles.get(n))})" for n, c in counts.items()}},
+        {"rows": "count(*)", **{c: f"count_if({tests[n]})" for n, c in counts.items()}, **measures},
         (metric(DIMENSION, RANGE, score, found, "rows"), *parts),
     )
 

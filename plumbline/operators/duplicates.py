@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,13 +116,16 @@ def one_of_each(df: DataFrame, keys: list[str], *pick: Column, max_rows: int = B
     return alone.unionByName(reduce(hashed.join(few, DIGEST, "left_semi")))
 
 
-def surplus_rows(df: DataFrame, keys: list[str], nulls_equal: bool, sets: DataFrame | None = None) -> DataFrame:
-    """One row: ``rows`` and the ``extra`` rows beyond the first of each duplicate set, if they are not
-    given computed here."""
+def surplus_rows(
+    df: DataFrame, keys: list[str], nulls_equal: bool, sets: DataFrame | None = None, groups: Sequence[str] = ()
+) -> DataFrame:
+    """``rows`` and the ``extra`` rows beyond the first of each duplicate set, if they are not given computed
+    here: one row, or one for each of ``groups``, within which rows are compared."""
     if sets is None:
-        sets = duplicate_sets(df, keys, nulls_equal=nulls_equal)
-    extra = sets.agg(
+        sets = duplicate_sets(df, [*groups, *keys], nulls_equal=nulls_equal)
+    held = [ref(g) for g in groups]
+    extra = sets.groupBy(*held).agg(
         F.lit(0).cast("bigint").alias("rows"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("extra")
     )
-    rows = df.agg(F.count(F.lit(1)).alias("rows"), F.lit(0).cast("bigint").alias("extra"))
-    return rows.unionByName(extra).agg(F.sum("rows").alias("rows"), F.sum("extra").alias("extra"))
+    rows = df.groupBy(*held).agg(F.count(F.lit(1)).alias("rows"), F.lit(0).cast("bigint").alias("extra"))
+    return rows.unionByName(extra).groupBy(*held).agg(F.sum("rows").alias("rows"), F.sum("extra").alias("extra"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,24 +31,25 @@ def _comparable(field: T.StructField) -> tuple[str, Column]:
     return "text", value.cast("string")
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column, value, n)`` for every distinct non-null value; the value as text.
+def value_counts(df: DataFrame, columns: list[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """``(column, value, n)`` for every distinct non-null value, per group of ``keys`` if given; the value as text.
 
     Columns of one type are unpivoted and counted together in that type, each scan reading its own
     columns only, and turned to text after counting. Map-side combining takes care of hot values.
     """
     chosen = [f for f in df.schema.fields if columns is None or f.name in columns]
     families: dict[str, list[Column]] = {}
+    held = [ref(k) for k in keys]
     for field in chosen:
         family, value = _comparable(field)
         families.setdefault(family, []).append(value.alias(field.name))
     counted = [
-        df.select(*values)
-        .unpivot([], [ref(n) for n in _names(chosen, family)], "column", "value")
+        df.select(*held, *values)
+        .unpivot(held, [ref(n) for n in _names(chosen, family)], "column", "value")
         .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
+        .groupBy(*held, "column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("column", F.col("value").cast("string").alias("value"), "n")
+        .select(*held, "column", F.col("value").cast("string").alias("value"), "n")
         for family, values in families.items()
     ]
     return reduce(DataFrame.unionByName, counted)
@@ -99,6 +101,17 @@ def distinct_counts(
     )
 
 
+def distinct_counts_by(df: DataFrame, columns: list[str], keys: Sequence[str]) -> DataFrame:
+    """``(keys, column, distinct, present)`` per group and column, columns without values included."""
+    held = [ref(k) for k in keys]
+    counted = value_counts(df, columns, keys).groupBy(*held, "column").agg(
+        F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("present")
+    )
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("distinct", "present")]
+    listed = df.select(*held).distinct().select(*held, F.explode(F.array(*map(F.lit, columns))).alias("column"), *none)
+    return counted.unionByName(listed).groupBy(*held, "column").agg(F.sum("distinct").alias("distinct"), F.sum("present").alias("present"))
+
+
 def top_values(counts: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` most frequent values per column with their ``rank``; ties by value.
 

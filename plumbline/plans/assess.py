@@ -9,13 +9,15 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import Shape, nan_as_null
+from plumbline.functions.columns import Shape, nan_as_null, ref
 from plumbline.operators import accuracy, completeness, consistency, uniqueness, validity
 from plumbline.operators.check import METRIC_SCHEMA, Check, run_checks
+from plumbline.operators.group_quantiles import group_quantiles
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.rules import RULE_SCHEMA, alerts_of, judge, verdicts
 from plumbline.operators.shared import Shared
 from plumbline.operators.scoring import dimension_scores, overall_score
+from plumbline.plans.scale import join_counted_keys
 
 
 def single_pass_checks(shape: Shape, quartiles: dict) -> list[Check]:
@@ -115,19 +117,23 @@ def assess(
 def assess_groups(
     df: DataFrame, keys: Sequence[str], exclude: Sequence[str] = (), checks: Sequence[Check] | None = None
 ) -> DataFrame:
-    """Metric rows per group of ``keys`` in one aggregation, for the checks that need a single pass and no
-    quartiles: a history of many datasets or days is one job, not one per group."""
+    """Metric rows of all checks per group of ``keys``: a history of many datasets or days is one job, not one
+    per group. The checks of a single pass share one aggregation, with the outliers among them once the quartiles
+    of every group are known; repeated rows and distinct values are found within groups. With ``checks`` only
+    those, without quartiles."""
     df = nan_as_null(df)
     shape = Shape.of(df, [*exclude, *keys])
-    chosen = checks or [
-        completeness.overall(shape),
-        completeness.by_column(shape),
-        completeness.blanks(shape),
-        accuracy.types(shape),
-        accuracy.formats(shape),
-        consistency.letter_case(shape),
-        consistency.date_formats(shape),
-        consistency.date_order(shape),
-        validity.negative_amounts(shape),
-    ]
-    return run_checks(df, chosen, keys)
+    if checks:
+        return run_checks(df, checks, keys)
+    held = [f"__group_{i}" for i in range(len(keys))]  # so that a key may have any name
+    rows = df.select(*[ref(k).alias(h) for h, k in zip(held, keys)], *[ref(n) for n in shape.names])
+    chosen = [c for c in single_pass_checks(shape, {}) if not any(accuracy.RANGE in m for m in c.metrics)]
+    ends = {n: (f"__q{i}_0", f"__q{i}_1") for i, n in enumerate(shape.numerics)}
+    fenced = rows
+    if ends:
+        quartiles = group_quantiles(rows, held, shape.numerics, [0.25, 0.75])
+        fenced = join_counted_keys(rows, quartiles, held, size="__rows")
+    fused = run_checks(fenced, [*chosen, accuracy.group_outliers(shape, ends)], held)
+    found = fused.unionByName(uniqueness.row_uniqueness(rows, shape, keys=held))
+    found = found.unionByName(uniqueness.column_uniqueness(rows, shape, keys=held))
+    return found.withColumnsRenamed(dict(zip(held, keys)))

@@ -42,3 +42,30 @@ def test_whole_numbers_and_single_row(spark):
     for direct in (0, 10_000):
         assert exact_quantiles(df, ["d", "s"], [0.25, 0.5], direct_rows=direct) == {"d": [249.75, 499.5], "s": [249.75, 499.5]}
     assert exact_quantiles(df, [], [0.5]) == {}
+
+
+@pytest.mark.parametrize("settings", [{}, {"accuracy": 20, "gather_rows": 0}, {"accuracy": 20, "gather_rows": 5}, {"accuracy": 50, "gather_rows": 100}])
+def test_group_quantiles_match_numpy(spark, settings):
+    from plumbline.operators.group_quantiles import group_quantiles
+
+    data, rng, probs = columns(4, 2500), random.Random(9), [0.0, 0.25, 0.9]
+    data = {c: data[c] for c in ("tied", "third", "gaps", "none")}
+    del data["gaps"][:5]
+    data["gaps"] = data["gaps"] + [None] * 5
+    names = list(data)
+    keys = [(rng.choice(["a", "a", "a", None, "b"]), rng.randrange(2)) for _ in range(2490)] + [("one", 0), ("two", 7), ("two", 7)] + [("c", 1)] * 7
+    rows = [(*k, *v) for k, v in zip(keys, zip(*data.values()))]
+    df = nan_as_null(spark.createDataFrame(rows, "g string, `h.x` int, " + ", ".join(f"`{c}` double" for c in names)).repartition(5))
+    found = {(r["g"], r["h.x"]): r for r in group_quantiles(df, ["g", "h.x"], names, probs, **settings).collect()}
+    assert set(found) == set(keys)
+    for key, r in found.items():
+        own = [row for row in rows if row[:2] == key]
+        assert r["__rows"] == len(own)
+        for i, name in enumerate(names):
+            values = [row[2 + i] for row in own if row[2 + i] is not None and row[2 + i] == row[2 + i]]
+            got = [r[f"__q{i}_{j}"] for j in range(len(probs))]
+            if values:
+                np.testing.assert_allclose(got, np.quantile(values, probs), rtol=1e-12, err_msg=f"{name} {key}")
+            else:
+                assert got == [None] * len(probs)
+    assert group_quantiles(df.limit(0), ["g"], names, probs, **settings).count() == 0

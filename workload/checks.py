@@ -474,25 +474,46 @@ def _(spark, sf):
     return scoring.lowest_columns(scoring.with_ordinal(rows, shape.names)).select("column", "value")
 
 
-_GROUPED = """SELECT status, dimension, {avg} AS score FROM (
-  SELECT status, 'completeness' AS dimension, {complete} AS value FROM dirty_customer GROUP BY status
-  UNION ALL SELECT status, 'completeness', {mean} FROM dirty_customer GROUP BY status
-  UNION ALL SELECT status, 'validity', {valid} FROM dirty_customer GROUP BY status) GROUP BY status, dimension"""
-_REST = [c for c in DIRTY if c != "status"]
+# fixed values: the segments of customers
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+_REST, _REST_TEXT = ([c for c in names if c != "status"] for names in (DIRTY, TEXT))
+
+
+def _segment(segment: str) -> str:
+    """All metrics of the customers of one segment."""
+    found = table_metrics(
+        f"of_{segment}", _REST, _REST_TEXT, ["customer_id", "balance"],
+        [("email", "email"), ("phone", "phone"), ("zip_code", "zip")],
+        ["open_date", "close_date"], [("open_date", "close_date")], ["balance"],
+    )
+    return f"SELECT '{segment}' AS status, dimension, name, value FROM ({found}) WHERE EXISTS (FROM of_{segment})"
 
 
 @query(
     "assess_groups",
+    with_views(["dirty_customer"], *[f"of_{s} AS (SELECT * FROM dirty_customer WHERE status = '{s}')" for s in SEGMENTS])
+    + union(_segment(s) for s in SEGMENTS),
+)
+def _(spark, sf):
+    """Every check, outliers and uniqueness included, within each segment of customers."""
+    rows = assess_groups(view(spark, sf, "dirty_customer"), ["status"], ["row_id"])
+    return whole(rows, "status", "dimension", "name", "value")
+
+
+@query(
+    "outliers_by_group",
     V1
-    + _GROUPED.format(
-        avg=rnd("avg(CAST(value AS DECIMAL(18, 2)))"),
-        complete=rnd(f"({' + '.join(f'count({c})' for c in _REST)}) * 100.0 / (count(*) * {len(_REST)})"),
-        mean=rnd(f"({' + '.join(rnd(f'count({c}) * 100.0 / count(*)') for c in _REST)}) / {len(_REST)}.0"),
-        valid=rnd("(1 - count(*) FILTER (balance < 0) * 1.0 / count(*)) * 100"),
+    + union(
+        f"""SELECT status, '{c}' AS "column", count(*) AS outliers, CAST(any_value(q1) AS DOUBLE) AS q1,
+        CAST(any_value(q3) AS DOUBLE) AS q3 FROM dirty_customer JOIN (SELECT status, quantile_cont({c}, 0.25) AS q1,
+        quantile_cont({c}, 0.75) AS q3 FROM dirty_customer GROUP BY status) USING (status)
+        WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1) GROUP BY status"""
+        for c in ("customer_id", "balance")
     ),
 )
 def _(spark, sf):
-    df = nan_as_null(view(spark, sf, "dirty_customer"))
-    shape = Shape.of(df, ["row_id", "status"])
-    chosen = [completeness.overall(shape), completeness.by_column(shape), validity.negative_amounts(shape)]
-    return scoring.dimension_scores(assess_groups(df, ["status"], ["row_id"], chosen), ["status"])
+    """Outliers within each segment of customers, with the quartiles of the segment."""
+    rows = assess_groups(view(spark, sf, "dirty_customer"), ["status"], ["row_id"])
+    rows = rows.where((F.col("name") == accuracy.RANGE) & F.col("column").isNotNull())
+    ends = [F.col("detail")[q].cast("double").alias(q) for q in ("q1", "q3")]
+    return rows.select("status", "column", F.col("numerator").alias("outliers"), *ends)

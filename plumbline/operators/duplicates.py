@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import quoted, ref
-from plumbline.plans.scale import BROADCAST_ROWS, bounded, checkpointed, hinted, join_counted_keys
+from plumbline.plans.scale import BROADCAST_ROWS, checkpointed, hinted, join_counted_keys
 
 #: Up to this many key columns of fixed width the keys are shuffled as they are.
 NARROW_KEYS = 2
 DIGEST = "__digest"
+#: A filter of digests has two to this power of bits, in at most 2 ** (FILTER_BITS - 6) words of 64.
+FILTER_BITS = 26
 
 
 def is_narrow(df: DataFrame, keys: list[str]) -> bool:
@@ -33,22 +35,38 @@ def repeated_digests(df: DataFrame, keys: list[str]) -> DataFrame:
     return hashed.groupBy(DIGEST).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def duplicate_sets(
-    df: DataFrame, keys: list[str], *extra: Column, nulls_equal: bool, max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def digest_filter(digests: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``(__word, __mask)``: which lowest bits the digests have. Its size is bounded however many they are."""
+    low = f"{DIGEST} & {(1 << bits) - 1}L"
+    word, bit = F.expr(f"shiftright({low}, 6)"), F.expr(f"shiftleft(1L, cast({low} & 63 as int))")
+    return digests.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__mask"))
+
+
+def flagged(hashed: DataFrame, kept: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows with ``__hit``: whether their digest passes the filter. All digests it was made of do, and a few others;
+    rows stay where they are."""
+    low = f"{DIGEST} & {(1 << bits) - 1}L"
+    joined = hashed.join(F.broadcast(kept), F.expr(f"shiftright({low}, 6) = __word"), "left")
+    hit = F.expr(f"coalesce(getbit(__mask, cast({low} & 63 as int)) = 1, false)")
+    return joined.withColumn("__hit", hit).drop("__word", "__mask")
+
+
+def passing(hashed: DataFrame, kept: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    return flagged(hashed, kept, bits).where("__hit").drop("__hit")
+
+
+def duplicate_sets(df: DataFrame, keys: list[str], *extra: Column, nulls_equal: bool) -> DataFrame:
     """One row per set of two or more rows equal on ``keys``: the keys, its size ``__n`` and the ``extra``
     aggregates.
 
     With ``nulls_equal`` two nulls match; without, rows with a null key belong to no set. Wide keys are
-    first reduced to a hash; rows whose hash is alone have no twin and drop out by a broadcast semi-join,
-    if the repeated hashes are few. What is left is grouped on the columns themselves, so a hash collision
-    changes nothing.
+    first reduced to a hash; rows whose hash is alone have no twin and drop out where they are, by a filter of
+    the repeated hashes whose size is fixed. Only what is left moves, once, to be grouped on the columns
+    themselves, so neither a hash collision nor a row that the filter lets through changes anything.
     """
     rows = df if nulls_equal else df.dropna(subset=keys)
     if not is_narrow(df, keys):
-        few = bounded(repeated_digests(rows, keys).select(DIGEST), max_rows)
-        if few is not None:
-            rows = with_digest(rows, keys).join(F.broadcast(few), DIGEST, "left_semi")
+        rows = passing(with_digest(rows, keys), checkpointed(digest_filter(repeated_digests(rows, keys))))
     return (
         rows.groupBy(*[ref(k) for k in keys])
         .agg(F.count(F.lit(1)).alias("__n"), *extra)
@@ -67,12 +85,12 @@ def in_duplicate_sets(
     """The rows that belong to a duplicate set, with its ``__n`` and ``extra`` aggregates.
 
     Rows find their set by the hash alone where the hash stands for one set and nothing else, so what is
-    joined or broadcast is a few bytes per set however wide the keys are. Hashes that collide, next to
-    none, are joined on the columns.
+    joined or broadcast is a few bytes per set however wide the keys are; where rows have to move, only those
+    that the filter of these hashes lets through do. Hashes that collide, next to none, are joined on the columns.
     """
     rows = rows if nulls_equal else rows.dropna(subset=keys)
     if sets is None:
-        sets = duplicate_sets(rows, keys, *extra, nulls_equal=True, max_rows=max_rows)
+        sets = duplicate_sets(rows, keys, *extra, nulls_equal=True)
     if is_narrow(rows, keys):
         return join_counted_keys(rows, sets, keys, size="__n", max_rows=max_rows)
     sets = checkpointed(with_digest(sets, keys))
@@ -82,7 +100,9 @@ def in_duplicate_sets(
     counted = checkpointed(counted)
     hashed = with_digest(rows, keys)
     clean = counted.where("clean").select(DIGEST, *carried)
-    found = join_counted_keys(hashed, clean, [DIGEST], "__n", max_rows, written=True)
+    found = join_counted_keys(
+        hashed, clean, [DIGEST], "__n", max_rows, written=True, thin=lambda rows: passing(rows, checkpointed(digest_filter(clean)))
+    )
     found = found.drop(DIGEST)
     collided = counted.where("NOT clean").select(DIGEST)
     if collided.isEmpty():
@@ -104,16 +124,12 @@ def duplicate_rows(
     return found.select(*[ref(c) for c in df.columns])
 
 
-def one_of_each(df: DataFrame, keys: list[str], *pick: Column, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def one_of_each(df: DataFrame, keys: list[str], *pick: Column) -> DataFrame:
     """``df`` with the rows equal on ``keys``, nulls equal, reduced to one by the ``pick`` aggregates of all
-    its other columns. Rows whose hash is alone pass through where they are; only the others are shuffled."""
-    few = bounded(repeated_digests(df, keys).select(DIGEST), max_rows)
-    reduce = lambda rows: rows.groupBy(*[ref(k) for k in keys]).agg(*pick)
-    if few is None:
-        return reduce(df)
-    hashed, few = with_digest(df, keys), F.broadcast(few)
-    alone = hashed.join(few, DIGEST, "left_anti").drop(DIGEST)
-    return alone.unionByName(reduce(hashed.join(few, DIGEST, "left_semi")))
+    its other columns. Rows whose hash is alone pass through where they are, but for a few; the others move once."""
+    hashed = flagged(with_digest(df, keys), checkpointed(digest_filter(repeated_digests(df, keys)))).drop(DIGEST)
+    reduced = hashed.where("__hit").groupBy(*[ref(k) for k in keys]).agg(*pick)
+    return hashed.where("NOT __hit").drop("__hit").unionByName(reduced)
 
 
 def surplus_rows(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,17 +66,20 @@ def join_counted_keys(
     size: str = "n",
     max_rows: int = BROADCAST_ROWS,
     written: bool = False,
+    thin: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Inner join of ``rows`` to a table of distinct ``keys`` whose column ``size`` counts their rows.
 
     Few keys: one broadcast, ``rows`` do not move. Many keys: the hot ones (at most ``HOT_SHARE`` by
     construction) are broadcast to take their rows out, the other rows and keys are shuffled, where no key
     holds a large share any more. Should even the hot keys be too wide to broadcast, all are shuffled and skewed partitions split at run time.
-    Keys match null to null. ``keys`` are written out first unless they are ``written`` already.
+    Keys match null to null. ``keys`` are written out first unless they are ``written`` already. Before rows are
+    shuffled ``thin`` may take out, where they are, those that match no key.
     """
     keys = keys if written else checkpointed(keys)
     if is_small(keys, max_rows):
         return _null_safe_join(rows, F.broadcast(keys), on)
+    rows = thin(rows) if thin else rows
     total = keys.agg(F.sum(size)).first()[0]
     hot = F.col(size) > F.lit((total or 0) / HOT_SHARE)
     hottest, others = keys.where(hot), keys.where(~hot)

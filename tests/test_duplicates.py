@@ -41,6 +41,32 @@ def test_members_of_duplicate_sets(spark, monkeypatch, max_rows, keys):
     assert sorted(r["id"] for r in found.collect()) == expected
 
 
+@pytest.mark.parametrize("bits", [26, 7])
+def test_filter_lets_all_digests_through(spark, monkeypatch, bits):
+    monkeypatch.setattr(duplicates, "FILTER_BITS", bits)
+    rows = spark.range(2000).selectExpr("id", "xxhash64(id) AS __digest")
+    kept = duplicates.digest_filter(rows.where("id < 300"), bits)
+    assert kept.count() <= 1 << max(0, bits - 6)
+    found = {r["id"] for r in duplicates.passing(rows, kept, bits).collect()}
+    assert set(range(300)) <= found and (bits == 7 or len(found) < 310)
+
+
+def test_rows_without_a_twin_do_not_move(spark):
+    """One plan whatever the table holds: digests are counted, rows that pass the filter move once, by their keys."""
+    df = spark.range(3000).selectExpr("id", "concat('text ', cast(id % 2900 as string)) AS a", "id % 2900 AS b")
+    plan = duplicates.duplicate_sets(df, ["a", "b"], nulls_equal=True)._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moves) == 1 and "BroadcastHashJoin" in plan.split("Exchange hashpartitioning")[1]
+    merged = duplicates.one_of_each(df, ["a", "b"], F.min("id").alias("id"))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and merged.count() == 2900
+    # joining the rows of many sets moves only what passes the filter
+    found = duplicates.in_duplicate_sets(df, ["a", "b"], F.min("id").alias("first"), nulls_equal=True, max_rows=0)
+    assert sorted(r["id"] for r in found.collect()) == [*range(100), *range(2900, 3000)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan or "GetBit" in plan.replace("bitwise_get", "GetBit") or "__mask" in plan
+
+
 def test_colliding_hashes_are_told_apart(spark, monkeypatch):
     """A hash of the second column only makes unequal rows collide; results must not change."""
     rows = rows_of(4, 200)

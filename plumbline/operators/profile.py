@@ -12,7 +12,7 @@ from plumbline.operators.check import aggregated, table_of
 from plumbline.operators.duplicates import surplus_rows
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.shared import Shared
-from plumbline.operators.value_counts import distinct_counts, distinct_of, top_values, value_counts
+from plumbline.operators.value_counts import Counted, distinct_counts
 
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -139,8 +139,8 @@ def profile(df: DataFrame, exclude: list[str] | None = None, shared: Shared | No
     if shared:
         counted, ranked, quartiles = shared.distinct, shared.top, shared.quartiles
     else:
-        counts = value_counts(df, shape.names)
-        counted, ranked = distinct_of(counts), top_values(counts)
+        counts = Counted.of(df, shape.names)
+        counted, ranked = counts.distinct(), counts.top()
         quartiles = exact_quantiles(df, shape.numerics, QUARTILES)
     top = ranked.groupBy("column").agg(
         F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("ranked")

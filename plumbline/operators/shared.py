@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import Shape, nan_as_null, ref
 from plumbline.operators.duplicates import duplicate_sets
 from plumbline.operators.quantiles import exact_quantiles
-from plumbline.operators.value_counts import distinct_of, top_values, value_counts
+from plumbline.operators.value_counts import Counted
 from plumbline.plans.scale import checkpointed
 
 
@@ -28,9 +28,9 @@ class Shared:
     def of(cls, df: DataFrame, shape: Shape, row_id: str) -> Shared:
         df = nan_as_null(df)
         first = F.min(ref(row_id)).alias("__first")
-        counts = value_counts(df, shape.names)
+        counted = Counted.of(df, shape.names)
         # both come from one shuffle, in one job that leaves a few rows per column
-        kept = checkpointed(distinct_of(counts).unionByName(top_values(counts), allowMissingColumns=True))
+        kept = checkpointed(counted.distinct().unionByName(counted.top(), allowMissingColumns=True))
         return cls(
             exact_quantiles(df, shape.numerics, [0.25, 0.5, 0.75]),
             kept.where("rank IS NULL").select("column", "distinct", "present"),

@@ -146,3 +146,48 @@ def test_value_counts(spark):
     assert rough == {"i": (2, 3), "s": (2, 3), "f": (1, 1)}
     top = top_values(value_counts(df, ["s"]), k=1).collect()
     assert [(r["value"], r["n"]) for r in top] == [("a", 2)]
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_long_texts_are_counted_by_digest(spark, monkeypatch, k):
+    from collections import Counter as Times
+
+    from plumbline.operators import value_counts as vc
+
+    rng = random.Random(k)
+    word = lambda: "".join(rng.choice("abé ") for _ in range(rng.choice([50, 60, 200])))
+    pool = [word() for _ in range(8)]
+    rows = [(word() if i % 3 else rng.choice(pool), rng.choice(pool[:4]), word(), rng.choice(["x", "y", None]), "", f"{i:060}" if i < 40 else "z" * 60) for i in range(150)]
+    rows += [(None, None, None, None, None, None)] * 3
+    names = ["mixed", "few", "all different", "short", "empty", "hot"]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)).repartition(4)
+
+    def check():
+        counted = vc.Counted.of(df, names)
+        assert counted.digests is not None
+        distinct = {r["column"]: (r["distinct"], r["present"]) for r in counted.distinct().collect()}
+        top = sorted((r["column"], r["rank"], r["value"], r["n"]) for r in counted.top(k).collect())
+        want = []
+        for i, name in enumerate(names):
+            times = Times(r[i] for r in rows if r[i] is not None)
+            assert distinct[name] == (len(times), sum(times.values()))
+            ranked = sorted(times.items(), key=lambda x: (-x[1], x[0].encode()))[:k]
+            want += [(name, rank + 1, value, n) for rank, (value, n) in enumerate(ranked)]
+        assert top == sorted(want)
+
+    check()
+    # digests that several texts share are noticed and counted by text
+    strong, plain = F.xxhash64, vc.F
+    weak = lambda *columns: strong(*columns) if len(columns) > 1 else F.length(columns[0]).cast("bigint")
+    monkeypatch.setattr(vc, "F", type("Weak", (), {"__getattr__": lambda self, name: weak if name == "xxhash64" else getattr(plain, name)})())
+    check()
+
+
+def test_long_texts_do_not_move_whole(spark):
+    from plumbline.operators.value_counts import Counted
+
+    df = spark.range(500).selectExpr("concat(repeat('long text ', 9), cast(id % 400 as string)) AS t", "id")
+    counted = Counted.of(df, ["t", "id"])
+    plan = counted.distinct()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(column" in plan and "t#" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    assert {r["column"]: r["distinct"] for r in counted.distinct().collect()} == {"t": 400, "id": 500}

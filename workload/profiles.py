@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import nan_as_null
 from plumbline.operators import profile as p
-from plumbline.operators.value_counts import modes, top_values, value_counts
+from plumbline.operators.value_counts import Counted, modes_of, value_counts
 from workload.checks import LINEITEM, NUMERIC_LINE, dirty
 from workload.sql import DIRTY, TEXT, big, collection, rnd, union, with_views
 from workload.views import table
@@ -23,14 +24,13 @@ def _counts(columns: list[str], source: str) -> str:
     )
 
 
-_COUNTED = [*TEXT, "customer_id"]
 _TOP = f"""SELECT "column", value, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
 PARTITION BY "column" ORDER BY n DESC, value) AS rank FROM ({{counts}})) WHERE rank <= 5"""
 
 
-@query("value_counts", V1 + _counts(_COUNTED, "dirty_customer"))
+@query("value_counts", V1 + _counts(DIRTY, "dirty_customer"))
 def _(spark, sf):
-    return value_counts(dirty(spark, sf)[0], _COUNTED)
+    return value_counts(dirty(spark, sf)[0], DIRTY)
 
 
 @query(
@@ -108,20 +108,31 @@ def _(spark, sf):
     V1 + f"""SELECT "column", first(value ORDER BY n DESC, value) AS mode FROM ({_counts(TEXT, 'dirty_customer')}) GROUP BY 1""",
 )
 def _(spark, sf):
-    return modes(value_counts(dirty(spark, sf)[0], TEXT))
+    return modes_of(dirty(spark, sf)[0], TEXT)
 
 
-@query("profile_top_values", V1 + _TOP.format(counts=_counts(_COUNTED, "dirty_customer")))
+@query("profile_top_values", V1 + _TOP.format(counts=_counts(DIRTY, "dirty_customer")))
 def _(spark, sf):
-    return top_values(value_counts(dirty(spark, sf)[0], _COUNTED))
+    return Counted.of(dirty(spark, sf)[0], DIRTY).top()
 
 
-_WHOLE_LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+@query("profile_top_values_lineitem", _TOP.format(counts=_counts(LINEITEM, "lineitem")))
+def _(spark, sf):
+    return Counted.of(nan_as_null(table(spark, sf, "lineitem")), LINEITEM).top()
+
+
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@query("profile_top_values_documents", _TOP.format(counts=_counts(DOCUMENT, "documents")))
+def _(spark, sf):
+    """The most frequent values of all columns, whole texts among them."""
+    return Counted.of(table(spark, sf, "documents"), DOCUMENT).top()
 
 
-@query("profile_top_values_lineitem", _TOP.format(counts=_counts(_WHOLE_LINE, "lineitem")))
+@query("profile_distinct_documents", _distinct(DOCUMENT, "documents"))
 def _(spark, sf):
-    return top_values(value_counts(table(spark, sf, "lineitem"), _WHOLE_LINE))
+    return p.distinct_profile(table(spark, sf, "documents"))
 
 
 _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in DIRTY)

@@ -17,13 +17,20 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A value in quotes begins right behind its equals sign; any other quote is a character like others.
+_VALUE = r"=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=\s*+[^\s>\"'][^\s>]*+"
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"|<(/?)([A-Za-z][^\s/>]*)((?:{_VALUE}|[^>])*+)(?:>|\Z)",
+    re.S,
+)
 _MARK = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_OTHER = re.compile(r"[^a-z]+")
 
 
 class Node:
-    """An element: its tag, the words of its class, id and role, and its children, which are nodes or texts."""
+    """An element: its tag, the tokens of its class, id and role in small letters (what is no letter as one hyphen),
+    and its children, which are nodes or texts."""
 
     __slots__ = ("tag", "marks", "children")
 
@@ -38,7 +45,8 @@ class Node:
 def marks_of(attributes: str) -> tuple[str, ...]:
     words: list[str] = []
     for found in _MARK.finditer(attributes):
-        words += _WORDS.findall((found[2] or found[3] or found[4] or "").lower())
+        tokens = (found[2] or found[3] or found[4] or "").lower().split()
+        words += [w for w in (_OTHER.sub("-", t).strip("-") for t in tokens) if w]
     return tuple(dict.fromkeys(words))
 
 
@@ -103,57 +111,81 @@ def squeezed(text: str) -> str:
 
 
 class Shape:
-    """A tree for alignment: runs of like children are one repeated child, and texts are their digest."""
+    """A tree for alignment: like siblings are one repeated child; texts are those of all of them."""
 
-    __slots__ = ("label", "children", "text", "size")
+    __slots__ = ("label", "children", "text")
 
     def __init__(self, label: str, children: list[Shape], text: str):
         self.label, self.children, self.text = label, children, text
-        self.size = 1 + sum(c.size for c in children)
 
 
 def shape(node: Node) -> Shape:
-    """The shape of a tree, without recursion."""
-    out: dict[int, Shape] = {}
-    stack = [(node, False)]
+    """The shape of a tree, without recursion: the siblings of a label, and all under them, are one."""
+    top = Shape(node.label, [], "")
+    stack: list[tuple[Shape, list[Node]]] = [(top, [node])]
     while stack:
-        here, ready = stack.pop()
-        if not ready:
-            stack.append((here, True))
-            stack += [(c, False) for c in here.children if isinstance(c, Node)]
-            continue
-        merged: list[Shape] = []
-        for child in (out.pop(id(c)) for c in here.children if isinstance(c, Node)):
-            if merged and merged[-1].label == child.label:
-                last = merged[-1]
-                merged[-1] = last if last.size >= child.size else Shape(child.label, child.children, child.text)
-                merged[-1].text = last.text + "\n" + child.text
-            else:
-                merged.append(child)
-        own = squeezed(" ".join(c for c in here.children if isinstance(c, str))) if here.tag not in RAW else ""
-        out[id(here)] = Shape(here.label, merged, own)
-    return out[id(node)]
+        here, nodes = stack.pop()
+        texts = [c for n in nodes if n.tag not in RAW for c in n.children if isinstance(c, str)]
+        here.text = squeezed(" ".join(texts))
+        below: dict[str, list[Node]] = {}
+        for n in nodes:
+            for child in n.children:
+                if isinstance(child, Node):
+                    below.setdefault(child.label, []).append(child)
+        here.children = [Shape(label, [], "") for label in below]
+        stack += zip(here.children, below.values())
+    return top
 
 
 def matched(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
     """Simple tree matching: the most nodes that two trees share with the order of siblings and the labels on
-    the way down kept, and the pairs of nodes of one such match."""
+    the way down kept, and the pairs of nodes of one such match. Without recursion; of two lists of siblings only
+    the pairs of one label are kept, not a table of all."""
     if a.label != b.label:
         return 0, []
-    m, n = len(a.children), len(b.children)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    pairs = [[None] * n for _ in range(m)]
-    for i in range(m):
-        for j in range(n):
-            count, pairs[i][j] = matched(a.children[i], b.children[j])
-            best[i + 1][j + 1] = max(best[i + 1][j], best[i][j + 1], best[i][j] + count)
-    found, i, j = [(a, b)], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            found += pairs[i][j]
-    return best[m][n] + 1, found
+    done: dict[tuple[int, int], tuple[int, list[tuple[Shape, Shape]]]] = {}
+    stack: list[tuple[Shape, Shape, list | None]] = [(a, b, None)]
+    while stack:
+        x, y, pairs = stack.pop()
+        if pairs is None:
+            places: dict[str, list[int]] = {}
+            for j, child in enumerate(y.children):
+                places.setdefault(child.label, []).append(j)
+            pairs = [(i, j) for i, child in enumerate(x.children) for j in reversed(places.get(child.label, ()))]
+            stack.append((x, y, pairs))
+            stack += [(x.children[i], y.children[j], None) for i, j in pairs]
+            continue
+        chosen, count = _heaviest(pairs, [done[id(x.children[i]), id(y.children[j])][0] for i, j in pairs], len(y.children))
+        done[id(x), id(y)] = (count + 1, [(x.children[i], y.children[j]) for i, j in chosen])
+    found, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        found.append((x, y))
+        todo += reversed(done[id(x), id(y)][1])
+    return done[id(a), id(b)][0], found
+
+
+def _heaviest(pairs: list[tuple[int, int]], weights: list[int], n: int) -> tuple[list[tuple[int, int]], int]:
+    """The pairs of most weight that rise on both sides; ``pairs`` rise in their first place and, where that is the
+    same, fall in their second."""
+    best = [(0, -1)] * (n + 1)  # a tree of the best that ends before a place
+    before = []
+    for k, ((_, j), weight) in enumerate(zip(pairs, weights)):
+        top, at = (0, -1), j
+        while at > 0:
+            top = max(top, best[at])
+            at -= at & -at
+        before.append(top[1])
+        entry, at = (top[0] + weight, k), j + 1
+        while at <= n:
+            best[at] = max(best[at], entry)
+            at += at & -at
+    top, at = (0, -1), n
+    while at > 0:
+        top = max(top, best[at])
+        at -= at & -at
+    chosen, k = [], top[1]
+    while k >= 0:
+        chosen.append(pairs[k])
+        k = before[k]
+    return chosen[::-1], top[0]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from plumbline.llm import coverdedup, extraction, sharding, topk, urlfilter
 from plumbline.llm.covertree import CoverTree, dual
-from plumbline.llm.dom import Shape, matched, parse
+from plumbline.llm.dom import Shape, matched, parse, shape
 from plumbline.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -118,16 +118,127 @@ def test_main_text():
     assert extraction.main_text(PAGE) == "A & B\nOne two three\nfour <five>"
     assert extraction.main_text(None) == "" and extraction.main_text("") == "" and extraction.main_text("plain &am words") == "plain &am words"
     assert extraction.main_text("<article><p>" + "x " * 200_000) == ("x " * 200_000).strip()
-    assert extraction.main_text("<div>" * 3000 + "deep") == "deep"
+    assert extraction.main_text("<div>" * 20_000 + "deep") == "deep"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<article><p title=it's>hello</p><p>one</p><p>don't lose</p></article>", "hello\none\ndon't lose"),
+        ('<p class="a"">hello', "hello"),
+        ('<p class="abc>hello</p><p>x</p>', "hello\nx"),
+        ("<a href=/x?a=1&b='>t</a> u", "t u"),
+        ("<div id='content-sidebar-wrap'><article><p>in</p></article></div>", "in"),
+        ("<div class='page-with-sidebar sidebar'><article>in</article></div>", "in"),
+        ("<article><h2 id=related-work class=notice>Related</h2><p>x</p><p class='social-science'>y</p><p class=ad>z</p></article>", "Related\nx\ny"),
+        ("<article>a</article><div class='main-nav'>b</div><article>c</article>", "a\nc"),
+    ],
+)
+def test_markup_and_marks(html, text):
+    assert extraction.main_text(html) == text
+
+
+def hosts_without_marks(pages=5):
+    """Pages of two layouts without article, main or marks: boxes that never change around text that does. In the
+    first the unchanging box has most of the text."""
+    words = lambda kind, i, n: f"{kind} {i} " * n
+    rows, want = [], []
+    for i in range(pages):
+        rows.append(
+            f"<body><div class=k><p>{'We sell everything. ' * 60}</p></div><div class=x><h1>{words('head', i, 2)}</h1><p>{words('text', i, 20)}</p>"
+            f"<div class=q>Read more here</div><p>{words('more', i, 9)}</p></div><div class=z>Imprint</div></body>"
+        )
+        want.append("\n".join(words(*w).strip() for w in (("head", i, 2), ("text", i, 20), ("more", i, 9))))
+    return rows, want
+
+
+def texts_of(spark, pages, host="h.org"):
+    frame = spark.createDataFrame([(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in extraction.extract(frame).orderBy("page_id").collect()]
 
 
-def test_wrapper_names_the_varying_slot():
-    page = "<html><body><div class='top'>Site name</div><div class='body'><p>{}</p><p>{}</p></div><div class='end'>Imprint</div></body></html>"
-    pages = [page.format(f"text {i} " * 20, f"more {i} " * 30) for i in range(4)]
-    wrapper = extraction.wrapper_of(pages)
-    assert wrapper == "html/body/div.body"
-    assert extraction.main_text(pages[0], wrapper) == "\n".join([("text 0 " * 20).strip(), ("more 0 " * 30).strip()])
-    assert extraction.wrapper_of(pages[:1]) is None and extraction.wrapper_of([pages[0]] * 3) is None
+def test_wrapper_decides_where_no_element_does(spark):
+    pages, want = hosts_without_marks()
+    assert texts_of(spark, pages) == want
+    alone = [extraction.main_text(p) for p in pages]
+    assert all(a != w for a, w in zip(alone, want))  # without the wrapper, all of these are wrong
+    # pages of other layouts or that cannot be aligned teach too, and are taken by their own elements
+    more = ["<body><section><article><p>Own</p></article></section>", "", "<p>just this"]
+    assert texts_of(spark, pages + more) == [*want, "Own", "", "just this"]
+    assert texts_of(spark, [pages[0]] * 4) == [alone[0]] * 4 and texts_of(spark, pages[:1]) == alone[:1]  # nothing varies
+
+
+def test_wrapper_returns_all_like_sections(spark):
+    texts = [[f"page {i} section {j} " * 20 for j in range(3)] for i in range(4)]
+    pages = ["<body><div class=k>home</div>" + "".join(f"<div class=section><p>{t}</p></div>" for t in page) + "</body>" for page in texts]
+    assert texts_of(spark, pages) == ["\n".join(t.strip() for t in page) for page in texts]
+
+
+def test_deep_pages_and_long_rows_of_siblings(spark):
+    deep = ["<div>" * 3000 + f"deep {i}" for i in range(3)]
+    assert texts_of(spark, deep) == [f"deep {i}" for i in range(3)]
+    rows = ["<body>" + "".join(f"<p>{i} {j}</p><div>{i} {j}</div>" for j in range(4000)) for i in range(3)]
+    assert [t.count("\n") for t in texts_of(spark, rows)] == [7999] * 3
+
+
+def by_pairs(pages):
+    """Slots and template by aligning the trees of every two pages: for each path of labels whether its text ever
+    varies, and on how many pages it is."""
+    trees = [shape(parse(p)) for p in pages]
+    varies, seen = set(), Counter()
+
+    def paths(tree):
+        stack, found = [(tree, (tree.label,))], {}
+        while stack:
+            node, path = stack.pop()
+            found[id(node)] = path
+            stack += [(c, (*path, c.label)) for c in node.children]
+        return found
+
+    named = [paths(t) for t in trees]
+    for a, names in zip(trees, named):
+        seen.update({names[id(n)] for n, _ in matched(a, a)[1] if n.text})
+        for b in trees:
+            varies |= {names[id(x)] for x, y in matched(a, b)[1] if x.text and y.text and x.text != y.text}
+    return varies, seen
+
+
+def test_evidence_is_that_of_all_pairs_of_pages(spark):
+    import xxhash
+
+    r = random.Random(11)
+
+    def tree(depth, tags):
+        inner = "".join(tree(depth - 1, tags) for _ in range(r.randrange(1, 4))) if depth else ""
+        tag, mark = r.choice(tags)
+        return f"<{tag}{mark}>{r.choice(['', 'same', 'same', f'text {r.randrange(3)}'])}{inner}</{tag}>"
+
+    pages = []
+    for _ in range(7):
+        r2 = r.getstate()
+        pages.append("<body>" + tree(3, [("div", ""), ("section", ""), ("div", " class=b")]) + "</body>")
+        if r.random() < 0.3:
+            r.setstate(r2)
+    varies, seen = by_pairs(pages)
+
+    def digest(path):
+        out = xxhash.xxh64_intdigest(path[0])
+        for label in path[1:]:
+            out = xxhash.xxh64_intdigest(label, out)
+        return out - (1 << 64) if out >> 63 else out
+
+    frame = spark.createDataFrame([("h", p) for p in pages], "host string, html string").repartition(3)
+    rows = {x.path: x for x in extraction.evidence(frame).collect()}
+    assert set(rows) == {digest(p) for p in seen}
+    crossing = 0
+    for path, n in seen.items():
+        found = rows[digest(path)]
+        assert found.n == n
+        if path in varies:
+            assert found.low != found.high
+        else:  # a pair of trees whose siblings change places pairs fewer nodes
+            crossing += found.low != found.high
+    assert crossing <= 1 + len(seen) // 3
 
 
 def test_simple_tree_matching_is_maximal():
@@ -153,19 +264,25 @@ def test_simple_tree_matching_is_maximal():
     assert [c.tag for c in parse("<ul><li>a<li>b</ul><p>c<div>d").children] == ["ul", "p", "div"]
 
 
-def test_wrapper_returns_all_like_sections():
-    texts = [[f"page {i} section {j} " * 20 for j in range(3)] for i in range(4)]
-    pages = ["<body><div class=nav>home</div>" + "".join(f"<div class=section><p>{t}</p></div>" for t in page) + "</body>" for page in texts]
-    wrapper = extraction.wrapper_of(pages)
-    assert wrapper == "body/div.section"
-    for page, text in zip(pages, texts):
-        assert extraction.main_text(page, wrapper) == "\n".join(t.strip() for t in text)
+def test_matching_of_deep_and_wide_trees():
+    def chain(n):
+        tree = Shape("div", [], "x")
+        for _ in range(n):
+            tree = Shape("div", [tree], "")
+        return tree
+
+    assert matched(chain(3000), chain(2000))[0] == 2001
+    wide = lambda n: Shape("ul", [Shape(f"l{i % n}", [], "") for i in range(n)], "")
+    assert matched(wide(20_000), wide(15_000))[0] == 15_001
 
 
 def test_extraction_keeps_rows_and_columns(spark):
-    rows = [(i, f"http://h{i % 2}.org/{i}", PAGE, "t") for i in range(6)] + [(6, None, None, "t"), (7, "x", "", "t"), (0, "http://h0.org/0", PAGE, "t")]
-    got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
-    assert Counter((r.page_id, r.text) for r in got) == Counter((i, "" if not h else "A & B\nOne two three\nfour <five>") for i, _, h, _ in rows)
+    rows = [(i, f"http://h{i % 2}.org/{i}", PAGE, "t", "w", 5) for i in range(6)] + [(6, None, None, "t", "w", 5), (7, "x", "", "t", "w", 5), (0, "http://h0.org/0", PAGE, "t", "w", 5)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, wrapper string, path int")
+    found = extraction.extract(frame)
+    assert found.columns == ["page_id", "url", "html", "path", "host", "wrapper", "text"]
+    assert Counter((r.page_id, r.text) for r in found.collect()) == Counter((r[0], "" if not r[2] else "A & B\nOne two three\nfour <five>") for r in rows)
+    assert extraction.extract(frame.limit(0)).count() == 0
 
 
 def test_extraction_query(spark):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -22,9 +25,9 @@ from plumbline.plans.scale import checkpointed
 CAPACITY = 4096
 END = 2
 #: Distinct white-space separated chunks whose ids one worker keeps; as many older ones stay a while.
-CHUNKS_KEPT = 400_000
-CHUNKS_AT_ONCE = 100_000
-TEXTS_AT_ONCE = 100
+CHUNKS_KEPT = 600_000
+CHUNKS_AT_ONCE = 300_000
+TEXTS_AT_ONCE = 2000
 #: A piece may leave 1/SLACK of its slot empty before another cut is made.
 SLACK = 256
 #: Sequences that one group of pieces fills, about.
@@ -35,61 +38,115 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, ids
 class ChunkTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit binaries.
 
-    A tokenizer that drops white space gives a text the ids of its chunks, one after the other, so each
-    distinct chunk is encoded once and kept. A text's own special-token strings are ordinary text.
+    A tokenizer that drops white space gives a text the ids of its chunks, one after the other, so each distinct
+    chunk is encoded once and kept. What a text holds of special-token strings, which have no white space, is
+    taken for these tokens, as the tokenizer does of itself.
     """
 
+    #: Words by which it is found out whether the model alone codes words of small letters as the tokenizer does.
+    PROBES = ("a", "word", "tokenization", "été", "straße", "ñandú", "слово", "日本語", "שלום", "हिन्दी"[:1], "ĳsvogel", "x" * 40)
+
     def __init__(self, path: str, kept: int = CHUNKS_KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.known, self.older, self.tails = Tokenizer.from_file(path), kept, {}, {}, {}
-        self.tokenizer.encode_special_tokens = True
+        # the characters that byte-level models write octets with: visible ones as they are, others from 256 on
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [o for o in range(256) if o not in seen]
+        self.letters = {o: 256 + i for i, o in enumerate(hidden)}
+        plain = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in self.PROBES]
+        self.direct = [self.word_ids(w.encode()) for w in self.PROBES] == [array("I", x).tobytes() for x in plain]
+
+    def word_ids(self, word: bytes) -> bytes:
+        """The ids of a word of small letters from the tokenizer's model, past the steps that leave it as it is."""
+        tokens = self.tokenizer.model.tokenize(word.decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in tokens]).tobytes()
 
     def ids(self, text: str) -> bytes:
         return self.all_ids([text])[0]
 
     def all_ids(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts. A long one is worked off in parts."""
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        if sum(map(len, split)) <= CHUNKS_AT_ONCE:
-            self.learn([c for chunks in split for c in chunks])
-            return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
-        out = []
-        for chunks in split:
-            parts = []
-            for first in range(0, len(chunks), CHUNKS_AT_ONCE):
-                part = chunks[first : first + CHUNKS_AT_ONCE]
-                self.learn(part)
-                parts.append(b"".join(map(self.known.__getitem__, part)))
-            out.append(b"".join(parts))
-        return out
-
-    def learn(self, chunks: list[bytes]) -> None:
-        """Makes sure that the ids of all ``chunks`` are known."""
+        out, held, size = [], [], 0
+        for text in texts:
+            chunks = text.encode("utf-8", "replace").split()
+            if len(chunks) > CHUNKS_AT_ONCE:
+                parts = [chunks[at : at + CHUNKS_AT_ONCE] for at in range(0, len(chunks), CHUNKS_AT_ONCE)]
+                out += self.coded(held)
+                out.append(b"".join(self.coded([part])[0] for part in parts))
+                held, size = [], 0
+                continue
+            held.append(chunks)
+            size += len(chunks)
+            if size > CHUNKS_AT_ONCE:
+                out += self.coded(held)
+                held, size = [], 0
+        return out + self.coded(held)
+
+    def coded(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The ids of texts given as chunks: each distinct chunk is looked up once, its ids are dealt out to all its
+        places together."""
+        gc.disable()  # nothing here refers to itself, and the collector would walk all that is known again and again
+        try:
+            return self._coded(texts)
+        finally:
+            gc.enable()
+
+    def _coded(self, texts: list[list[bytes]]) -> list[bytes]:
+        place = defaultdict(count().__next__)
+        chunks = np.fromiter(map(place.__getitem__, chain.from_iterable(texts)), np.int64)
+        if not len(chunks):
+            return [b""] * len(texts)
+        distinct = list(place)
+        parts = list(map(self.known.get, distinct))
+        missing = [i for i, part in enumerate(parts) if part is None]
+        if missing:
+            self.learn([distinct[i] for i in missing], distinct)
+            known = self.known
+            for i in missing:
+                parts[i] = known[distinct[i]]
+        every = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(sizes) - sizes
+        length = sizes[chunks]
+        ends = np.cumsum(length)
+        ids = every[np.arange(ends[-1]) + np.repeat(starts[chunks] - ends + length, length)]
+        stops = np.append(0, ends)[np.cumsum([0, *map(len, texts)])].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(stops, stops[1:])]
+
+    def learn(self, new: list[bytes], met: list[bytes]) -> None:
+        """Makes sure that the ids of ``new`` distinct chunks are known; ``met`` are those at hand."""
         known = self.known
-        new = set(chunks).difference(known)
         if len(known) + len(new) > self.kept:  # what was not met since the last time is forgotten
             self.older, self.known = known, {}
-            known, new = self.known, set(chunks)
-        words, unseen = {}, []
+            known, new = self.known, met
+        older, words, unseen = self.older, {}, []
+        if older:
+            known.update((c, older[c]) for c in new if c in older)
+            new = [c for c in new if c not in known]
         for chunk in new:
-            ids = self.older.get(chunk)
-            if ids is not None:
-                known[chunk] = ids
-                continue
-            word, tail = stem(chunk)
+            word, tail, letters = stem(chunk)
             ids = known.get(word)
             if ids is None:
-                words[word] = None
+                words[word] = letters
                 unseen.append((chunk, word, tail))
             else:
                 known[chunk] = ids + self.tail(tail)
-        wanted = list(words)
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in wanted], add_special_tokens=False)
-        words = {w: array("I", e.ids).tobytes() for w, e in zip(wanted, coded, strict=True)}
-        known.update(words)
+        self.encode([w for w, letters in words.items() if letters], [w for w, letters in words.items() if not letters])
         for chunk, word, tail in unseen:
-            known[chunk] = words[word] + self.tail(tail)
+            known[chunk] = known[word] + self.tail(tail)
+
+    def encode(self, words: list[bytes], others: list[bytes]) -> None:
+        """Encodes new words of small letters and other chunks."""
+        if not self.direct:
+            words, others = [], [*words, *others]
+        model, letters = self.tokenizer.model, self.letters
+        tokenize, known = model.tokenize, self.known
+        for word in words:
+            spelled = word.decode() if word.isascii() else word.decode("latin-1").translate(letters)
+            known[word] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
+        self.known.update(zip(others, (array("I", e.ids).tobytes() for e in coded), strict=True))
 
     def tail(self, sign: str) -> bytes:
         if sign not in self.tails:
@@ -97,17 +154,21 @@ class ChunkTokenizer:
         return self.tails[sign]
 
 
-def stem(chunk: bytes) -> tuple[bytes, str]:
+def stem(chunk: bytes) -> tuple[bytes, str, bool]:
     """A chunk of letters, with one sign of punctuation behind them or none, as its small letters and the sign,
-    which a word tokenizer codes apart; any other chunk as it is."""
+    which a word tokenizer codes apart; any other chunk as it is. Whether it is of letters comes last."""
+    if chunk.isalpha():  # of ASCII
+        return chunk.lower(), "", True
+    if chunk[-1:] in b",.;:!?" and chunk[:-1].isalpha():
+        return chunk[:-1].lower(), chunk[-1:].decode(), True
     text = chunk.decode()
     sign = text[-1] if text[-1] in ",.;:!?" else ""
     word = text[:-1] if sign else text
     if not word.isalpha():
-        return chunk, ""
+        return chunk, "", False
     if not word.isascii() and (not unicodedata.is_normalized("NFC", word) or "\u03a3" in word or "\u0130" in word):
-        return chunk, ""
-    return word.lower().encode(), sign
+        return chunk, "", False
+    return word.lower().encode(), sign, True
 
 
 @lru_cache(maxsize=2)

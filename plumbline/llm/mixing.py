@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -49,7 +51,8 @@ def raked(
 ) -> DataFrame:
     """Cells with the tokens ``w`` to take from each: raked in turn to each dimension's target shares of the
     ``budget`` (tokens), never more than a cell has. Values without a target get none; targets without
-    documents are lost, the others keep their proportions.
+    documents are lost, the others keep their proportions. Targets that the tokens cannot meet are missed by what
+    full cells lack; ``missed`` tells by how much.
 
     Up to ``few`` cells, which are counted first, are raked in one task, several cycles to a job. More are
     raked by grouped sums, combined before their shuffle, and joins to a dimension's values, which are merged
@@ -78,6 +81,21 @@ def raked(
     return table.drop(*[f"__want_{name}" for name in targets])
 
 
+def missed(table: DataFrame, targets: dict[str, DataFrame], budget: float) -> DataFrame:
+    """(dimension, value, wanted, reached): the tokens that each target asks of a raked ``table`` and what it has, a
+    row for every value of a target or of the table. Where cells are full, or values have no cell, the two differ:
+    raking alone does not say so."""
+    parts = []
+    for name, target in targets.items():
+        reached = table.groupBy(F.col(name).cast("string").alias("value")).agg(F.sum("w").alias("reached"))
+        wanted = target.select(F.col("value").cast("string").alias("__value"), (F.col("share") * budget).alias("wanted"))
+        both = reached.join(wanted, reached["value"].eqNullSafe(F.col("__value")), "full")
+        value = F.when(F.col("wanted").isNull() | F.col("value").isNotNull(), F.col("value")).otherwise(F.col("__value"))
+        amounts = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("wanted", "reached")]
+        parts.append(both.select(F.lit(name).alias("dimension"), value.alias("value"), *amounts))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _scaled(name: str, budget: float, total: Column) -> Column:
     want = F.coalesce(F.col(f"__want_{name}"), F.lit(0.0)) * budget
     return F.when(total > 0, F.col("w") * want / total).otherwise(0.0)

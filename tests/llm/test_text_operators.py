@@ -37,8 +37,9 @@ def test_xxh64_of_slices():
 
 def test_chunks_code_like_whole_texts():
     tokenizer = packing.ChunkTokenizer(tokenizer_path(), kept=50)
-    for text in [*ODD, "Don't. stop, İstanbul ΣΑΣ. e\u0301! a.b 3rd \u2003wide\x1cspace"]:
-        whole = tokenizer.tokenizer.encode(text or "", add_special_tokens=False).ids
+    plain = __import__("tokenizers").Tokenizer.from_file(tokenizer_path())  # as it comes, special tokens and all
+    for text in [*ODD, "x <|endoftext|>y<|startoftext|> <|end", "Don't. stop, İstanbul ΣΑΣ. e\u0301! a.b 3rd \u2003wide\x1cspace"]:
+        whole = plain.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(tokenizer.ids(text or ""), "<u4").tolist() == whole
 
 
@@ -255,6 +256,18 @@ def test_raking_is_that_of_plain_code(spark, few):
     assert sum(got.values()) == pytest.approx(500.0, rel=1e-3)
 
 
+def test_what_raking_misses_is_told(spark):
+    cells = spark.createDataFrame([("a", "x", 100), ("a", None, 900), ("b", "x", 50), (None, "x", 10)], "source string, lang string, tokens long")
+    target = lambda rows: spark.createDataFrame(rows, "value string, share double")
+    feasible = {"source": target([("a", 0.9), ("b", 0.08), (None, 0.02)]), "lang": target([("x", 0.3), (None, 0.7)])}
+    rows = mixing.missed(mixing.raked(cells, feasible, 400.0, tolerance=0.0), feasible, 400.0).collect()
+    assert {(r.dimension, r.value): r.wanted for r in rows}["source", None] == pytest.approx(8.0)
+    assert len(rows) == 5 and all(abs(r.wanted - r.reached) < 0.01 * 400 for r in rows)
+    beyond = {"source": target([("a", 0.2), ("b", 0.5), ("absent", 0.3)])}
+    rows = {r.value: (r.wanted, r.reached) for r in mixing.missed(mixing.raked(cells, beyond, 400.0), beyond, 400.0).collect()}
+    assert rows["b"] == (200.0, 50.0) and rows["absent"] == (120.0, 0.0) and rows[None] == (0.0, 0.0) and rows["a"][1] == pytest.approx(80.0)
+
+
 def test_mixture_query(spark):
     rows = QUERIES["op5_source_mixing"](spark, "/root/testdata/sf0.1").collect()
     total = sum(r.tokens for r in rows)

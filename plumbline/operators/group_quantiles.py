@@ -52,8 +52,9 @@ def group_quantiles(
         state = checkpointed(_counted(df, state, keys, columns, pairs, accuracy, gather_rows))
     out = []
     for b, (i, j) in enumerate(pairs):
-        part = f"((__n[{i}] - 1) * {number(probs[j])} - __b[{b}].first)"
-        out.append(F.expr(f"__b[{b}].at_first + (__b[{b}].at_last - __b[{b}].at_first) * {part}").alias(f"__q{i}_{j}"))
+        place, low, high = f"((__n[{i}] - 1) * {number(probs[j])})", f"__b[{b}].at_first", f"__b[{b}].at_last"
+        between = f"(__b[{b}].last - {place}) * {low} + ({place} - __b[{b}].first) * {high}"  # as over a whole table
+        out.append(F.expr(f"if({low} = {high}, {low}, {between})").alias(f"__q{i}_{j}"))
     return state.select(*[F.col(h).alias(k) for h, k in zip(keys, named)], "__rows", *out)
 
 

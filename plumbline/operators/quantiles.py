@@ -116,9 +116,10 @@ def _one_row(df: DataFrame, measures: dict[str, str]):
 
 
 def _interpolate(bracket: _Bracket, n: int) -> float:
-    part = (n - 1) * bracket.prob - bracket.first
+    """By the formula of the built-in exact aggregate, so that a table's size decides nothing."""
+    place = (n - 1) * bracket.prob
     low, high = bracket.found[bracket.first], bracket.found[bracket.last]
-    return low + (high - low) * part
+    return low if low == high else (bracket.last - place) * low + (place - bracket.first) * high
 
 
 def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int, gather_rows: int) -> None:
@@ -151,15 +152,16 @@ def _settle_edges(b: _Bracket) -> None:
     """Answer the ranks that fall on an edge; widen a bracket that misses a rank altogether."""
     end_inside = b.below + b.at_low + b.inside
     end = end_inside + (b.at_high if b.high > b.low else 0)
+    low, high = b.low, b.high  # what was counted, should one rank widen the bracket and the other fall on its edge
     for rank in b.missing():
         if rank < b.below:
             b.low, b.inside = b.smallest, 0
         elif rank >= end:
             b.high, b.inside = b.largest, 0
         elif rank < b.below + b.at_low:
-            b.found[rank] = b.low
+            b.found[rank] = low
         elif rank >= end_inside:
-            b.found[rank] = b.high
+            b.found[rank] = high
 
 
 def _gather(df: DataFrame, brackets: list[_Bracket]) -> None:

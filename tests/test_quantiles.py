@@ -69,3 +69,25 @@ def test_group_quantiles_match_numpy(spark, settings):
             else:
                 assert got == [None] * len(probs)
     assert group_quantiles(df.limit(0), ["g"], names, probs, **settings).count() == 0
+
+
+def test_one_formula_at_every_size(spark):
+    """Large and small tables, and groups, interpolate alike to the last digit."""
+    from plumbline.operators.group_quantiles import group_quantiles
+
+    rng = random.Random(12)
+    df = spark.createDataFrame([(rng.uniform(-1e3, 1e3), "g") for _ in range(998)], "v double, g string")
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    small = exact_quantiles(df, ["v"], probs)
+    assert exact_quantiles(df, ["v"], probs, direct_rows=0) == small
+    found = group_quantiles(df, ["g"], ["v"], probs).first()
+    assert [found[f"__q0_{j}"] for j in range(5)] == small["v"]
+
+
+def test_ranks_on_both_sides_of_an_edge(spark):
+    """One rank may miss a bracket while the next one falls on its edge: every alignment of ranks and edges."""
+    for n in (998, 1001, 1237):
+        df = spark.range(n).selectExpr("cast(id * id as double) AS v")
+        probs = [0.05 * i for i in range(1, 20)]
+        found = exact_quantiles(df, ["v"], probs, direct_rows=0, accuracy=500)["v"]
+        np.testing.assert_allclose(found, np.quantile(np.arange(n, dtype=float) ** 2, probs), rtol=1e-12)

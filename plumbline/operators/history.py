@@ -51,10 +51,13 @@ def _direction(change: Column, step: float) -> Column:
     return F.when(change > step, "improving").when(change < -step, "degrading").otherwise("stable")
 
 
-def score_trend(scores: DataFrame, days: int, as_of: datetime | Column) -> DataFrame:
-    """Newest against oldest score of the window per dataset. Every dataset of ``scores`` has a row; with
-    fewer than two points the trend is ``insufficient_data``."""
-    inside = F.col("ts") >= since(days, as_of)
+def score_trend(scores: DataFrame, days: int, as_of: datetime | Column, datasets: DataFrame | None = None) -> DataFrame:
+    """Newest against oldest score of the window per dataset. Every dataset of ``scores`` has a row, and every one of
+    ``datasets`` (dataset_id), when ``scores`` may be read for the window only; with fewer than two points the trend
+    is ``insufficient_data``."""
+    if datasets is not None:
+        scores = scores.select("dataset_id", "ts", "overall_score").unionByName(datasets.select("dataset_id"), allowMissingColumns=True)
+    inside = F.coalesce(F.col("ts") >= since(days, as_of), F.lit(False))
     score = F.when(inside, F.col("overall_score"))
     at = F.when(inside, F.struct("ts", "overall_score"))  # of one instant the higher score is the newer
     ends = scores.groupBy("dataset_id").agg(

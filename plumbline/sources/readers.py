@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -126,11 +129,29 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.parquet(name) if "/" in name else spark.table(name)
 
 
+def read_stored(spark: SparkSession, folder: str, name: str, since: datetime | None = None, dataset_id: str | None = None) -> DataFrame:
+    """The stored rows of ``scores``, ``dimension_scores`` or ``alerts`` below ``folder``, from a time on and of one
+    data set if wanted; only the folders of these days and this data set are opened."""
+    rows = spark.read.parquet(f"{folder}/{name}").withColumn("dataset_id", F.col("dataset_id").cast("string"))
+    if since is not None:
+        rows = rows.where((F.col("day") >= F.lit(since.date())) & (F.col("ts") >= F.lit(since)))
+    if dataset_id is not None:
+        rows = rows.where(F.col("dataset_id") == dataset_id)
+    return rows.drop("day", "assessed")
+
+
+def stored_datasets(spark: SparkSession, folder: str) -> DataFrame:
+    """``(dataset_id)`` of all data sets with stored scores, from the folders alone."""
+    return spark.read.parquet(f"{folder}/scores").select(F.col("dataset_id").cast("string").alias("dataset_id")).distinct()
+
+
 def read_acknowledgements(spark: SparkSession, folder: str) -> DataFrame:
-    """``(alert_id, ts)`` of the acknowledgements stored below ``folder``; empty before the first one."""
+    """``(alert_id, ts)`` of the alerts acknowledged below ``folder``, each once with its first time; empty before
+    the first one."""
     columns = "alert_id string, ts timestamp"
     try:
-        return spark.read.schema(columns).parquet(f"{folder}/alert_acks")
+        rows = spark.read.schema(columns).parquet(f"{folder}/alert_acks")
+        return rows.groupBy("alert_id").agg(F.min("ts").alias("ts"))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -149,7 +170,57 @@ def dataset_info(df: DataFrame, dataset_id: str) -> DataFrame:
 
 
 def sample_page(df: DataFrame, order_by: list[str], limit: int = SAMPLE_ROWS, offset: int = 0) -> DataFrame:
-    """Rows ``offset`` .. ``offset + limit`` in the given order."""
+    """Rows ``offset`` .. ``offset + limit`` in the given order, each with the ``total_rows`` of the table. For many or
+    deep pages of a large table make a ``PageIndex`` once."""
+    _check_page(limit, offset)
+    total = df.agg(F.count(F.lit(1)).alias("total_rows")).first()["total_rows"]
+    return df.orderBy(*order_by).offset(offset).limit(limit).withColumn("total_rows", F.lit(total).cast("bigint"))
+
+
+def _check_page(limit: int, offset: int) -> None:
     if not 1 <= limit <= SAMPLE_LIMIT or offset < 0:
         raise ValueError("limit must be 1 to 100 and offset not negative")
-    return df.orderBy(*order_by).offset(offset).limit(limit)
+
+
+@dataclass(frozen=True)
+class PageIndex:
+    """A table laid out by position: ranges in the given order, each a folder, and where each range starts. A page
+    opens the one or two folders that hold it, however deep it lies."""
+
+    rows: DataFrame
+    columns: tuple[str, ...]
+    #: (range, first position, rows) of each range.
+    ranges: tuple[tuple[int, int, int], ...]
+
+    PART, PLACE = "__range", "__place"
+
+    @classmethod
+    def of(cls, df: DataFrame, order_by: list[str], folder: str) -> PageIndex:
+        """Writes the table in order below ``folder``, which all executors see. Rows that ``order_by`` does not tell
+        apart are in no order among themselves; the columns should name a row."""
+        order = [ref(c) for c in order_by]
+        number = F.monotonically_increasing_id()  # the range above, the place in it below
+        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", number)
+        laid = ranged.withColumns({cls.PART: F.shiftright("__id", 33), cls.PLACE: F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id")
+        laid.write.mode("overwrite").partitionBy(cls.PART).parquet(folder)
+        rows = df.sparkSession.read.schema(laid.schema).parquet(folder)
+        found, start = [], 0
+        for row in rows.groupBy(cls.PART).agg(F.count(F.lit(1)).alias("n")).orderBy(cls.PART).collect():  # one row a range
+            found.append((row[cls.PART], start, row["n"]))
+            start += row["n"]
+        return cls(rows, tuple(df.columns), tuple(found))
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, _, n in self.ranges)
+
+    def page(self, limit: int = SAMPLE_ROWS, offset: int = 0) -> DataFrame:
+        """Rows ``offset`` .. ``offset + limit`` with the ``total_rows`` of the table."""
+        _check_page(limit, offset)
+        wanted = [(part, start) for part, start, n in self.ranges if start < offset + limit and start + n > offset]
+        at = F.lit(None).cast("bigint")
+        for part, start in wanted:
+            at = F.when(F.col(self.PART) == part, F.col(self.PLACE) + start).otherwise(at)
+        rows = self.rows.where(F.col(self.PART).isin([part for part, _ in wanted])).withColumn("__at", at)
+        rows = rows.where((F.col("__at") >= offset) & (F.col("__at") < offset + limit)).orderBy("__at")
+        return rows.select(*[ref(c) for c in self.columns], F.lit(self.total).cast("bigint").alias("total_rows"))

@@ -1,4 +1,9 @@
-"""Append-only tables of scores and alerts, and the report document."""
+"""Tables of scores and alerts that grow by assessments, and the report document.
+
+Rows are laid out by data set, day and assessment (its time). Recording an assessment replaces the partitions of that
+assessment and no other, so a recording that failed halfway, or is repeated, leaves one copy (a reader opened before
+has to be opened again); readers that ask for a window of time open the days of that window only.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,10 @@ from plumbline.plans.assess import Assessment
 from plumbline.plans.report import Report
 
 
+#: Folders of the stored tables, one in the other.
+LAYOUT = ("dataset_id", "day", "assessed")
+
+
 def score_rows(score: DataFrame) -> DataFrame:
     """Score rows as stored: the dimension scores as JSON text."""
     return score.withColumn("dimension_scores", F.to_json("dimension_scores"))
@@ -23,10 +32,10 @@ def dimension_rows(score: DataFrame) -> DataFrame:
 
 
 def record(assessment: Assessment, folder: str) -> None:
-    """Append an assessment's score, dimension scores and alerts below ``folder``."""
-    _append(score_rows(assessment.score), f"{folder}/scores")
-    _append(dimension_rows(assessment.score), f"{folder}/dimension_scores")
-    _append(assessment.alerts, f"{folder}/alerts")
+    """Put an assessment's score, dimension scores and alerts below ``folder``; again changes nothing."""
+    record_rows(score_rows(assessment.score), f"{folder}/scores")
+    record_rows(dimension_rows(assessment.score), f"{folder}/dimension_scores")
+    record_rows(assessment.alerts, f"{folder}/alerts")
 
 
 def acknowledge(alerts: DataFrame, alert_id: str, ts: datetime, folder: str) -> bool:
@@ -38,8 +47,11 @@ def acknowledge(alerts: DataFrame, alert_id: str, ts: datetime, folder: str) ->
     return True
 
 
-def _append(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("dataset_id").parquet(path)
+def record_rows(rows: DataFrame, path: str) -> None:
+    """Put rows (dataset_id, ts, ...) of any number of assessments of any data sets below ``path`` in one job, in the
+    place of what is there of the same assessments."""
+    laid = rows.withColumns({"day": F.to_date("ts"), "assessed": F.date_format("ts", "HH-mm-ss-SSSSSS")})
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LAYOUT).parquet(path)
 
 
 def write_report(report: Report, folder: str) -> None:

@@ -8,6 +8,7 @@ from plumbline.plans.assess import assess
 from plumbline.plans.report import quality_report
 from plumbline.operators.rules import RULE_SCHEMA
 from plumbline.sources import writers
+from plumbline.sources.readers import read_acknowledgements, read_stored, stored_datasets
 
 NOW = datetime(2024, 5, 10)
 SCORES = "dataset_id string, dataset_name string, ts timestamp, overall_score double, total_records bigint, passed_rules int, failed_rules int, warnings int, dimension_scores string"
@@ -101,10 +102,24 @@ def test_stored_and_reported(spark, tmp_path):
     dims = spark.read.parquet(f"{tmp_path}/dimension_scores")
     raised = spark.read.parquet(f"{tmp_path}/alerts")
     assert stored.count() == 2 and dims.count() == 10 and raised.count() == 1
+    # recorded again, as after a failure, nothing is there twice
+    writers.record(assess(df, "d", days(1), "D", rules, exclude=["id"]), str(tmp_path))
+    assert [spark.read.parquet(f"{tmp_path}/{n}").count() for n in ("scores", "dimension_scores", "alerts")] == [2, 10, 1]
+    stored, dims, raised = (read_stored(spark, str(tmp_path), n) for n in ("scores", "dimension_scores", "alerts"))
+    # a window opens the folders of its days only
+    recent = read_stored(spark, str(tmp_path), "scores", since=days(0), dataset_id="d")
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert recent.count() == 1 and "day" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    trend = {r["dataset_id"]: r["data_points"] for r in hi.score_trend(recent, 30, NOW, stored_datasets(spark, str(tmp_path))).collect()}
+    assert trend == {"d": 1}
+    late = read_stored(spark, str(tmp_path), "scores", since=NOW + timedelta(days=99))
+    assert [r["trend"] for r in hi.score_trend(late, 7, NOW, stored_datasets(spark, str(tmp_path))).collect()] == ["insufficient_data"]
     alert_id = raised.first()["alert_id"]
     assert writers.acknowledge(raised, alert_id, NOW, str(tmp_path))
     assert not writers.acknowledge(raised, "no such", NOW, str(tmp_path))
-    acks = spark.read.parquet(f"{tmp_path}/alert_acks")
+    assert writers.acknowledge(raised, alert_id, NOW, str(tmp_path))
+    acks = read_acknowledgements(spark, str(tmp_path))
+    assert acks.count() == 1
     assert al.active_alerts(raised, acks).count() == 0
     report = quality_report(df, "d", NOW, raised, acks, stored, dims, row_id="id")
     writers.write_report(report, f"{tmp_path}/report")

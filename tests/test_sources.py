@@ -5,7 +5,7 @@ import pytest
 from plumbline.functions.columns import Shape
 from plumbline.operators.accuracy import types
 from plumbline.operators.check import run_checks
-from plumbline.sources.readers import dataset_info, read_csv, read_json, read_table, sample_page
+from plumbline.sources.readers import PageIndex, dataset_info, read_csv, read_json, read_table, sample_page
 
 
 def test_csv_types(spark, tmp_path):
@@ -59,6 +59,7 @@ def test_table_info_and_pages(spark, tmp_path):
     assert (info["rows"], info["columns"], info["column_names"], info["dtypes"]) == (250, 2, ["id", "k"], ["bigint", "bigint"])
     assert [r["id"] for r in sample_page(df, ["id"], 3, 100).collect()] == [100, 101, 102]
     assert sample_page(df, ["id"], 10, 245).count() == 5 and sample_page(df, ["id"]).count() == 10
+    assert {r["total_rows"] for r in sample_page(df, ["id"], 3, 100).collect()} == {250}
     for bad in ({"limit": 0}, {"limit": 101}, {"offset": -1}):
         with pytest.raises(ValueError):
             sample_page(df, ["id"], **bad)
@@ -71,3 +72,25 @@ def test_surplus_fields_are_an_error(spark, tmp_path):
         read_csv(spark, str(path))
     path.write_text("a,b\n1,2\n3,4\n6\n")
     assert [tuple(r) for r in read_csv(spark, str(path)).orderBy("a").collect()] == [(1, 2.0), (3, 4.0), (6, None)]
+
+
+def test_pages_by_position(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("(id * 37) % 1000 AS `row id`", "id % 3 AS k", "id").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = PageIndex.of(rows, ["k", "row id"], f"{tmp_path}/index")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted((r["k"], r["row id"]) for r in rows.collect())
+    assert index.total == 1000 and len(index.ranges) > 1
+    edge = index.ranges[1][1]  # where the second range starts
+    for offset, limit in ((0, 10), (edge - 3, 7), (edge, 1), (995, 100), (1000, 5), (5000, 5)):
+        got = [(r["k"], r["row id"], r["total_rows"]) for r in index.page(limit, offset).collect()]
+        assert got == [(*w, 1000) for w in want[offset : offset + limit]]
+    plan = index.page(5, 900)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "__range" in plan.split("PartitionFilters")[1][:200] and "TakeOrdered" not in plan
+    assert len(index.page(5, 900).inputFiles()) <= 8
+    with pytest.raises(ValueError):
+        index.page(0, 0)
+    empty = PageIndex.of(rows.limit(0), ["k"], f"{tmp_path}/empty")
+    assert empty.total == 0 and empty.page(5).count() == 0

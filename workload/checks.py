@@ -65,7 +65,10 @@ def _(spark, sf):
     )
 
 
-@query("sample_page", f"SELECT {', '.join(ORDERS)} FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20")
+@query(
+    "sample_page",
+    f"SELECT {', '.join(ORDERS)}, (SELECT count(*) FROM orders) AS total_rows FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20",
+)
 def _(spark, sf):
     return sample_page(table(spark, sf, "orders"), ["o_orderkey"], limit=10, offset=20)
 
@@ -73,7 +76,7 @@ def _(spark, sf):
 @query("dataset_head", f"SELECT {', '.join(LINEITEM)} FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 5")
 def _(spark, sf):
     """The first rows that go with a dataset's info."""
-    return sample_page(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], limit=5)
+    return sample_page(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], limit=5).drop("total_rows")
 
 
 # ---- rows behind a metric

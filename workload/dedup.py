@@ -202,10 +202,11 @@ def _(spark, sf):
 
 @query(
     "dedup_fuzzy_groups",
-    _fuzzy(*_LED) + """SELECT CAST(leader AS VARCHAR) AS group_id, 'fuzzy' AS method, size FROM group_scores WHERE size > 1""",
+    _fuzzy(*_LED) + f"""SELECT CAST(leader AS VARCHAR) AS group_id, 'fuzzy' AS method, size,
+    {rnd('s / (size * (size - 1) / 2.0)')} AS match_score FROM group_scores WHERE size > 1""",
 )
 def _(spark, sf):
-    return fuzzy_groups(view(spark, sf, "part_names"), ["p_name"], "p_partkey", THRESHOLD).drop("match_score")
+    return fuzzy_groups(view(spark, sf, "part_names"), ["p_name"], "p_partkey", THRESHOLD)
 
 
 @query(

@@ -154,21 +154,29 @@ def _join(*parts: str) -> str:
     return f"SELECT * FROM ({first}) " + " ".join(f'LEFT JOIN ({r}) USING ("column")' for r in rest)
 
 
+# fixed values: the types of the columns as Spark names them
+_LINE_TYPES = ["bigint", "bigint", "bigint", "int", "double", "double", "double", "double", "string", "string", "timestamp_ntz"]
+
+
 @query(
     "profile_lineitem",
     _join(
         union(
-            f"""SELECT {i} AS ordinal, '{c}' AS "column", count(*) - count({c}) AS null_count,
+            f"""SELECT {i} AS ordinal, '{c}' AS "column", '{kind}' AS dtype, count(*) - count({c}) AS null_count,
             {rnd(f'(count(*) - count({c})) * 100.0 / count(*)')} AS null_percentage FROM lineitem"""
-            for i, c in enumerate(LINEITEM)
+            for i, (c, kind) in enumerate(zip(LINEITEM, _LINE_TYPES))
         ),
         _distinct(LINEITEM, "lineitem"),
         _numeric(NUMERIC_LINE, "lineitem"),
         _strings(["l_returnflag", "l_linestatus"], "lineitem"),
         f"SELECT \"column\", first(value ORDER BY n DESC, value) AS mode FROM ({_counts(['l_returnflag', 'l_linestatus'], 'lineitem')}) GROUP BY 1",
+        f"""SELECT "column", string_agg(value || ':' || n, ';' ORDER BY rank) AS top_values
+        FROM ({_TOP.format(counts=_counts(LINEITEM, 'lineitem'))}) GROUP BY 1""",
     ),
 )
 def _(spark, sf):
+    """The whole profile; the top values as text."""
     rows = p.profile(table(spark, sf, "lineitem"))
     rounded = {c: F.bround(c, 4) for c in ("mean", "median", "std", "q25", "q75")}
-    return rows.withColumns(rounded).drop("dtype", "top_values")
+    top = F.concat_ws(";", F.transform("top_values", lambda v: F.concat_ws(":", v["value"], v["n"].cast("string"))))
+    return rows.withColumns({**rounded, "top_values": top})

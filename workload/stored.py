@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import nan_as_null
 from plumbline.operators import alerts as al
 from plumbline.operators import drill
+from plumbline.operators.history import score_trend
 from plumbline.plans.assess import assess
 from plumbline.plans.report import Report, quality_report
 from plumbline.session import shared_folder
-from plumbline.sources.readers import read_acknowledgements, read_table
+from plumbline.sources.readers import PageIndex, read_acknowledgements, read_stored, read_table, stored_datasets
 from plumbline.sources.writers import acknowledge, record, write_report
-from workload.checks import AS_OF, ORDERS, SCORED, dirty_assessment
+from workload.checks import AS_OF, ORDERS, SCORED, V1, dirty_assessment
 from workload.dedup import COMPLETE, SETS
 from workload.monitoring import ADVICE
 from workload.sql import DIRTY, WEIGHT, big, collection, rnd, table_metrics, with_views
@@ -38,8 +39,10 @@ def history(spark: SparkSession, sf: str) -> str:
     whose alert on completeness is acknowledged."""
     folder = f"{shared_folder(spark)}/quality-{uuid.uuid4().hex}"
     record(assess(table(spark, sf, "customer"), "customers", BEFORE), folder)
-    record(dirty_assessment(spark, sf), folder)
-    stored = spark.read.parquet(f"{folder}/alerts")
+    dirty = dirty_assessment(spark, sf)
+    record(dirty, folder)
+    record(dirty, folder)  # a second time changes nothing
+    stored = read_stored(spark, folder, "alerts")
     for known in stored.where(F.col("rule_id") == ACKNOWLEDGED).select("alert_id").limit(1).collect():
         assert acknowledge(stored, known["alert_id"], AS_OF, folder)
     assert not acknowledge(stored, "unknown", AS_OF, folder)
@@ -74,41 +77,67 @@ BASE = SCORED + ", " + _BOTH
 )
 def _(spark, sf):
     """Recorded score rows with their dimension scores, read back."""
-    rows = spark.read.parquet(f"{history(spark, sf)}/scores")
+    rows = read_stored(spark, history(spark, sf), "scores")
     packed = F.from_json("dimension_scores", "map<string,double>")
     return rows.select("*", *[packed[d].alias(d) for d in DIMS]).drop("dimension_scores")
 
 
 @query("stored_dimension_scores", BASE + "SELECT 'customers' AS dataset_id, ts, dimension, score FROM dims")
 def _(spark, sf):
-    return spark.read.parquet(f"{history(spark, sf)}/dimension_scores")
+    return read_stored(spark, history(spark, sf), "dimension_scores")
 
 
 @query("stored_alerts", BASE + "SELECT * FROM alerts")
 def _(spark, sf):
     """Appended alerts with all their columns; of the details the owner."""
-    rows = spark.read.parquet(f"{history(spark, sf)}/alerts")
+    rows = read_stored(spark, history(spark, sf), "alerts")
     return rows.withColumn("owner", F.col("details")["owner"]).drop("details")
 
 
 @query("acknowledged_alerts", BASE + f"SELECT alert_id, rule_id, rule_id = '{ACKNOWLEDGED}' AS acknowledged FROM alerts")
 def _(spark, sf):
     folder = history(spark, sf)
-    rows = al.with_state(spark.read.parquet(f"{folder}/alerts"), read_acknowledgements(spark, folder))
+    rows = al.with_state(read_stored(spark, folder, "alerts"), read_acknowledgements(spark, folder))
     return rows.select("alert_id", "rule_id", "acknowledged")
 
 
+@query(
+    "stored_trend",
+    BASE + f"""SELECT 'customers' AS dataset_id, CASE WHEN newest - oldest > 5 THEN 'improving' WHEN newest - oldest < -5 THEN 'degrading'
+    ELSE 'stable' END AS trend, {rnd('newest - oldest')} AS change, newest AS current_score, oldest AS previous_score, CAST(2 AS BIGINT) AS data_points
+    FROM (SELECT max_by(overall_score, ts) AS newest, min_by(overall_score, ts) AS oldest FROM stored)""",
+)
+def _(spark, sf):
+    """The trend of a window of days, from the folders of these days."""
+    folder, days = history(spark, sf), 7
+    rows = read_stored(spark, folder, "scores", since=AS_OF - timedelta(days=days))
+    return score_trend(rows, days, AS_OF, stored_datasets(spark, folder))
+
+
+@query(
+    "deep_page",
+    """SELECT *, (SELECT count(*) FROM lineitem) AS total_rows FROM lineitem
+    ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice LIMIT 50 OFFSET (SELECT count(*) // 2 FROM lineitem)""",
+)
+def _(spark, sf):
+    """A page from the middle of the order lines, by position."""
+    lines = table(spark, sf, "lineitem")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+    index = PageIndex.of(lines, order, f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}")
+    return index.page(50, index.total // 2)
+
+
 # ---- report
 
 
 def report(spark: SparkSession, sf: str) -> Report:
     """The report of the dirty customers with the stored history of that data set."""
     folder = history(spark, sf)
-    stored = spark.read.parquet(f"{folder}/scores")
+    stored = read_stored(spark, folder, "scores")
     return quality_report(
-        view(spark, sf, "dirty_customer"), "customers", AS_OF, spark.read.parquet(f"{folder}/alerts"), read_acknowledgements(spark, folder),
+        view(spark, sf, "dirty_customer"), "customers", AS_OF, read_stored(spark, folder, "alerts"), read_acknowledgements(spark, folder),
         stored.withColumn("dimension_scores", F.from_json("dimension_scores", "map<string,double>")),
-        spark.read.parquet(f"{folder}/dimension_scores"), row_id="row_id",
+        read_stored(spark, folder, "dimension_scores"), row_id="row_id",
     )
 
 
@@ -192,13 +221,15 @@ def _(spark, sf):
 
 @query(
     "rows_guarded",
-    "SELECT 0 AS shown, 0 AS offenders, 'Unknown kind of rows: typo' AS explanation UNION ALL "
-    "SELECT 0, 0, 'No numeric column specified for outlier detection'",
+    V1 + """SELECT 0 AS shown, 0 AS offenders, 'Unknown kind of rows: typo' AS explanation UNION ALL
+    SELECT 0, 0, 'No numeric column specified for outlier detection' UNION ALL
+    SELECT least(n, 100)::INT, n::INT, 'Found ' || n || ' records with missing values in ''email''' FROM (
+    SELECT count(*) AS n FROM dirty_customer WHERE email IS NULL)""",
 )
 def _(spark, sf):
-    """Neither an unknown kind of rows nor outliers of a text have any rows."""
+    """Neither an unknown kind of rows nor outliers of a text have any rows, beside a kind that has."""
     parts = []
-    for kind in ("typo", "outliers"):
+    for kind in ("typo", "outliers", "missing"):
         count, text, shown = drill.explained(view(spark, sf, "dirty_customer"), kind, "email", ["row_id"])
         parts.append(shown.agg(F.count(F.lit(1)).cast("int").alias("shown")).select("shown", F.lit(count).alias("offenders"), F.lit(text).alias("explanation")))
-    return parts[0].union(parts[1])
+    return parts[0].union(parts[1]).union(parts[2])

@@ -55,7 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written to the shared folder and read again."""
+    """All stages over the documents, each written to the shared folder and read again. The last one has written out
+    what it needs of its input, so nothing stays in the folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES[:-1]):
@@ -63,7 +64,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{folder}/{number}")
         if number:
             _remove(spark, f"{folder}/{number - 1}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    _remove(spark, folder)
+    return packed
 
 
 def _remove(spark: SparkSession, path: str) -> None:

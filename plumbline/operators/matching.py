@@ -21,13 +21,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import nan_as_null, ref
-from plumbline.functions.similarity import Records
+from plumbline.functions.similarity import WORD_BITS, Records
+from plumbline.functions.similarity_sums import similarity_sum
 from plumbline.functions.text import block_key, sorted_tokens, text_of
 from plumbline.operators.bands import can_reach, cut_at, measure_names, measured, part_ranges, partners
 from plumbline.plans.scale import checkpointed, hinted, join_counted_keys
 
 #: Texts per part of a large group; a tile holds at most about twice as many.
 PART = 1_000
+#: The same where similarities are only summed and all texts fit a machine word.
+SUM_PART = 8_000
+#: Groups of at least so many texts are summed as grids, smaller ones together as lists of pairs.
+GRID = 256
 MAX_TASKS = 100_000
 
 
@@ -166,18 +171,39 @@ def similar_pairs(texts: DataFrame, group: str, columns: int, threshold: float |
     return tiled(texts, group, part, columns, threshold).apply(compare, schema)
 
 
-def group_similarity(texts: DataFrame, group: str, columns: int, part: int = PART) -> DataFrame:
+def group_similarity(texts: DataFrame, group: str, columns: int, part: int | None = None) -> DataFrame:
     """``(group, size, match_score)``: the mean similarity of all pairs of rows of each group, 100 for a
-    single row. Copies count by their number; only one sum per tile and group leaves a task."""
+    single row. Copies count by their number; only one sum per tile and group leaves a task. Large groups are cut
+    into parts of ``part`` texts, else ``SUM_PART``, or ``PART`` if a text is beyond a machine word."""
     group_type = texts.schema[group].dataType.simpleString()
+    names = [*text_columns(columns), *word_columns(columns)]
+    if part is None:
+        longest = texts.agg(F.max(F.greatest(F.lit(0), *[F.length(c) for c in names]))).first()[0] if names else 0
+        part = SUM_PART if (longest or 0) <= WORD_BITS else PART
 
     def add_up(tile: pd.DataFrame) -> pd.DataFrame:
-        records, sums = records_of(tile, columns), []
-        n, of = tile["n"].to_numpy(dtype=np.float64), tile[group].to_numpy()
-        for i, j in tile_pairs(tile, group):
-            at, score = records.similar(i, j, None)
-            weighted = pd.DataFrame({group: of[i[at]], "s": n[i[at]] * n[j[at]] * score})
-            sums.append(weighted.groupby(group, sort=False, as_index=False)["s"].sum())
+        if tile["part_a"].iat[0] != tile["part_b"].iat[0]:
+            first = tile["part"].to_numpy() == tile["part_a"].iat[0]
+            large = [(np.flatnonzero(first), np.flatnonzero(~first))]
+        else:
+            large = [(at,) for at in tile.groupby(group, sort=False).indices.values() if len(at) >= GRID]
+        ids, n, of = tile["first_row"].to_numpy(), tile["n"].to_numpy(dtype=np.float64), tile[group].to_numpy()
+        sums, rest = [], np.ones(len(tile), bool)
+        for sides in large:
+            rest[np.concatenate(sides)] = False
+            if all(len(at) for at in sides):
+                every = np.concatenate(sides)
+                here, places = tile.iloc[every], np.cumsum([0, *map(len, sides)])
+                lists = [[here[c].tolist() for c in some(columns)] for some in (text_columns, word_columns)]
+                found = similarity_sum(*lists, n[every], ids[every], *[np.arange(a, b) for a, b in zip(places, places[1:])])
+                sums.append(pd.DataFrame({group: of[every[:1]], "s": [found]}))
+        if rest.any():
+            small = tile[rest].reset_index(drop=True)
+            records, n, of = records_of(small, columns), n[rest], of[rest]
+            for i, j in tile_pairs(small, group):
+                at, score = records.similar(i, j, None)
+                weighted = pd.DataFrame({group: of[i[at]], "s": n[i[at]] * n[j[at]] * score})
+                sums.append(weighted.groupby(group, sort=False, as_index=False)["s"].sum())
         return pd.concat(sums) if sums else pd.DataFrame(columns=[group, "s"])
 
     between = tiled(texts, group, part).apply(add_up, f"`{group}` {group_type}, s double")

@@ -26,8 +26,6 @@ AT_ONCE = 500_000
 MODEL_ROWS = 1_000_000
 #: Characters of a block of texts that meets such tables, times the languages: it holds the costs of its grams.
 BLOCK_COSTS = 40_000_000
-#: Training rows a language whose entropies calibrate the rejection: a bounded sample by hash.
-CALIBRATION_ROWS = 500
 #: A text is rejected beyond so many deviations of a language's own entropy: those of its texts and those that
 #: the symbols of a text of this length have.
 DEVIATIONS = 6.0
@@ -203,10 +201,14 @@ class Model:
             out[i] = -np.log2(p)
         return out
 
-    def entropies(self, texts: list[str | None], order: int = ORDER, power: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols of each text, bits a symbol of each language and text) of whole texts, or the mean of another
-        ``power`` of the bits."""
-        sizes, bits = np.zeros(len(texts), np.int64), np.zeros((len(self.languages), len(texts)))
+    def entropies(self, texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of each text, bits a symbol of each language and text) of whole texts."""
+        return self.moments(texts, order, 1)[:2]
+
+    def moments(self, texts: list[str | None], order: int = ORDER, powers: int = 2) -> tuple[np.ndarray, ...]:
+        """(symbols of each text, then the means of the first ``powers`` powers of the bits of a symbol, of each
+        language and text) of whole texts."""
+        sizes, bits = np.zeros(len(texts), np.int64), np.zeros((powers, len(self.languages), len(texts)))
         places: list[int] = []
         parts: list[np.ndarray] = []
 
@@ -214,11 +216,13 @@ class Model:
             if parts:
                 codes = np.concatenate(parts)
                 distinct = np.unique(codes)
-                costs, at = self.costs(distinct) ** power, np.searchsorted(distinct, codes)
+                costs, at = self.costs(distinct), np.searchsorted(distinct, codes)
                 lengths = np.array([len(p) for p in parts])
                 first = np.cumsum(lengths) - lengths
                 for i in range(len(self.languages)):
-                    np.add.at(bits[i], places, np.add.reduceat(costs[i][at], first))
+                    cost = costs[i][at]
+                    for power in range(powers):
+                        np.add.at(bits[power, i], places, np.add.reduceat(cost if not power else cost ** (power + 1), first))
                 np.add.at(sizes, places, lengths)
                 places.clear()
                 parts.clear()
@@ -233,7 +237,7 @@ class Model:
                     settle()
                     held = 0
         settle()
-        return sizes, bits / np.maximum(sizes, 1)
+        return sizes, *(bits / np.maximum(sizes, 1))
 
     def limits(self, best: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The entropy beyond which a text of a language and size is rejected."""
@@ -319,21 +323,19 @@ def model_of(counts: DataFrame, order: int) -> Model:
     return Model(languages, levels, letters)
 
 
-def fit(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS, calibration: int = CALIBRATION_ROWS) -> Model:
+def fit(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) -> Model:
     """The models of all languages of (doc_id, lang, text), counted over every row with a language and a text;
-    others teach nothing. Up to ``model_rows`` distinct grams, which are counted first, come to the driver; more
-    stay in tables. Beyond that the driver gets a few numbers a language."""
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    others teach nothing. The rejection is calibrated on the entropies of all these rows. Up to ``model_rows``
+    distinct grams, which are counted first, come to the driver; more stay in tables. Beyond that the driver gets a
+    few numbers a language."""
+    texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = checkpointed(count_rows(texts, order))
     known = counts.count()
     model = model_of(counts, order) if known <= max(model_rows, 0) or not known else tables_of(counts, order)
     languages = model.languages
     model.entropy, model.deviation, model.spread = (np.zeros(len(languages)) for _ in range(3))
     if languages:
-        rows = dict(texts.where("lang is not null and text is not null").groupBy("lang").count().toArrow().to_pandas().itertuples(index=False))
-        total = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(int(rows[lang])))])[F.col("lang")]
-        sample = texts.where(F.pmod(F.xxhash64("doc_id"), total) < calibration)
-        own = entropy_rows(sample, model, order).where("best = lang")
+        own = entropy_rows(texts.where("lang is not null and text is not null"), model, order).where("best = lang")
         spread = F.sqrt(F.sum(F.col("variance") * F.col("size")) / F.sum("size"))
         for lang, *found in own.groupBy("lang").agg(F.avg("bits"), F.coalesce(F.stddev("bits"), F.lit(0.0)), spread).collect():
             place = languages.index(lang)
@@ -408,10 +410,10 @@ def entropy_rows(texts: DataFrame, model: Model, order: int = ORDER) -> DataFram
     bits of a symbol and the number of symbols, of the texts with a letter."""
 
     def judge(model: Model, texts: list[str | None], order: int) -> list[pa.Array]:
-        sizes, bits = model.entropies(texts, order)
-        best = [model.languages[i] if n else None for i, n in zip(bits.argmin(axis=0), sizes, strict=True)]
+        sizes, bits, squares = model.moments(texts, order)
         at = bits.argmin(axis=0), np.arange(len(texts))
-        variance = np.maximum(model.entropies(texts, order, 2)[1][at] - bits[at] ** 2, 0.0)
+        best = [model.languages[i] if n else None for i, n in zip(at[0], sizes, strict=True)]
+        variance = np.maximum(squares[at] - bits[at] ** 2, 0.0)
         return [pa.array(best, pa.string()), pa.array(bits[at]), pa.array(variance), pa.array(sizes, pa.int64())]
 
     added = [T.StructField("best", T.StringType()), T.StructField("bits", T.DoubleType())]

@@ -179,6 +179,21 @@ def test_models_in_tables_keep_every_symbol(spark):
     assert langid.predict(docs, many).columns == langid.predict(docs, few).columns
 
 
+def test_rejection_is_calibrated_on_every_training_row(spark):
+    """Also where a language has many rows, and in both forms of the models."""
+    rng = random.Random(9)
+    made = [(i, "xx" if i % 3 else "yy", " ".join(rng.choice(["ab", "ba", "abba", "baa"] if i % 3 else ["cd", "dcc", "ccd"]) for _ in range(rng.randint(1, 6)))) for i in range(2400)]
+    docs = spark.createDataFrame(made, "doc_id long, lang string, text string")
+    for model in (langid.fit(docs), langid.fit(docs, model_rows=0)):
+        few = langid.fit(docs)
+        for place, lang in enumerate(model.languages):
+            sizes, bits = few.entropies([t for _, l, t in made if l == lang])
+            best = bits.argmin(axis=0) == place
+            own, sizes = bits[place][best], sizes[best]
+            assert model.entropy[place] == pytest.approx(own.mean(), rel=1e-9)
+            assert model.deviation[place] == pytest.approx(own.std(ddof=1), rel=1e-6)
+
+
 def test_a_large_script_leaves_the_rejection_of_others(spark):
     r = random.Random(4)
     known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("cast(doc_id AS string) AS doc_id", "lang", "text")

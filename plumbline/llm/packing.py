@@ -11,7 +11,7 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -50,6 +50,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.known, self.older, self.tails = Tokenizer.from_file(path), kept, {}, {}, {}
+        self.number = None  # of the chunks whose ids are in one array, with their places there
         # the characters that byte-level models write octets with: visible ones as they are, others from 256 on
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [o for o in range(256) if o not in seen]
@@ -84,8 +85,8 @@ class ChunkTokenizer:
         return out + self.coded(held)
 
     def coded(self, texts: list[list[bytes]]) -> list[bytes]:
-        """The ids of texts given as chunks: each distinct chunk is looked up once, its ids are dealt out to all its
-        places together."""
+        """The ids of texts given as chunks: each distinct chunk is looked up when it is first met and numbered, its
+        ids are dealt out to all its places together."""
         gc.disable()  # nothing here refers to itself, and the collector would walk all that is known again and again
         try:
             return self._coded(texts)
@@ -93,21 +94,25 @@ class ChunkTokenizer:
             gc.enable()
 
     def _coded(self, texts: list[list[bytes]]) -> list[bytes]:
-        place = defaultdict(count().__next__)
-        chunks = np.fromiter(map(place.__getitem__, chain.from_iterable(texts)), np.int64)
+        if self.number is None or len(self.number) > self.kept:
+            self.number, self.every = defaultdict(count().__next__), np.zeros(0, "<u4")
+            self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        number = self.number
+        before = len(number)
+        chunks = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
         if not len(chunks):
             return [b""] * len(texts)
-        distinct = list(place)
-        parts = list(map(self.known.get, distinct))
-        missing = [i for i, part in enumerate(parts) if part is None]
-        if missing:
-            self.learn([distinct[i] for i in missing], distinct)
-            known = self.known
-            for i in missing:
-                parts[i] = known[distinct[i]]
-        every = np.frombuffer(b"".join(parts), "<u4")
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        starts = np.cumsum(sizes) - sizes
+        if len(number) > before:
+            new = list(islice(number, before, None))
+            missing = [chunk for chunk in new if chunk not in self.known]
+            if missing:
+                self.learn(missing, new)
+            parts = list(map(self.known.__getitem__, new))
+            added = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            self.starts = np.concatenate([self.starts, len(self.every) + np.cumsum(added) - added])
+            self.sizes = np.concatenate([self.sizes, added])
+            self.every = np.concatenate([self.every, np.frombuffer(b"".join(parts), "<u4")])
+        every, starts, sizes = self.every, self.starts, self.sizes
         length = sizes[chunks]
         ends = np.cumsum(length)
         ids = every[np.arange(ends[-1]) + np.repeat(starts[chunks] - ends + length, length)]

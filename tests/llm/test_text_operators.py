@@ -1,5 +1,6 @@
 """Packing, language ID, SimHash and secret scans against plain code on small tables."""
 
+import array
 import hashlib
 import random
 import re
@@ -43,6 +44,21 @@ def test_chunks_code_like_whole_texts():
         assert np.frombuffer(tokenizer.ids(text or ""), "<u4").tolist() == whole
 
 
+def test_chunks_are_looked_up_once(monkeypatch):
+    """A chunk met before has its ids in the array, whatever else was met and however few are kept."""
+    texts = ["one two, Three 44 one", "", "two five. one x" * 3, "three Three 44"]
+    for kept in (packing.CHUNKS_KEPT, 2):
+        chunks = packing.ChunkTokenizer(tokenizer_path(), kept)
+        want = [array.array("I", chunks.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+        assert [chunks.ids(t) for t in texts] == want
+        assert chunks.all_ids(texts) == want
+    chunks = packing.ChunkTokenizer(tokenizer_path())
+    assert chunks.all_ids(texts) == want
+    chunks.known = {}
+    monkeypatch.setattr(chunks, "learn", None)
+    assert chunks.all_ids(texts[::-1]) == want[::-1]
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 1000, 2049, 4095, 4096, 4097, 20_000])
 def test_cuts_add_up(n):
     lengths = packing.cuts(n)

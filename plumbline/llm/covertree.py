@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -12,6 +13,8 @@ RADII = (2.0, 1.0, 0.5, 0.25, 0.125)
 MARGIN = 1e-7
 #: Distances worked on together.
 AT_ONCE = 1 << 20
+#: Radii up to each of these are bounded together.
+STEPS = (0.0, 0.125, 0.25, 0.5, 0.75)
 
 
 class CoverTree:
@@ -24,9 +27,9 @@ class CoverTree:
 
     def __init__(self, ids: np.ndarray, unit: np.ndarray):
         self.ids, self.unit, self.levels = ids, unit, []
+        order = self.order = np.arange(len(ids))
         if not len(ids):
             return
-        order = np.arange(len(ids))
         parents = [(0, len(ids))]
         for radius in RADII:
             nodes, children = [], []
@@ -47,8 +50,12 @@ class CoverTree:
         for level in self.levels:
             level[0] = place[level[0]]
         self.ids, self.unit = ids[order], np.ascontiguousarray(unit[order])
-        every = np.arange(len(order))
-        self.levels.append([every, np.zeros(len(order)), every, every + 1, every, every])
+        self._vectors()
+
+    def _vectors(self) -> None:
+        """The level below the last: each vector is its own."""
+        every = np.arange(len(self.ids))
+        self.levels.append([every, np.zeros(len(every)), every, every + 1, every, every])
 
     def _children(self, level: int, ranges: list[tuple[int, int]]) -> None:
         self.levels[level] += [np.array(c) for c in zip(*ranges, strict=True)]
@@ -66,16 +73,48 @@ class CoverTree:
             yield members[inside], center, float(far[inside].max())
             members = members[~inside]
 
-    def packed(self) -> bytes:
-        return pickle.dumps((self.ids, self.unit, self.levels), protocol=5)
+    def packed(self, vectors: np.ndarray) -> bytes:
+        """The tree with the vectors it was made of, which take less than those of length one if they were singles."""
+        levels = [[x if x.dtype.kind == "f" else x.astype(np.int32) for x in level] for level in self.levels[:-1]]
+        return pickle.dumps((self.ids, vectors[self.order], levels), protocol=5)
 
     @classmethod
-    def unpacked(cls, data: bytes) -> CoverTree:
+    def unpacked(cls, data: bytes, unit: Callable[[np.ndarray], np.ndarray]) -> CoverTree:
+        """``unit`` gives the vectors length one again, as it did before."""
         tree = cls(np.zeros(0, np.int64), np.zeros((0, 0)))
-        tree.ids, tree.unit, tree.levels = pickle.loads(data)
+        tree.ids, vectors, levels = pickle.loads(data)
+        tree.unit, tree.levels = unit(vectors), [[x if x.dtype.kind == "f" else x.astype(np.int64) for x in level] for level in levels]
+        if len(tree.ids):
+            tree._vectors()
         return tree
 
 
+def first_reached(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of so many nodes the smallest that the edges from ``a`` to ``b`` connect it with."""
+    root = np.arange(nodes)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def added_up(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``Links.rows`` of several pairs of trees as one: a row for each vector, with all its links and the smallest id
+    that those of all rows connect it with."""
+    ids, n, to = (np.concatenate(column) for column in zip(*rows, strict=True))
+    every, at = np.unique(np.concatenate([ids, to]), return_inverse=True)
+    count = np.zeros(len(every), np.int64)
+    np.add.at(count, at[: len(ids)], n)
+    return every, count, every[first_reached(len(every), at[: len(ids)], at[len(ids) :])]
+
+
 class Links:
     """Links between the vectors of one or two trees: how many each vector has, and which are connected."""
 
@@ -107,24 +146,42 @@ class Links:
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(id, links, id of the first connected vector) of each vector with a link."""
         count = np.cumsum(self.steps[:-1])
-        root = np.arange(len(self.ids))
-        if self.pairs:
-            a, b = np.concatenate(self.pairs, axis=1)
-            while True:
-                low = np.minimum(root[a], root[b])
-                new = root.copy()
-                np.minimum.at(new, a, low)
-                np.minimum.at(new, b, low)
-                np.minimum.at(new, root[a], low)
-                np.minimum.at(new, root[b], low)
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
+        root = first_reached(len(self.ids), *np.concatenate(self.pairs, axis=1)) if self.pairs else np.arange(len(self.ids))
         on = np.flatnonzero((count > 0) | (root != np.arange(len(root))))
         return self.ids[on], count[on], self.ids[root[on]]
 
 
+def _slack(unit: np.ndarray) -> float:
+    """More than a cosine worked out in single precision can be too small."""
+    return MARGIN + unit.shape[1] * 2.0**-22
+
+
+def _reaching(left: np.ndarray, right: np.ndarray, radii: np.ndarray, others: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in ``left``, places in ``right``, cosines) of the pairs that are no farther apart than ``reach`` and both
+    radii, a bounded list at a time. Nodes of about the same radius are compared in single precision, which leaves
+    out what the largest radii and its rounding cannot bring near; what is left is worked out in double precision."""
+    slack = _slack(left)
+    few = [x.astype(np.float32) for x in (left, right)]
+    kinds = [[np.flatnonzero(np.searchsorted(STEPS, r) == k) for k in range(len(STEPS) + 1)] for r in (radii, others)]
+    for i in kinds[0]:
+        for j in kinds[1]:
+            if not len(i) or not len(j):
+                continue
+            least = np.float32(1.0 - min(reach + radii[i].max() + others[j].max(), 2.0) ** 2 / 2.0 - slack)
+            beside, step = few[1][j].T, max(1, AT_ONCE // len(j))
+            for at in range(0, len(i), step):
+                rows = i[at : at + step]
+                found = np.flatnonzero((few[0][rows] @ beside >= least).ravel())
+                x, y = rows[found // len(j)], j[found % len(j)]
+                if 16 * len(found) > len(rows) * len(j):
+                    cos = (left[rows] @ right[j].T).ravel()[found]
+                else:
+                    cos = np.einsum("ij,ij->i", left[x], right[y])
+                kept = cos >= 1.0 - np.minimum(reach + radii[x] + others[y], 2.0) ** 2 / 2.0 - MARGIN
+                if kept.any():
+                    yield x[kept], y[kept], cos[kept]
+
+
 def dual(a: CoverTree, b: CoverTree, cosine: float) -> Links:
     """All pairs of two trees (or of one with itself) of at least ``cosine``, by going down both at once.
 
@@ -135,7 +192,9 @@ def dual(a: CoverTree, b: CoverTree, cosine: float) -> Links:
     links, reach = Links(a, b), np.sqrt(2.0 - 2.0 * cosine)
     if not len(a.ids) or not len(b.ids):
         return links
-    last = len(a.levels) - 1
+    last, slack = len(a.levels) - 1, _slack(a.unit)
+    few_a = a.unit.astype(np.float32)
+    few_b = few_a if a is b else b.unit.astype(np.float32)
 
     def judge(level: int, i: np.ndarray, j: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Links or drops node pairs; returns those to go down from."""
@@ -160,16 +219,9 @@ def dual(a: CoverTree, b: CoverTree, cosine: float) -> Links:
         wide_a, wide_b = la[5][i] - la[4][i], lb[5][j] - lb[4][j]
         big = wide_a * wide_b >= 4096
         for p, q in zip(i[big].tolist(), j[big].tolist(), strict=True):
-            cols = np.arange(lb[4][q], lb[5][q])
-            right = b.unit[nb[0][cols]]
-            step = max(1, AT_ONCE // len(cols))
-            for at in range(int(la[4][p]), int(la[5][p]), step):
-                rows = np.arange(at, min(at + step, int(la[5][p])))
-                cos = a.unit[na[0][rows]] @ right.T
-                # pairs that their radii cannot bring near are dropped before anything else is worked out
-                bound = reach + MARGIN + na[1][rows][:, None] + nb[1][cols]
-                x, y = np.nonzero(cos >= 1.0 - np.minimum(bound, 2.0) ** 2 / 2.0 - MARGIN)
-                down = judge(level + 1, rows[x], cols[y], cos[x, y])
+            rows, cols = np.arange(la[4][p], la[5][p]), np.arange(lb[4][q], lb[5][q])
+            for x, y, cos in _reaching(a.unit[na[0][rows]], b.unit[nb[0][cols]], na[1][rows], nb[1][cols], reach + MARGIN):
+                down = judge(level + 1, rows[x], cols[y], cos)
                 nexts_i.append(down[0])
                 nexts_j.append(down[1])
         i, j, wide_a, wide_b = i[~big], j[~big], wide_a[~big], wide_b[~big]
@@ -184,8 +236,11 @@ def dual(a: CoverTree, b: CoverTree, cosine: float) -> Links:
             inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             x = la[4][i[part]][which] + inner // wide_b[part][which]
             y = lb[4][j[part]][which] + inner % wide_b[part][which]
-            cos = np.einsum("ij,ij->i", a.unit[na[0][x]], b.unit[nb[0][y]])
-            down = judge(level + 1, x, y, cos)
+            # in single precision first, as most are too far apart
+            bound = np.minimum(reach + MARGIN + na[1][x] + nb[1][y], 2.0)
+            kept = np.einsum("ij,ij->i", few_a[na[0][x]], few_b[nb[0][y]]) >= 1.0 - bound**2 / 2.0 - slack
+            x, y = x[kept], y[kept]
+            down = judge(level + 1, x, y, np.einsum("ij,ij->i", a.unit[na[0][x]], b.unit[nb[0][y]]))
             nexts_i.append(down[0])
             nexts_j.append(down[1])
             at = to

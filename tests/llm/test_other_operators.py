@@ -107,6 +107,38 @@ def test_near_duplicate_vectors(spark, monkeypatch):
     assert coverdedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_blocks_are_not_copied_for_the_blocks_they_meet(spark, monkeypatch):
+    m = clustered()
+    table = vectors(spark, [(i, v.tolist()) for i, v in enumerate(m)])
+    monkeypatch.setattr(coverdedup.trees, "__defaults__", (16,))
+    found = coverdedup.links(table)[1]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Sort" not in plan
+    # a task adds up what its pairs of blocks tell of a vector
+    rows = found.withColumn("task", F.spark_partition_id()).groupBy("task", "vec_id").count()
+    assert rows.agg(F.max("count")).first()[0] == 1
+    n, _ = plain_links(m)
+    counted = {r.vec_id: r.n for r in found.groupBy("vec_id").agg(F.sum("n").alias("n")).collect()}
+    assert counted == {i: x for i, x in enumerate(n.tolist()) if x}
+
+
+def test_packed_trees_and_repeated_ids(spark, monkeypatch):
+    m = clustered().astype(np.float32)
+    tree = CoverTree(np.arange(len(m)), coverdedup._unit(m))
+    again = CoverTree.unpacked(tree.packed(m), coverdedup._unit)
+    assert (again.ids == tree.ids).all() and (again.unit == tree.unit).all()
+    assert all((x == y).all() for a, b in zip(tree.levels, again.levels, strict=True) for x, y in zip(a, b, strict=True))
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 3.0]), (3, [0.0, 0.0]), (3, [1.0, 1.0]), (4, [5.0, 0.1])]
+    few = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for most in (200_000, 0):  # repeated ids broadcast, and too many for it
+        monkeypatch.setattr(coverdedup, "REPEATS", most)
+        kept = coverdedup.vectors_of(few)
+        assert kept.schema["v"].dataType.simpleString() == "array<float>"
+        assert sorted(map(tuple, kept.select("vec_id", F.col("v").cast("string")).collect())) == [
+            (1, "[0.0, 1.0]"), (2, "[0.0, 3.0]"), (4, "[5.0, 0.1]")
+        ]
+
+
 PAGE = (
     "<html><head><title>t</title><style>p{}</style></head><body><header>top</header><nav><ul><li>a<li>b</ul></nav><div class='cookie-notice'>we use</div>"
     "<article><h1>A &amp; B</h1><p>One  <b>two<br>three<p>four &lt;five&gt;<script>var x='</p>'</script><div class=\"ad\">buy</div></article>"

@@ -87,6 +87,29 @@ def test_dense_block_of_many_texts(spark):
     assert {r["first_row"]: r["leader"] for r in texts.collect()} == expected
 
 
+@pytest.mark.parametrize("seated, worth", [(1_000_000, None), (60, True), (60, False)])
+def test_dense_blocks_are_seated_and_not_compared_pair_by_pair(spark, monkeypatch, seated, worth):
+    calls, settle = [], fuzzy._settle
+    monkeypatch.setattr(fuzzy, "_settle", lambda *a: calls.append(1) or settle(*a))
+    monkeypatch.setattr(fuzzy, "SEATED", seated, raising=False)
+    if worth is not None:
+        monkeypatch.setattr(fuzzy, "worth_a_round", lambda *a: worth, raising=False)
+    rows = [(f"Customer {i * i % 4001}",) for i in range(300)]
+    df = frame(spark, [(*r, None) for r in rows])
+    texts = fuzzy.fuzzy_texts(df, ["a"], "id", 94.0, part=50, heads=5, rounds=1)
+    expected = models.greedy_groups(rows, 94.0)
+    assert {r["first_row"]: r["leader"] for r in texts.collect()} == expected
+    assert bool(calls) == (worth is False)
+
+
+def test_rounds_and_tasks_by_what_they_compare():
+    assert fuzzy.worth_a_round(1000, 500, 1e12, 1.0)  # halved
+    assert fuzzy.worth_a_round(313_335, 281_480, 11 * 281_480, 281_480**2 / 2)
+    assert not fuzzy.worth_a_round(100_000, 99_800, 200 * 99_800, 99_800**2 / 2)
+    assert fuzzy.take_in_tasks(5, 10**6, 10, 8) == 5
+    assert fuzzy.take_in_tasks(700, 20_000, 10, 8) == 32 and fuzzy.take_in_tasks(700, 500_000, 1000, 8) == 500
+
+
 def test_tiles_meet_every_pair_once(spark):
     df = spark.createDataFrame([("g" if i < 40 else f"h{i % 9}", i, 1) for i in range(90)], "grp string, first_row bigint, n bigint")
     tiled = matching.tiled(df, "grp", part=6)
